@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, minhash, packing, pii, quality, toxicity
+from . import exact_dedup, license_scan, minhash, packing, pii, quality, topk, toxicity
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.sign_code(F.col("embedding")).alias("code"))
+    return topk.search(rows, rows.where("id % 20 = 0"), k=10)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -53,6 +58,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE_SQL = {
+    "op2_topk": """
+        WITH c AS (
+            SELECT vec_id AS id, list_reduce(list_prepend(0::BIGINT, list_transform(embedding, lambda x, i:
+                CASE WHEN x > 0 THEN CASE WHEN i = 64 THEN (-9223372036854775807 - 1)::BIGINT ELSE (1::BIGINT << (i - 1)::BIGINT) END ELSE 0::BIGINT END)), lambda a, b: xor(a, b)) AS code
+            FROM embeddings),
+        p AS (
+            SELECT q.id AS query_id, c.id AS neighbour_id, bit_count(xor(q.code, c.code))::INTEGER AS distance
+            FROM c q JOIN c ON q.id % 20 = 0 AND q.id <> c.id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM p)
+        SELECT query_id, rank::INTEGER AS rank, neighbour_id, distance FROM r WHERE rank <= 10
+    """,
     "op8_minhash": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
