@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 MAX_K = 31
 #: Each second bit of a long.
 LOW_BITS = 0x5555555555555555
-#: Masks of the 2-bit, 4-bit, 8-bit, 16-bit and 32-bit groups at even places.
-GROUPS = {2: 0x3333333333333333, 4: 0x0F0F0F0F0F0F0F0F, 8: 0x00FF00FF00FF00FF, 16: 0x0000FFFF0000FFFF, 32: 0x00000000FFFFFFFF}
+#: For each byte (four bases) its reverse complement.
+BYTE_REVCOM = [sum((3 - (b >> (2 * i) & 3)) << (2 * (3 - i)) for i in range(4)) for b in range(256)]
 
 
 def check_k(k: int) -> None:
@@ -50,11 +50,15 @@ def mask_of(k: int) -> int:
 
 
 def revcom_code(code: Column, k: int) -> Column:
-    """Complement by subtraction, then the order of the 2-bit groups reversed by swapping ever larger groups."""
-    x = F.lit(mask_of(k)) - code
-    for width, mask in GROUPS.items():
-        x = F.shiftrightunsigned(x, width).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), width))
-    return F.shiftrightunsigned(x, 64 - 2 * k)
+    """Byte by byte from a table, the bytes in reverse order; then the bases beyond the kth are shifted out. The code is
+    named eight times only, which keeps generated code small where this is nested in other expressions."""
+    table = F.lit(BYTE_REVCOM).cast("array<bigint>")
+    out = None
+    for i in range(8):
+        byte = F.shiftrightunsigned(code, 8 * i).bitwiseAND(F.lit(255)).cast("int")
+        part = F.shiftleft(F.get(table, byte), 56 - 8 * i)
+        out = part if out is None else out.bitwiseOR(part)
+    return F.shiftrightunsigned(out, 64 - 2 * k)
 
 
 def revcom_of(code: int, k: int) -> int:
