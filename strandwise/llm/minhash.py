@@ -6,10 +6,14 @@ representative. Representatives that share a band are candidates; a candidate pa
 too few values is dropped (the bound is five standard deviations below what similar sets show), and every other
 one is confirmed on the full shingle sets.
 
-No bucket is turned into all its pairs. In every round a few pivots of each bucket, the documents that collide most
-often first, are compared with the members that are not yet in their component; then the components are formed anew,
-and buckets within one component are done. The number of pivots doubles with each round until no bucket has
-members of different components left to compare, so no link is lost.
+No bucket is turned into all its pairs. In the first rounds a few pivots of each bucket, the documents that collide most
+often, are compared with the members that are not yet in their component; then the components are formed anew, and
+buckets within one component are done. That leaves, of a group of copies, the few members that no pivot is linked
+with. In the last round the members outside a bucket's largest component are compared with all members of other
+components, so every pair of candidates is either compared or already connected, and no link is lost. As many of
+those pairs are nearly similar enough, a second signature of one bit for each of many values, made for the documents
+that are still in question only, sharpens the estimate before full sets are compared; a pair is met in the first
+band that it shares.
 """
 
 from __future__ import annotations
@@ -28,13 +32,17 @@ from .components import components
 from .text_kernel import U64, buffers, distinct_in_each, mix, shingles, word_hashes
 
 ROWS = 4
+#: Pivots of a bucket in the first rounds.
+PIVOTS = (1, 8)
+#: Values of the second signature (64 to a long), and standard deviations that an estimate may fall short.
+SHARP, SHORT = 1024, 5.0
 #: Chance to miss a pair just at the threshold, over all bands.
 MISS = 1e-5
 #: Ids sent to all executors at once, at most (8 bytes each); more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 _numbers = np.random.Generator(np.random.PCG64(20240611))
-MULTIPLIERS = _numbers.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
-ADDENDS = _numbers.integers(0, 2**63, 256, dtype=U64)
+MULTIPLIERS = _numbers.integers(1, 2**63, SHARP // 2, dtype=U64) * U64(2) + U64(1)
+ADDENDS = _numbers.integers(0, 2**63, SHARP // 2, dtype=U64)
 
 
 def n_bands(similarity: float) -> int:
@@ -99,6 +107,32 @@ def agreeing(a: Column, b: Column, longs: int) -> Column:
     return F.lit(8 * longs) - reduce(lambda x, y: x + y, [differing(i) for i in range(longs)])
 
 
+def sharp_signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, sharp array<long>): a bit of each of SHARP values, for the documents in ids (id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, at = shingle_sets(*buffers(batch.column(1)), size)
+            # The lowest bit of a product is that of its factors, so a mixed value gives the bit.
+            bits = np.packbits((mix(signatures(values, at, SHARP // 2)) & U64(1)).astype(np.uint8), axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), SHARP // 64).cast(pa.list_(pa.int64()))], ["id", "sharp"])
+
+    small_batches(docs.sparkSession, 256)
+    return only(docs, ids.select(F.col("id").alias("doc_id"))).mapInArrow(run, "id long, sharp array<long>").dropDuplicates(["id"])
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with these ids: by broadcast while they are few, else by a shuffle."""
+    ids = stored(ids.distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return documents(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def same_bits(a: Column, b: Column) -> Column:
+    differing = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SHARP // 64)]
+    return F.lit(SHARP) - reduce(lambda x, y: x + y, differing)
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
 
@@ -117,10 +151,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
     small_batches(docs.sparkSession, 256)
-    needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    few = needed.count() <= BROADCAST_IDS
-    rows = documents(docs).join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
-    sets = stored(rows.mapInArrow(make, "id long, set binary").dropDuplicates(["id"]), "sets")
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    sets = stored(only(docs, needed).mapInArrow(make, "id long, set binary").dropDuplicates(["id"]), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
@@ -146,22 +178,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     sd = math.sqrt(8 * longs * percent * (100 - percent)) / 100
     least = math.floor(8 * longs * percent / 100 - 5 * sd)
-    order = (F.desc("degree"), F.asc("id"))
-    links, labels, done, upto = None, None, 0, 1
-    while not open_.isEmpty():
-        by_bucket = Window.partitionBy("band", "key").orderBy(*order)
-        pivots = open_.withColumn("turn", F.row_number().over(by_bucket)).where((F.col("turn") <= upto)).where(F.col("turn") > done)
-        p, m = pivots.alias("p"), open_.alias("m")
-        later = (F.col("m.degree") < F.col("p.degree")) | ((F.col("m.degree") == F.col("p.degree")) & (F.col("m.id") > F.col("p.id")))
-        alike = (F.col("m.n") * 100 >= F.col("p.n") * percent) & (F.col("p.n") * 100 >= F.col("m.n") * percent) & (agreeing(F.col("p.sig"), F.col("m.sig"), longs) >= least)
-        met = p.join(m, (F.col("p.band") == F.col("m.band")) & (F.col("p.key") == F.col("m.key")) & later & (F.col("p.component") != F.col("m.component")) & alike)
+    alike = (F.col("m.n") * 100 >= F.col("p.n") * percent) & (F.col("p.n") * 100 >= F.col("m.n") * percent) & (agreeing(F.col("p.sig"), F.col("m.sig"), longs) >= least)
+    before = (F.col("m.degree") < F.col("p.degree")) | ((F.col("m.degree") == F.col("p.degree")) & (F.col("m.id") > F.col("p.id")))
+    links, labels = None, None
+    for upto in (*PIVOTS, None):
+        if open_.isEmpty():
+            break
+        if upto is None:
+            # Members outside their bucket's largest component; of two such members the earlier one is the pivot.
+            parts = open_.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
+            largest = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
+            rows = open_.join(largest, ["band", "key"]).withColumn("outside", F.col("component") != F.col("largest"))
+            more = sharp_signatures(docs, rows.select("id"), size).join(classes.select("id", "bands"), "id")
+            rows = stored(rows.join(more, "id"), "sharp")
+            p, m = rows.where("outside").alias("p"), rows.alias("m")
+            first = F.coalesce(*(F.when(F.get("p.bands", F.lit(i)) == F.get("m.bands", F.lit(i)), F.lit(i)) for i in range(n_bands(percent / 100))))
+            share = (1 + percent / 100) / 2
+            enough = math.floor(SHARP * share - SHORT * math.sqrt(SHARP * share * (1 - share)))
+            turn = (~F.col("m.outside") | before) & (same_bits(F.col("p.sharp"), F.col("m.sharp")) >= enough) & (first == F.col("p.band"))
+        else:
+            by_bucket = Window.partitionBy("band", "key").orderBy(F.desc("degree"), "id")
+            p, m = open_.withColumn("turn", F.row_number().over(by_bucket)).where(F.col("turn") <= upto).alias("p"), open_.alias("m")
+            turn = before
+        met = p.join(m, (F.col("p.band") == F.col("m.band")) & (F.col("p.key") == F.col("m.key")) & (F.col("p.component") != F.col("m.component")) & turn & alike)
         pairs = stored(met.select(F.col("p.id").alias("a"), F.col("m.id").alias("b")).distinct(), "pairs")
         found = stored(confirm(docs, pairs, size, percent), "confirmed")
         links = found if links is None else links.union(found)
         labels = components(links)
-        done, upto = upto, 2 * upto + 1
-        # Open are the buckets with pivots still to come and members of several components.
-        now = open_.where(F.col("size") > done + 1).drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if upto is None:
+            break
+        now = open_.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
         open_ = stored(now.join(mixed, ["band", "key"]), "members")
 
