@@ -62,7 +62,8 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     while not pending.isEmpty():
         flips = F.lit(masks(width, radius)).cast("array<long>")
         probes = pending.select("query", F.posexplode(segments(F.col("query"), m)).alias("segment", "own")).select("query", "segment", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("value"))
-        met = probes.join(index, ["segment", "value"]).select("query", "code", "size").distinct()
+        # A merge join: what the probes grow to can't be told from the queries' size, so neither side is broadcast.
+        met = probes.hint("merge").join(index, ["segment", "value"]).select("query", "code", "size").distinct()
         met = met.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int"))
         every = met if best is None else met.union(best.join(pending, "query", "left_semi").select("query", "code", "size", "distance")).distinct()
         # All codes no further than the (k + 1)th hold the k nearest rows besides the query's own.
