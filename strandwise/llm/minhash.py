@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     placed = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     crowd = placed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stored(placed.join(crowd, ["band", "key"]).select("band", "key", "id", "n", "size"), "shared")
+    shared = stored(placed.hint("merge").join(crowd, ["band", "key"]).select("band", "key", "id", "n", "size"), "shared")
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
     members = shared.join(degree, "id").join(classes.select("id", "sig"), "id").select("band", "key", "size", "id", "n", "degree", "sig")
     open_ = stored(members.withColumn("component", F.col("id")), "members")
