@@ -139,6 +139,6 @@ def mix(docs: DataFrame, model: Softmax, weights: dict[str, float] = WEIGHTS, bu
 
 def resample(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs with each row as often as ``copies`` says (rates of at most 1: rows stay or go)."""
-    times = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(times, docs["doc_id"] == times["_id"])
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    times = mixed.groupBy(F.col("doc_id").alias("key")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct("*").alias("row"))  # so that no column's name can clash
+    return rows.join(times, "key").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

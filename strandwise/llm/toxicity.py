@@ -137,7 +137,9 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Lexicon:
     if n1 and n0:
         odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
         counted = train.select("text", "label").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        best = counted.where(F.col("toxic") >= 3).select("term", odds.alias("weight"), F.col("toxic")).where("weight > 1").orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term").limit(MAX_TERMS)
+        # A standard error below the log odds, so that rare entries weigh little.
+        error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+        best = counted.where(F.col("toxic") >= 3).select("term", (odds - error).alias("weight"), F.col("toxic")).where("weight > 1").orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term").limit(MAX_TERMS)
         terms |= {r.term: float(r.weight) for r in best.collect()}
     lexicon = Lexicon(terms, EXCEPTIONS, np.array([-3.0, 0.0, 1.2, 0.0, 0.0]))
     held = lexicon.__dict__.copy()
