@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
+
 #: Rows in an Arrow batch sent to Python; texts average a few KB, so a batch stays at a few MB.
 ARROW_ROWS = 512
 
@@ -33,26 +32,10 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (as in tests, with a local master) a folder of this machine is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="strandwise-"))
-
-
 def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, so the loss of an
     executor costs no recomputation of what is already written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandwise/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
