@@ -27,7 +27,7 @@ from .sources import genome as S
 from .sources.scratch import new_path
 
 k = 6
-MOTIF = M.Motif("ATTAAT", 1)
+MOTIF = M.Motif("ATTATA", 1)
 OTHER = M.Motif("CATTA", 1)
 LONG = 9
 
@@ -430,7 +430,7 @@ def e20_manifest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- joins, matching, intervals ------------------------------------------------------------------------------------------------
 
-WANTED = ["TTATAA", "ATTAAT", "CCCGGG", "GGGGGG", "TACATT"]
+WANTED = ["TTATAA", "ATTATA", "CCCGGG", "GGGGGG", "TACATT"]
 
 
 @query(f"""WITH {READS}, {cut()}, {UNIQUE}, wanted AS (SELECT unnest({WANTED}) AS kmer), q AS (SELECT kmer, coalesce((SELECT n FROM counts c WHERE c.kmer = w.kmer), 0) AS n, {rc('kmer')} AS rc_kmer, coalesce((SELECT n FROM counts c WHERE c.kmer = {rc('w.kmer')}), 0) AS rc_n FROM wanted w)
