@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches
-from .text_kernel import buffers
+from .text_kernel import buffers, word_spans
 from .text_model import DIMS, SAMPLE, Sample, descend, labelled_sample, scores, sigmoid
 
 #: Features are shares of the text's words.
@@ -75,21 +75,24 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Cumulative
     return fit(labelled_sample(docs, labels, F.col("quality"), POWER, limit))
 
 
-def rate(docs: DataFrame, model: CumulativeLink, grade: int | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, expected_grade, tail (P(grade >= ``grade``), by default the
-    highest), kept. Null and empty texts have nothing to rate: the lowest grade, tail 0, not kept. Repeated rows
-    are rated alike; without labels every text with words has grade 0 and is kept."""
+def judge(raw: np.ndarray, off: np.ndarray, model: CumulativeLink, grade: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Expected grade and tail probability of each text."""
     k = len(model.grades) - 2 if grade is None else int(np.searchsorted(model.grades, grade)) - 1
+    n = np.diff(word_spans(raw, off)[2])
+    tails = model.tails(scores(raw, off, model.weights[:, None], POWER)[:, 0])
+    expected = model.grades[0] + (tails * np.diff(model.grades)[None, :]).sum(axis=1)
+    tail = tails[:, k] if tails.shape[1] and k >= 0 else np.ones(len(n))
+    return np.where(n == 0, float(model.grades[0]), expected), np.where(n == 0, 0.0, tail)
+
+
+def rate(docs: DataFrame, model: CumulativeLink, grade: int | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
+    """One row per row of docs: doc_id, expected_grade, tail (P(grade >= ``grade``), by default the highest), kept.
+    Null and empty texts have nothing to rate: the lowest grade, tail 0, not kept. Repeated rows are rated alike;
+    without labels every text with words has grade 0 and is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = buffers(batch.column(1))
-            n = np.diff(np.searchsorted(np.flatnonzero(raw > 32), off))
-            tails = model.tails(scores(raw, off, model.weights[:, None], POWER)[:, 0])
-            expected = model.grades[0] + (tails * np.diff(model.grades)[None, :]).sum(axis=1)
-            tail = tails[:, k] if tails.shape[1] and k >= 0 else np.ones(len(n))
-            empty = n == 0
-            expected[empty], tail[empty] = model.grades[0], 0.0
+            expected, tail = judge(*buffers(batch.column(1)), model, grade)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= keep_from)], ["doc_id", "expected_grade", "tail", "kept"])
 
     small_batches(docs.sparkSession)
@@ -97,6 +100,13 @@ def rate(docs: DataFrame, model: CumulativeLink, grade: int | None = None, keep_
 
 
 def select(docs: DataFrame, model: CumulativeLink, grade: int | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of docs (all columns) whose document is kept."""
-    keep = rate(docs, model, grade, keep_from).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    """The rows of docs, with all their columns, whose text is kept: judged and filtered where they are, without a shuffle."""
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, tail = judge(*buffers(batch.column(text).fill_null("")), model, grade)
+            yield batch.filter(pa.array(tail >= keep_from))
+
+    small_batches(docs.sparkSession)
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, docs.schema)
