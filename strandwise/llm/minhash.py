@@ -11,9 +11,9 @@ often, are compared with the members that are not yet in their component; then t
 buckets within one component are done. That leaves, of a group of copies, the few members that no pivot is linked
 with. In the last round the members outside a bucket's largest component are compared with all members of other
 components, so every pair of candidates is either compared or already connected, and no link is lost. As many of
-those pairs are nearly similar enough, a second signature of one bit for each of many values, made for the documents
-that are still in question only, sharpens the estimate before full sets are compared; a pair is met in the first
-band that it shares.
+those pairs are nearly similar enough, a second signature of one bit for each of many values, made after the first
+round and only for the documents that are still in question, sharpens the estimate before full sets are compared. In the last
+round a pair is met in the first band that it shares.
 """
 
 from __future__ import annotations
@@ -180,27 +180,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     least = math.floor(8 * longs * percent / 100 - 5 * sd)
     alike = (F.col("m.n") * 100 >= F.col("p.n") * percent) & (F.col("p.n") * 100 >= F.col("m.n") * percent) & (agreeing(F.col("p.sig"), F.col("m.sig"), longs) >= least)
     before = (F.col("m.degree") < F.col("p.degree")) | ((F.col("m.degree") == F.col("p.degree")) & (F.col("m.id") > F.col("p.id")))
+    share = (1 + percent / 100) / 2
+    enough = math.floor(SHARP * share - SHORT * math.sqrt(SHARP * share * (1 - share)))
+    first = F.coalesce(*(F.when(F.get("p.bands", F.lit(i)) == F.get("m.bands", F.lit(i)), F.lit(i)) for i in range(n_bands(percent / 100))))
     links, labels = None, None
-    for upto in (*PIVOTS, None):
+    for turn, upto in enumerate((*PIVOTS, None)):
         if open_.isEmpty():
             break
+        if turn == 1:
+            # From here on pairs are often nearly similar enough.
+            more = sharp_signatures(docs, open_.select("id"), size).join(classes.select("id", "bands"), "id")
+            open_ = stored(open_.join(more, "id"), "sharp")
+            alike = alike & (same_bits(F.col("p.sharp"), F.col("m.sharp")) >= enough)
         if upto is None:
             # Members outside their bucket's largest component; of two such members the earlier one is the pivot.
             parts = open_.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
             largest = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
             rows = open_.join(largest, ["band", "key"]).withColumn("outside", F.col("component") != F.col("largest"))
-            more = sharp_signatures(docs, rows.select("id"), size).join(classes.select("id", "bands"), "id")
-            rows = stored(rows.join(more, "id"), "sharp")
             p, m = rows.where("outside").alias("p"), rows.alias("m")
-            first = F.coalesce(*(F.when(F.get("p.bands", F.lit(i)) == F.get("m.bands", F.lit(i)), F.lit(i)) for i in range(n_bands(percent / 100))))
-            share = (1 + percent / 100) / 2
-            enough = math.floor(SHARP * share - SHORT * math.sqrt(SHARP * share * (1 - share)))
-            turn = (~F.col("m.outside") | before) & (same_bits(F.col("p.sharp"), F.col("m.sharp")) >= enough) & (first == F.col("p.band"))
+            chosen = (~F.col("m.outside") | before) & (first == F.col("p.band"))
         else:
             by_bucket = Window.partitionBy("band", "key").orderBy(F.desc("degree"), "id")
             p, m = open_.withColumn("turn", F.row_number().over(by_bucket)).where(F.col("turn") <= upto).alias("p"), open_.alias("m")
-            turn = before
-        met = p.join(m, (F.col("p.band") == F.col("m.band")) & (F.col("p.key") == F.col("m.key")) & (F.col("p.component") != F.col("m.component")) & turn & alike)
+            chosen = before
+        met = p.join(m, (F.col("p.band") == F.col("m.band")) & (F.col("p.key") == F.col("m.key")) & (F.col("p.component") != F.col("m.component")) & chosen & alike)
         pairs = stored(met.select(F.col("p.id").alias("a"), F.col("m.id").alias("b")).distinct(), "pairs")
         found = stored(confirm(docs, pairs, size, percent), "confirmed")
         links = found if links is None else links.union(found)
