@@ -35,7 +35,7 @@ ROWS = 4
 #: Pivots of a bucket in the first rounds.
 PIVOTS = (1, 8)
 #: Values of the second signature (64 to a long), and standard deviations that an estimate may fall short.
-SHARP, SHORT = 1024, 5.0
+SHARP, SHORT = 2048, 5.0
 #: Chance to miss a pair just at the threshold, over all bands.
 MISS = 1e-5
 #: Ids sent to all executors at once, at most (8 bytes each); more go through a shuffle.
