@@ -3,12 +3,18 @@
 A softmax classifier, fitted on a bounded sample of the labels table, gives every document its posterior over the
 domains. Document rates are then found by projected gradient descent on the squared, relative distance between the
 expected tokens of each domain, sum of rate * tokens * posterior, and their targets; the projection keeps a
-rate between 0 and ``most``. A pass over the documents returns one sum for each domain; the rates are never
-stored, as every worker can work them out from the document's posterior and the residuals so far.
+rate between 0 and ``most``. A pass over the documents returns one sum for each domain; every worker can work the
+rates out from the document's posterior and the residuals so far, so they are stored only once in ``PASSES`` passes.
+
+The first ``PASSES`` passes have one step size for all documents. Where that leaves a target missed, passes with a
+step size for each document and momentum follow, until the targets are met or it is proven that they can't be: a
+bound on the least possible distance (the duality gap) shows that what was reached is within ``GAP`` of it.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +32,8 @@ DOMAINS = ["low", "toxic", "clean"]
 WEIGHTS = {"low": 0.03, "toxic": 0.05, "clean": 0.92}
 POWER, STEPS, RATE, SHRINK = 0.5, 120, 0.1, 1e-5
 PASSES, CLOSE = 40, 1e-3
+#: Targets that can't be met: the distance left is at most this share above the least possible. Passes after which the descent fails.
+GAP, LIMIT = 0.01, 1000
 #: With ``cover``: the target of the covered domain, as a multiple of all its tokens.
 REACH = 1.05
 
@@ -92,19 +100,43 @@ def rate_column(steps: list[list[float]], domains: list[str], most: float, start
     return F.aggregate(rows, F.lit(start), step)
 
 
-def solve(held: DataFrame, weights: dict[str, float], budget: float | None, cover: str | None, most: float, passes: int = PASSES) -> tuple[list[list[float]], dict[str, float], dict[str, float]]:
-    """The steps of the descent, the targets, and the expected totals that were reached.
+def moved(held: DataFrame, steps: list[list[float]], domains: list[str], most: float) -> DataFrame:
+    """held (with rate, and ``before``: the rate one step earlier) after the given steps: for each, one number and one divisor
+    for each domain, and the momentum."""
+    if not steps:
+        return held
+    n = len(domains)
+
+    def step(state: Column, by: Column) -> Column:
+        at = state["rate"] + F.get(by, F.lit(2 * n)) * (state["rate"] - state["before"])
+        down, over = (sum((F.col(f"p_{d}") * F.get(by, F.lit(first + k)) for k, d in enumerate(domains)), F.lit(0.0)) for first in (0, n))
+        return F.struct(F.least(F.greatest(at - down / F.greatest(over, F.lit(1e-9)), F.lit(0.0)), F.lit(most)).alias("rate"), state["rate"].alias("before"))
+
+    state = F.aggregate(F.lit(steps).cast("array<array<double>>"), F.struct("rate", "before"), step)
+    return held.withColumn("state", state).select("doc_id", "tokens", *(f"p_{d}" for d in domains), "state.rate", "state.before")
+
+
+def solve(held: DataFrame, weights: dict[str, float], budget: float | None, cover: str | None, most: float, passes: int = PASSES) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+    """held with ``rate``, the targets, and the expected totals that were reached. They differ by more than CLOSE only where the
+    targets can't all be met; then the rates are the best ones but for GAP. Raises where LIMIT passes show neither.
 
     budget: tokens in all, as a multiple of the input's. cover: instead, choose the budget so that this domain's target
     is REACH times all its expected tokens, so that nothing of it has to go."""
     domains = list(weights)
 
-    def totals(steps: list[list[float]]) -> np.ndarray:
-        rate = rate_column(steps, domains, most) if steps else F.lit(1.0)
-        row = held.select("tokens", *(f"p_{d}" for d in domains), rate.alias("rate")).agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in domains)).first()
-        return np.array([row[d] or 0.0 for d in domains])
+    def totals(rated: DataFrame, off: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        """Expected totals at ``rate``; with off, the residuals at ``before``: also the duality gap there."""
+        sums = [F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in domains]
+        if off is not None:
+            slope = sum((F.col(f"p_{d}") * F.lit(float(x)) for d, x in zip(domains, off, strict=True)), F.lit(0.0))
+            sums.append(F.sum(F.col("tokens") * F.greatest(slope * F.col("before"), slope * (F.col("before") - F.lit(most)))).alias("_gap"))
+        row = rated.agg(*sums).first()
+        return np.array([row[d] or 0.0 for d in domains]), (row["_gap"] or 0.0) if off is not None else math.inf
+
+    def plain(steps: list[list[float]]) -> DataFrame:
+        return held.withColumn("rate", rate_column(steps, domains, most) if steps else F.lit(1.0))
 
-    natural = totals([])
+    natural, _ = totals(plain([]))
     share = np.array([weights[d] for d in domains]) / sum(weights.values())
     if cover is not None:
         total = REACH * natural[domains.index(cover)] / share[domains.index(cover)]
@@ -112,6 +144,7 @@ def solve(held: DataFrame, weights: dict[str, float], budget: float | None, cove
         total = (1.0 if budget is None else budget) * natural.sum()
     target = np.maximum(share * total, 1e-9)
     pace = 1 / max(1.0, (natural / target).max())
+    named = lambda x: dict(zip(domains, x, strict=True))
     steps: list[list[float]] = []
     now = natural
     while natural.sum() > 0 and len(steps) < passes:
@@ -119,8 +152,31 @@ def solve(held: DataFrame, weights: dict[str, float], budget: float | None, cove
         if np.abs(off).max() < CLOSE:
             break
         steps.append([float(x) for x in pace * np.clip(off, -2, 2)])
-        now = totals(steps)
-    return steps, dict(zip(domains, target, strict=True)), dict(zip(domains, now, strict=True))
+        now, _ = totals(plain(steps))
+    if natural.sum() == 0 or np.abs((now - target) / target).max() < CLOSE:
+        return plain(steps), named(target), named(now)
+
+    # The distance is half the sum of target * off ** 2. A step of 1 / sum(p * natural / target) for each document can't raise it.
+    at, steps = stored(plain(steps).withColumn("before", F.col("rate")), "rates"), []
+    off, past, turn = (now - target) / target, now, 1.0
+    for _ in range(LIMIT):
+        after = (1 + math.sqrt(1 + 4 * turn * turn)) / 2
+        momentum, turn = (turn - 1) / after, after
+        ahead = (now + momentum * (now - past) - target) / target  # totals are linear in the rates
+        steps.append([*map(float, ahead), *map(float, natural / target), momentum])
+        reached, gap = totals(moved(at, steps, domains, most), off)
+        distance = (target * off**2).sum() / 2
+        if gap <= GAP * distance:
+            return moved(at, steps, domains, most).withColumn("rate", F.col("before")).drop("before"), named(target), named(now)
+        past, now = now, reached
+        off = (now - target) / target
+        if np.abs(off).max() < CLOSE:
+            return moved(at, steps, domains, most).drop("before"), named(target), named(now)
+        if (target * off**2).sum() / 2 > distance:
+            turn = 1.0
+        if len(steps) == PASSES:
+            at, steps = stored(moved(at, steps, domains, most), "rates"), []
+    raise RuntimeError(f"after {passes + LIMIT} passes the totals {named(now)} neither meet the targets {named(target)} nor are known to be the nearest")
 
 
 def mix(docs: DataFrame, model: Softmax, weights: dict[str, float] = WEIGHTS, budget: float | None = None, cover: str | None = None, most: float = 1.0, seed: int = 0) -> DataFrame:
@@ -128,12 +184,16 @@ def mix(docs: DataFrame, model: Softmax, weights: dict[str, float] = WEIGHTS, bu
     down by a hash of the id, so that on average it is the rate.
 
     Null and empty texts have no tokens; they follow the prior. Repeated rows get the same rate. An empty table gives
-    no rows. weights: relative, one for each domain of the model."""
+    no rows. weights: relative, one for each domain of the model. Targets that no rates between 0 and ``most`` meet
+    (but for that of a covered domain, which is out of reach on purpose) are approached as far as can be, with a warning
+    that names them."""
     domains = list(weights)
     held = stored(memberships(docs, model, domains), "memberships")
-    steps, _, _ = solve(held, weights, budget, cover, most)
+    rated, target, reached = solve(held, weights, budget, cover, most)
+    missed = {d: reached[d] / target[d] for d in domains if d != cover and abs(reached[d] / target[d] - 1) >= CLOSE and sum(reached.values()) > 0}
+    if missed:
+        warnings.warn("out of reach; share of the target that is reached: " + ", ".join(f"{d} {x:.3f}" for d, x in missed.items()), stacklevel=2)
     dice = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rated = held.withColumn("rate", rate_column(steps, domains, most) if steps else F.lit(1.0))
     return rated.withColumn("copies", (F.floor("rate") + (dice < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 

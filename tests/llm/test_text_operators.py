@@ -213,6 +213,31 @@ def test_covering_a_domain_keeps_its_documents(tables):
     assert sum(r.copies == 1 for r in sure) >= 0.98 * len(sure)
 
 
+def held_memberships(spark, counts, each=20):
+    """One-hot memberships: documents of ``each`` words in every domain."""
+    rows = [(i, each, *(float(x == k) for x in range(len(counts)))) for i, k in enumerate(k for k, n in enumerate(counts) for _ in range(n))]
+    return spark.createDataFrame(rows, "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in X.DOMAINS))
+
+
+@pytest.mark.parametrize("counts", [(40, 10, 50), (60, 7, 33)])
+def test_targets_are_met_where_one_domain_dominates(spark, counts):
+    rated, target, reached = X.solve(held_memberships(spark, counts), X.WEIGHTS, 0.9, None, 4.0)
+    total = {d: rated.agg(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}"))).first()[0] for d in X.DOMAINS}
+    for d, share in X.WEIGHTS.items():
+        assert abs(total[d] / (0.9 * 20 * 100 * share) - 1) < X.CLOSE and abs(total[d] - reached[d]) < 1e-6 and abs(target[d] / (0.9 * 20 * 100 * share) - 1) < 1e-9
+    assert rated.where("rate < 0 or rate > 4").count() == 0
+
+
+def test_targets_out_of_reach_are_approached_and_named(spark, monkeypatch):
+    held = held_memberships(spark, (90, 5, 5))
+    rated, target, reached = X.solve(held, X.WEIGHTS, 0.9, None, 4.0)
+    assert {r.rate for r in rated.where("p_clean = 1").collect()} == {4.0} and abs(reached["clean"] - 4 * 20 * 5) < 1e-6
+    assert all(abs(reached[d] / target[d] - 1) < X.CLOSE for d in ("low", "toxic"))
+    monkeypatch.setattr(X, "memberships", lambda *_: held)
+    with pytest.warns(UserWarning, match="out of reach.*clean 0.24"):
+        X.mix(held, None, X.WEIGHTS, 0.9, most=4.0)
+
+
 def test_resampling_repeats_and_drops_rows(spark, docs, empty):
     mixed = docs.select("doc_id", (F.col("doc_id") % 3).alias("copies"))
     again = X.resample(docs, mixed)
