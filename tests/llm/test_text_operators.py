@@ -118,6 +118,16 @@ def test_redacted_text(spark, empty):
     assert pii.detect(empty).count() == 0
 
 
+def every_candidate():
+    return pii.Selector([], dict.fromkeys(pii.CANDIDATE_PATTERNS, 0.0))
+
+
+def test_secrets_after_a_colon(spark):
+    some = ["password: Xk39fjw02mQz", "set API_KEY:'ab12cd34ef56' now", "password Xk39fjw02mQz", "a: b"]
+    rows = pii.redact(make(spark, some), every_candidate()).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["<secret>", "set <secret>' now", *some[2:]]
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------------
 
 
