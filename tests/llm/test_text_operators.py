@@ -128,6 +128,14 @@ def test_secrets_after_a_colon(spark):
     assert [r.text for r in rows] == ["<secret>", "set <secret>' now", *some[2:]]
 
 
+@pytest.mark.parametrize("n", [24, 128, 129, 300, 5000])
+def test_long_secrets_are_taken_whole(spark, n):
+    digits = ("0123456789abcdef" * n)[:n]
+    some = [f"token = {'Ab1-' * (n // 4)} end", f"sum {digits} end", f"sum {digits}g end"]
+    rows = pii.redact(make(spark, some), every_candidate()).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["<secret> end", "sum <hex> end", some[2]]
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------------
 
 
