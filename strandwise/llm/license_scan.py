@@ -112,7 +112,7 @@ def rules() -> list[Rule]:
     return sorted(made, key=lambda r: (r.priority, r.label))
 
 
-#: Only texts with one of these are looked at by any rule.
+#: Only texts whose words, joined by single spaces, hold one of these are looked at by any rule.
 GATE = [b"licen", b"cc by", b"cc0", b"cc-by", b"commons", b"spdx", b"public domain", b"rights reserved", b"gpl", b"gfdl", b"mpl", b"epl", b"cddl", b"eupl", b"bsl", b"asl", b"odbl", b"wtfpl", b"bsd", b"proprietary", b"opensource", b"joinup", b"mozilla", b"eclipse", b"boost", b"opendatacommons", b"sil org", b"php net", b"berkeley"]
 GAP = np.ones(256, bool)
 GAP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -173,9 +173,8 @@ def scan(docs: DataFrame) -> DataFrame:
             out: list[list] = [[] for _ in range(9)]
             for doc_id, n, a, b in zip(batch.column(0).to_pylist(), n_words.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
                 places, stand = [], []
-                text = whole[a:b]
-                if any(x in text for x in GATE) or b"cc" in text:
-                    words = b" ".join(text.split())
+                words = b" ".join(whole[a:b].split())
+                if any(x in words for x in GATE) or b"cc" in words:
                     places, stand = base_places(words), detections(words, table)
                 borders, missing = word_borders(words) if stand else None, 1.0
                 for _, _, rule in stand:

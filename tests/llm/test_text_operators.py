@@ -63,6 +63,13 @@ def test_contained_detections_are_suppressed():
     assert L.detections(b"this is not licensed under the mit license", rules) == []
 
 
+def test_licences_wrapped_over_lines(spark):
+    some = ["/* All rights\n * reserved */", "# dedicated to the public\n# domain", "see scripts.sil\n  .org/OFL", "all rights are\n * reserved"]
+    rows = {r.doc_id: r for r in L.scan(make(spark, some)).collect()}
+    assert [rows[i].labels for i in range(4)] == ["proprietary", "public-domain", "ofl", ""]
+    assert [(x.label, x.first_word, x.end_word) for x in rows[0].found] == [("proprietary", 0, 3)] and rows[0].score > 0
+
+
 def test_licences_of_nothing(empty):
     assert L.scan(empty).count() == 0
 
