@@ -11,6 +11,7 @@ what is collected is one number for each input partition.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,24 +28,25 @@ END_ID = 1
 
 
 def encoder(ranks_path: str, json_path: str, pattern: str) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids. The ranks file holds the same vocabulary as the JSON file and is
-    read by the faster library; where that library gives up (runs of a million spaces), the other one is asked."""
+    """A function from a text to its ids, those that the JSON file gives as it is loaded: its added tokens are found in a text,
+    none is put around it. The ranks file holds the same vocabulary and is read by the faster library; where that
+    library gives up (runs of a million spaces), the other one is asked."""
     import tiktoken
 
     with open(ranks_path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    with open(json_path, encoding="utf-8") as file:
+        added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+    fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
     def slow(text: str) -> np.ndarray:
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(json_path)
-        whole.encode_special_tokens = True
-        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(Tokenizer.from_file(json_path).encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(text: str) -> np.ndarray:
         try:
-            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
         except BaseException as error:  # the library's panics don't derive from Exception
             if type(error).__name__ != "PanicException":
                 raise

@@ -55,7 +55,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     base = F.concat(*(pii.listed(k, F.col(k)) for k in pii.BASE_PATTERNS))
     more = F.concat(*(pii.listed(k, pii.of_kind("more", k)) for k in pii.CANDIDATE_PATTERNS))
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE_PATTERNS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE_PATTERNS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"), F.size(F.concat(base, more)).cast("long").alias("n_spans"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

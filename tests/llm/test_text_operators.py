@@ -112,7 +112,15 @@ def test_trees_choose_candidates_that_base_spans_leave(tables):
     rows = pii.detect(docs, selector).collect()
     text = {r.doc_id: r.text for r in docs.collect()}
     chosen = [(s.kind, text[r.doc_id][s.start : s.end]) for r in rows for s in r.more]
-    assert chosen and all(re.search(r"[0-9]", v) for k, v in chosen if k in ("secret", "hex"))
+    assert chosen and all(re.search(r"[0-9]", v) for k, v in chosen if k in ("secret", "opaque"))
+    # Every assignment to a secret's name is found, and every long number that only fails the checksum; once each.
+    assigned = {(i, m.start()) for i, t in text.items() for m in re.finditer(r'token = "[0-9a-f]{40}', t or "")}
+    found = {(r.doc_id, s.start) for r in rows for s in r.more if s.kind == "secret"}
+    assert assigned and assigned <= found
+    for r in rows:
+        assert all(a.end <= b.start for a, b in zip(r.more, r.more[1:], strict=False))
+        for m in re.finditer(r"(?<![0-9A-Za-z.+ -])\b[0-9]{16}\b(?![ -]?[0-9A-Za-z-])", text[r.doc_id] or ""):
+            assert any(s.start <= m.start() < s.end for k in (*pii.BASE_PATTERNS, "more") for s in r[k])
     for r in rows:
         assert [(k, s.start, s.end) for k in pii.BASE_PATTERNS for s in r[k]] == brute_spans(text[r.doc_id])
     plan = pii.detect(docs, selector)._jdf.queryExecution().toString()
@@ -125,6 +133,12 @@ def test_redacted_text(spark, empty):
     assert pii.detect(empty).count() == 0
 
 
+def test_rows_that_share_a_doc_id_are_redacted_each_by_its_own_spans(spark):
+    rows = make(spark, ["nothing here", "see x@y.zw"])
+    got = pii.redact(rows.withColumn("doc_id", F.lit(1).cast("long")), pii.Selector([], {})).collect()
+    assert sorted(r.text for r in got) == ["nothing here", "see <email>"]
+
+
 def every_candidate():
     return pii.Selector([], dict.fromkeys(pii.CANDIDATE_PATTERNS, 0.0))
 
@@ -138,9 +152,49 @@ def test_secrets_after_a_colon(spark):
 @pytest.mark.parametrize("n", [24, 128, 129, 300, 5000])
 def test_long_secrets_are_taken_whole(spark, n):
     digits = ("0123456789abcdef" * n)[:n]
-    some = [f"token = {'Ab1-' * (n // 4)} end", f"sum {digits} end", f"sum {digits}g end"]
+    some = [f"token = {'Ab1-' * (n // 4)} end", f"sum {digits} end", f"sum {'7' * n} end", f"user {'a' * n} at {'b' * n} dot {'c' * n} end"]
     rows = pii.redact(make(spark, some), every_candidate()).orderBy("doc_id").collect()
-    assert [r.text for r in rows] == ["<secret> end", "sum <hex> end", some[2]]
+    assert [r.text for r in rows] == ["<secret> end", "sum <opaque> end", "sum <number> end", "user <spelt_email> end"]
+
+
+def test_the_best_of_overlapping_candidates_stands(spark):
+    rows = spark.sql("SELECT array(" + ", ".join(f"named_struct('kind', 'k', 'start', {a}, 'end', {b}, 'value', 'v', 'score', {s}D)" for a, b, s in [(5, 9, 0.5), (0, 6, 0.4), (8, 12, 0.9), (12, 14, 0.1), (20, 25, 0.3), (20, 30, 0.3)]) + ") AS x")
+    got = rows.select(pii.best_of_overlapping(F.col("x")).alias("x")).first().x
+    assert [(s.start, s.end) for s in got] == [(8, 12), (12, 14), (20, 30)]
+
+
+def test_what_stands_alone_in_another_notation_is_found(spark):
+    """Trees learn from base spans and named secrets; what they are asked about has no base form anywhere."""
+    rng = __import__("random").Random(4)
+
+    def digits(n):
+        return "".join(str(rng.randrange(10)) for _ in range(n))
+
+    def card():
+        body = digits(15)
+        return next(body + str(d) for d in range(10) if luhn(body + str(d)))
+
+    def key():
+        return "".join(rng.choice("abcdefABCDEF0123456789xyzXYZ") for _ in range(30)) + "7"
+
+    def phone():
+        return f"({digits(3)}) {digits(3)}-{digits(4)}"
+
+    some = []
+    for _ in range(90):
+        some.append(f"{prose(rng, 12)} {rng.choice('abcdef')}{digits(2)}@mail{digits(1)}.example.com {prose(rng, 6)} {card()} {prose(rng, 5)} +1 {phone()} {prose(rng, 4)}")
+        some.append(f"{prose(rng, 8)} api_key = '{key()}' and build = stable-release {prose(rng, 5)} order 1234567 size 20000000 of http://example.com/some-long-path {prose(rng, 6)}")
+    selector = pii.fit(make(spark, some))
+    plain = prose(rng, 200)
+    bad = card()
+    bad = bad[:-1] + str((int(bad[-1]) + 3) % 10)
+    asked = [f"ask {phone()} please", "ask k77 at mail3 dot example dot com please", f"pay {bad} please", f"use {key()} please", f"secret: {key()} please", plain, "ask 1234567 please", "build = stable-release please"]
+    got = {r.doc_id: [s.kind for s in r.more] for r in pii.detect(make(spark, asked), selector).collect()}
+    assert [got[i] for i in range(8)] == [["local_phone"], ["spelt_email"], ["number"], ["opaque"], ["secret"], [], [], []]
+
+
+def test_labels_of_the_training_rows_are_no_features():
+    assert not {"named", "named_before"} & set(pii.FEATURES)
 
 
 # --- toxicity -----------------------------------------------------------------------------------------------------------
