@@ -2,37 +2,52 @@
 
 A digest of the text without white space decides. Every input partition first merges its own rows (so that
 a text which makes up a third of all rows reaches the next step once for each partition), then the digests
-go to buckets. Each bucket keeps a cuckoo filter of its live digests and, beside it, the stored keys: a
-filter hit is verified against the stored keys, a full filter is built anew, larger, from them. Digests can
-be inserted and deleted later (``maintain``).
+go to buckets of about ``BUCKET`` digests, which a task works on one after the other. Each bucket has a cuckoo filter of its live digests
+and the stored keys: a filter hit is verified against the bucket's keys, a miss needs no look at them; a full
+filter is built anew, larger, from the stored keys.
+
+``ExactIndex`` keeps filters and live rows between batches. Documents are inserted and deleted by ``maintain``: the filters tell
+which digests can be live at all, only those are looked up among the live rows, and only filters of buckets that changed are rewritten.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches, stored, text_or_empty
 from .text_kernel import buffers
 
 WHITE = b" \t\n\x0b\x0c\r"
-#: Buckets for each shuffle partition: small buckets keep a filter within a few MB.
 SLOTS, MAX_KICKS = 4, 256
+#: Digests in a bucket, on average: a filter of 0.3 MB, keys of some 20 MB in a task.
+BUCKET = 100_000
 
 
 class CuckooFilter:
     """16-bit fingerprints, four slots in a bucket, two buckets for each fingerprint."""
 
-    def __init__(self, capacity: int = 256):
-        self.n_buckets = 1 << max(4, int(capacity / SLOTS / 0.9).bit_length())
-        self.slots: list[list[int]] = [[] for _ in range(self.n_buckets)]
+    def __init__(self, capacity: int = 256, held: bytes | None = None):
+        if held is None:
+            self.n_buckets = 1 << max(4, int(capacity / SLOTS / 0.9).bit_length())
+            self.slots: list[list[int]] = [[] for _ in range(self.n_buckets)]
+        else:
+            marks = np.frombuffer(held, "<u2").reshape(-1, SLOTS)
+            self.n_buckets = len(marks)
+            self.slots = [[x for x in row if x] for row in marks.tolist()]
         self._turn = 0
 
+    def to_bytes(self) -> bytes:
+        """Fingerprints are never 0, which marks a free slot."""
+        return np.array([x + [0] * (SLOTS - len(x)) for x in self.slots], "<u2").tobytes()
+
     def _places(self, digest: bytes) -> tuple[int, int, int]:
         mark = int.from_bytes(digest[:2], "little") or 1
         first = int.from_bytes(digest[2:10], "little") & (self.n_buckets - 1)
@@ -73,8 +88,17 @@ class CuckooFilter:
         return False
 
 
+def filter_of(keys: list[bytes], capacity: int) -> CuckooFilter:
+    """A filter with all keys, doubled until they fit."""
+    while True:
+        made = CuckooFilter(capacity)
+        if all(made.insert(x) for x in keys):
+            return made
+        capacity = made.n_buckets * SLOTS * 2
+
+
 class DigestIndex:
-    """A cuckoo filter before a store of live keys. A record: [characters, doc_id to keep, rows]."""
+    """One bucket: a cuckoo filter before a store of live keys. A record: [characters, doc_id to keep, rows]."""
 
     def __init__(self, capacity: int = 256):
         self.filter = CuckooFilter(capacity)
@@ -89,26 +113,15 @@ class DigestIndex:
             return
         self.store[digest] = [length, doc_id, rows]
         if not self.filter.insert(digest):
-            self._grow()
-
-    def _grow(self) -> None:
-        size = self.filter.n_buckets * SLOTS
-        while True:
-            size *= 2
             self.resizes += 1
-            self.filter = CuckooFilter(size)
-            if all(self.filter.insert(x) for x in self.store):
-                return
+            self.filter = filter_of(list(self.store), self.filter.n_buckets * SLOTS * 2)
 
-    def remove(self, digest: bytes, rows: int = 1) -> bool:
-        """Take rows off a live digest; with its last row it leaves filter and store. False: it wasn't live."""
-        if digest not in self.filter or (held := self.store.get(digest)) is None:
-            return False
-        held[2] -= rows
-        if held[2] <= 0:
-            del self.store[digest]
-            self.filter.delete(digest)
-        return True
+    def records(self) -> Iterator[pa.RecordBatch]:
+        keys = list(self.store)
+        for at in range(0, len(keys), 10_000):
+            some = keys[at : at + 10_000]
+            values = np.array([self.store[k] for k in some], np.int64).reshape(len(some), 3)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *(pa.array(values[:, i]) for i in range(3))], ["digest", "n_chars", "keep_id", "group_size"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -126,69 +139,147 @@ def digests(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, digest binary, n_chars long")
 
 
+def bucket_of(buckets: int, digest: str = "digest") -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(buckets)).cast("int")
+
+
+def n_buckets(rows: DataFrame) -> int:
+    """rows: stored, so that counting reads no more than the files' footers."""
+    return rows.count() // BUCKET + 1
+
+
 RECORD = "digest binary, n_chars long, keep_id long, group_size long"
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the same digest merged as far as BUCKET digests at a time allow."""
     index = DigestIndex()
     for batch in batches:
-        columns = (batch.column(i).to_pylist() for i in range(4))
-        for digest, length, doc_id, rows in zip(*columns, strict=True):
-            index.put(digest, length, doc_id, rows)
-    keys = list(index.store)
-    for at in range(0, len(keys), 10_000):
-        some = keys[at : at + 10_000]
-        values = np.array([index.store[k] for k in some], np.int64).reshape(len(some), 3)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *(pa.array(values[:, i]) for i in range(3))], ["digest", "n_chars", "keep_id", "group_size"])
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            index.put(*row)
+        if len(index.store) > BUCKET:
+            yield from index.records()
+            index = DigestIndex()
+    yield from index.records()
+
+
+def _merge_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come bucket by bucket; only one bucket is held."""
+    index, at = DigestIndex(), None
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if bucket != at:
+                yield from index.records()
+                index, at = DigestIndex(), bucket
+            index.put(*row)
+    yield from index.records()
 
 
 def build_index(rows: DataFrame) -> DataFrame:
-    """The live digests of (doc_id, digest, n_chars): one row for each, with the document to keep (most
+    """The live digests of stored (doc_id, digest, n_chars): one row for each, with the document to keep (most
     characters, then smallest doc_id) and the number of rows. Rows are merged within each partition before
-    the shuffle, so no digest sends more rows to its bucket than there are partitions."""
+    the shuffle, so a digest sends no more rows to its bucket than there are partitions (or parts of them)."""
     ones = rows.select("digest", "n_chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    local = ones.mapInArrow(_merge, RECORD)
-    return local.repartition("digest").mapInArrow(_merge, RECORD)
-
-
-def maintain(index: DataFrame, changes: DataFrame) -> DataFrame:
-    """The index after ``changes`` (digest, n_chars, keep_id, group_size; a negative group_size deletes that many
-    rows). In each bucket all insertions precede all deletions; deleting what is not live changes nothing."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, gone = DigestIndex(), []
-        for batch in batches:
-            for digest, length, doc_id, rows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if rows < 0:
-                    gone.append((digest, -rows))
-                else:
-                    held.put(digest, length, doc_id, rows)
-        for digest, rows in gone:
-            held.remove(digest, rows)
-        keys = list(held.store)
-        values = np.array([held.store[k] for k in keys], np.int64).reshape(len(keys), 3)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(values[:, i]) for i in range(3))], ["digest", "n_chars", "keep_id", "group_size"])
-
-    names = ["digest", "n_chars", "keep_id", "group_size"]
-    less = changes.groupBy("digest", (F.col("group_size") < 0).alias("_out")).agg(F.max("n_chars").alias("n_chars"), F.min(F.struct((-F.col("n_chars")).alias("a"), "keep_id")).alias("_best"), F.sum("group_size").alias("group_size")).select("digest", "n_chars", F.col("_best.keep_id").alias("keep_id"), "group_size")
-    return index.select(names).unionByName(less.select(names)).repartition("digest").mapInArrow(run, RECORD)
+    local = ones.mapInArrow(_merge_local, RECORD).select(bucket_of(n_buckets(rows)).alias("bucket"), "*")
+    return local.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_buckets, RECORD)
+
+
+@dataclass
+class ExactIndex:
+    """live: (digest, n_chars, doc_id, rows); filters: (bucket, slots), one row for each bucket."""
+
+    live: DataFrame
+    filters: DataFrame
+    buckets: int
+
+    def records(self) -> DataFrame:
+        """One row for each live digest: the document to keep and the number of rows, partially aggregated before the shuffle."""
+        best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("low")))
+        found = self.live.groupBy("digest").agg(best.alias("best"), F.sum("rows").alias("group_size"))
+        return found.select("digest", F.col("best.n_chars").alias("n_chars"), (-F.col("best.low")).alias("keep_id"), "group_size")
+
+
+LIVE = ["digest", "n_chars", "doc_id", "rows"]
+FILTERS = "bucket int, slots binary"
+
+
+def _new_filter(key: tuple, keys: pd.DataFrame) -> pd.DataFrame:
+    held = keys["digest"].tolist()
+    return pd.DataFrame({"bucket": [key[0]], "slots": [filter_of(held, 2 * len(held)).to_bytes()]})
+
+
+def start_index(rows: DataFrame, buckets: int | None = None) -> ExactIndex:
+    """An index of (doc_id, digest, n_chars), possibly empty. buckets: for the size that the index will reach; by default for the rows given."""
+    rows = stored(rows.select("digest", "n_chars", "doc_id"), "rows")
+    buckets = buckets or n_buckets(rows)
+    live = stored(rows.groupBy("digest", "n_chars", "doc_id").agg(F.count("*").alias("rows")), "live")
+    keys = live.select(bucket_of(buckets).alias("bucket"), "digest").distinct()
+    return ExactIndex(live, stored(keys.groupBy("bucket").applyInPandas(_new_filter, FILTERS), "filters"), buckets)
+
+
+def maintain(index: ExactIndex, changes: DataFrame) -> ExactIndex:
+    """The index after ``changes`` (digest, n_chars, doc_id, rows). Positive rows are inserted; negative ones delete that many rows
+    of this document with this digest and length, so that the next best document of a group is kept from then on. All changes of
+    a row add up before they take effect; deleting what isn't live changes nothing."""
+    buckets = index.buckets
+    wanted = stored(changes.groupBy("digest", "n_chars", "doc_id").agg(F.sum("rows").alias("rows")).where("rows <> 0"), "changes")
+    asked = wanted.select(bucket_of(buckets).alias("bucket"), "digest").distinct()
+
+    def screen(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+        held = CuckooFilter(held=filters["slots"].iloc[0]) if len(filters) else CuckooFilter()
+        return keys.assign(hit=[x in held for x in keys["digest"]])[["digest", "hit"]]
+
+    screened = stored(asked.groupBy("bucket").cogroup(index.filters.groupBy("bucket")).applyInPandas(screen, "digest binary, hit boolean"), "screened")
+    hits = screened.where("hit").select("digest")
+    # What may be live is looked up among the live rows; the rest is new, and deletions of it are void.
+    near = index.live.join(hits, "digest", "left_semi")
+    before = stored(near.select("digest").distinct(), "before")
+    summed = near.unionByName(wanted.join(hits, "digest", "left_semi")).groupBy("digest", "n_chars", "doc_id").agg(F.sum("rows").alias("rows"))
+    fresh = wanted.join(hits, "digest", "left_anti")
+    touched = stored(summed.unionByName(fresh).where("rows > 0").select(LIVE), "touched")
+    after = touched.select("digest").distinct()
+    live = stored(index.live.join(hits, "digest", "left_anti").select(LIVE).unionByName(touched), "live")
+
+    come = after.join(before, "digest", "left_anti").withColumn("step", F.lit(1))
+    gone = before.join(after, "digest", "left_anti").withColumn("step", F.lit(-1))
+    steps = come.unionByName(gone).select(bucket_of(buckets).alias("bucket"), "digest", "step")
+
+    def change(key: tuple, filters: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        """No slots: the filter overflowed."""
+        if not len(steps):
+            return filters
+        held = CuckooFilter(held=filters["slots"].iloc[0]) if len(filters) else CuckooFilter(2 * len(steps))
+        for digest in steps.loc[steps["step"] < 0, "digest"]:
+            held.delete(digest)
+        fits = all(held.insert(x) for x in steps.loc[steps["step"] > 0, "digest"])
+        return pd.DataFrame({"bucket": [key[0]], "slots": [held.to_bytes() if fits else None]})
+
+    changed = stored(index.filters.groupBy("bucket").cogroup(steps.groupBy("bucket")).applyInPandas(change, FILTERS), "filters")
+    full = changed.where("slots is null").select("bucket")
+    keys = live.select(bucket_of(buckets).alias("bucket"), "digest").join(full, "bucket", "left_semi").distinct()
+    larger = keys.groupBy("bucket").applyInPandas(_new_filter, FILTERS)
+    return ExactIndex(live, stored(changed.where("slots is not null").unionByName(larger), "filters"), buckets)
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, digest.
+    """One row per document: doc_id, keep_id, group_size, kept, digest, n_chars, keep_chars (characters of the row that stays).
 
     Null and empty texts form one group. Ties on characters go to the smallest doc_id. Where rows repeat
     whole, with the same doc_id, all of them carry ``kept`` (``deduplicate`` returns one of them). An empty
     table gives no rows; further columns of docs are not looked at.
     """
     rows = stored(digests(docs), "digests")
-    index = build_index(rows).select("digest", "keep_id", "group_size")
-    # A digest with one row needs no partner; the rest meet in a join whose skewed partitions Spark splits.
-    return rows.join(index, "digest").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest")
+    index = build_index(rows).select("digest", "keep_id", "group_size", F.col("n_chars").alias("keep_chars"))
+    # Spark splits a partition of rows that one digest makes too large (adaptive skew join): the index has a row for each digest.
+    return rows.join(index, "digest").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest", "n_chars", "keep_chars")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of whole repeats of a kept row, one."""
-    keep = groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of docs that stay, with all their columns: one of each group. A row is told by doc_id, digest and length, so rows
+    of different texts that share a doc_id are told apart; of rows equal in all three one stays."""
+    keep = groups(docs).where("kept and n_chars = keep_chars").select(F.col("doc_id").alias("key"), F.lower(F.hex("digest")).alias("digest"), "n_chars").distinct()
+    text = text_or_empty()
+    digest = F.sha2(F.translate(text, WHITE.decode(), ""), 256)
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("key"), digest.alias("digest"), F.length(text).cast("long").alias("n_chars"), F.struct("*").alias("row"))
+    names = ["key", "digest", "n_chars"]
+    return rows.join(keep, names, "left_semi").dropDuplicates(names).select("row.*")

@@ -36,34 +36,82 @@ def test_empty_table_and_null_ids(spark, docs, empty):
     assert E.groups(odd).count() == docs.where("doc_id > 3").count()
 
 
+def test_rows_of_different_texts_that_share_a_doc_id_are_told_apart(spark):
+    from .conftest import make
+
+    rows = make(spark, ["aaa", "bbb", "b b b", "b  bb", "bbb", "ccc"]).withColumn("doc_id", F.when(F.col("doc_id") < 5, 1).otherwise(2).cast("long"))
+    assert sorted(r.text for r in E.deduplicate(rows).collect()) in (["aaa", "b b b", "ccc"], ["aaa", "b  bb", "ccc"])
+
+
 def test_filter_keeps_all_it_holds_and_forgets_what_is_deleted():
     rng = random.Random(1)
-    index = E.DigestIndex(16)
-    live = {}
-    for step in range(5000):
+    held, live = E.CuckooFilter(2000), set()
+    for _ in range(5000):
         key = hashlib.sha256(str(rng.randrange(1500)).encode()).digest()
-        if rng.random() < 0.6:
-            index.put(key, step % 7, step)
-            live[key] = live.get(key, 0) + 1
+        if key in live:
+            assert held.delete(key)
+            live.remove(key)
         else:
-            assert index.remove(key) == (key in live)
-            if key in live:
-                live[key] -= 1
-                if not live[key]:
-                    del live[key]
-    assert index.resizes > 0 and set(index.store) == set(live)
-    assert all(k in index.filter for k in live)
-    gone = sum(hashlib.sha256(f"x{i}".encode()).digest() in index.filter for i in range(20_000))
-    assert gone < 40
-
-
-def test_index_takes_insertions_and_deletions(spark):
+            assert held.insert(key)
+            live.add(key)
+    again = E.CuckooFilter(held=held.to_bytes())
+    for one in (held, again):
+        assert all(k in one for k in live)
+        assert sum(hashlib.sha256(f"x{i}".encode()).digest() in one for i in range(20_000)) < 40
+    for k in live:
+        again.delete(k)
+    assert not any(again.slots)
+
+
+def test_an_overflow_builds_a_larger_filter_from_the_stored_keys():
+    index = E.DigestIndex(16)
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    for i, k in enumerate(keys):
+        index.put(k, 1, i)
+    assert index.resizes > 0 and set(index.store) == set(keys) and all(k in index.filter for k in keys)
+
+
+LIVE = "digest binary, n_chars long, doc_id long, rows long"
+
+
+def records(index):
+    return {bytes(r.digest): (r.keep_id, r.group_size) for r in index.records().collect()}
+
+
+def test_deleting_the_kept_document_brings_the_next_best_forward(spark):
     d = [bytes([i]) * 32 for i in range(4)]
-    shape = "digest binary, n_chars long, keep_id long, group_size long"
-    index = spark.createDataFrame([(d[0], 5, 1, 2), (d[1], 6, 2, 1)], shape)
-    changes = spark.createDataFrame([(d[0], 9, 7, 1), (d[1], 6, 2, -1), (d[2], 3, 3, 1), (d[3], 1, 1, -1)], shape)
-    got = {bytes(r.digest): (r.keep_id, r.group_size) for r in E.maintain(index, changes).collect()}
-    assert got == {d[0]: (7, 3), d[2]: (3, 1)}
+    index = E.start_index(spark.createDataFrame([(d[0], 5, 1), (d[0], 4, 2), (d[1], 6, 2)], "digest binary, n_chars long, doc_id long"), 3)
+    assert records(index) == {d[0]: (1, 2), d[1]: (2, 1)}
+    changes = [(d[0], 5, 1, -1), (d[1], 6, 2, -1), (d[2], 3, 3, 1), (d[3], 1, 1, -1), (d[0], 4, 9, -1)]
+    index = E.maintain(index, spark.createDataFrame(changes, LIVE))
+    assert records(index) == {d[0]: (2, 1), d[2]: (3, 1)}
+    index = E.maintain(index, spark.createDataFrame([(d[0], 9, 7, 1)], LIVE))
+    assert records(index) == {d[0]: (7, 2), d[2]: (3, 1)}
+
+
+def test_batches_of_changes_against_brute_force(spark):
+    rng = random.Random(2)
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(400)]
+    index, live = E.start_index(spark.createDataFrame([], "digest binary, n_chars long, doc_id long"), 2), {}
+    for _ in range(3):
+        changes = {}
+        for _ in range(500):
+            row = (rng.choice(keys), rng.randrange(3), rng.randrange(4))
+            changes[row] = rng.choice([1, 1, 2, -1, -5])
+        index = E.maintain(index, spark.createDataFrame([(*k, n) for k, n in changes.items()], LIVE))
+        for row, n in changes.items():
+            if (total := max(0, live.get(row, 0) + n)) > 0:
+                live[row] = total
+            else:
+                live.pop(row, None)
+        expected = {}
+        for (k, chars, doc), n in live.items():
+            expected.setdefault(k, []).append((-chars, doc, n))
+        assert records(index) == {k: (min(v)[1], sum(x[2] for x in v)) for k, v in expected.items()}
+    filters = {r.bucket: E.CuckooFilter(held=bytes(r.slots)) for r in index.filters.collect()}
+    buckets = {bytes(r.digest): r.b for r in index.live.select("digest", E.bucket_of(2).alias("b")).collect()}
+    assert all(k in filters[b] for k, b in buckets.items())
+    assert sum(len(x) for f in filters.values() for x in f.slots) == len(buckets)
 
 
 def brute_tokens(text):
