@@ -25,6 +25,11 @@ def documents(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *more)
 
 
+def text_key() -> Column:
+    """64 bits of the text. With the doc_id it tells rows apart that share the id; only such rows could be confused."""
+    return F.xxhash64(text_or_empty())
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the memory of Python workers: few rows in each Arrow batch, unless fewer are set already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

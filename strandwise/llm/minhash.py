@@ -6,7 +6,7 @@ representative. Representatives that share a band are candidates; a candidate pa
 too few values is dropped (the bound is five standard deviations below what similar sets show), and every other
 one is confirmed on the full shingle sets.
 
-No bucket is turned into all its pairs. In the first rounds a few pivots of each bucket, the documents that collide most
+No bucket is turned into all its pairs. In the first rounds a few pivots of each bucket, those among its documents that collide most
 often, are compared with the members that are not yet in their component; then the components are formed anew, and
 buckets within one component are done. That leaves, of a group of copies, the few members that no pivot is linked
 with. In the last round the members outside a bucket's largest component are compared with all members of other
@@ -14,6 +14,9 @@ components, so every pair of candidates is either compared or already connected,
 those pairs are nearly similar enough, a second signature of one bit for each of many values, made after the first
 round and only for the documents that are still in question, sharpens the estimate before full sets are compared. In the last
 round a pair is met in the first band that it shares.
+
+A bucket may hold a third of all documents. Pivots come from aggregations with partial results; where members meet pivots or their bucket's
+figures, large buckets are dealt over parts of about ``PART`` members, and the few rows on the other side go to every part.
 """
 
 from __future__ import annotations
@@ -27,18 +30,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stored
+from .common import documents, small_batches, stored, text_key
 from .components import components
 from .text_kernel import U64, buffers, distinct_in_each, mix, shingles, word_hashes
 
 ROWS = 4
 #: Pivots of a bucket in the first rounds.
 PIVOTS = (1, 8)
+#: Members of a bucket that one join key holds, about.
+PART = 1000
 #: Values of the second signature (64 to a long), and standard deviations that an estimate may fall short.
 SHARP, SHORT = 2048, 5.0
 #: Chance to miss a pair just at the threshold, over all bands.
 MISS = 1e-5
-#: Ids sent to all executors at once, at most (8 bytes each); more go through a shuffle.
+#: Classes sent to all executors at once, at most (24 bytes each); more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 _numbers = np.random.Generator(np.random.PCG64(20240611))
 MULTIPLIERS = _numbers.integers(1, 2**63, SHARP // 2, dtype=U64) * U64(2) + U64(1)
@@ -65,7 +70,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def sketch(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """doc_id, n (size of the set), k1 and k2 (128 bits that stand for the set), bands array<long>, sig array<long>
+    """doc_id, h (key of the text), n (size of the set), k1 and k2 (128 bits that stand for the set), bands array<long>, sig array<long>
     (a byte of each value)."""
     bands = n_bands(similarity)
     evaluations = bands * ROWS // 2
@@ -89,10 +94,10 @@ def sketch(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                     joined = mix(joined * U64(0x9FB21C651E98DF25) + found[:, i::ROWS])
                 band[full] = joined
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.int64).ravel() if x.dtype == U64 else x.view("<i8").ravel()), w).cast(pa.list_(pa.int64())) for x, w in ((band, bands), (np.ascontiguousarray(sig), evaluations // 4))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *(pa.array(k.astype(np.int64)) for k in keys), *lists], ["doc_id", "n", "k1", "k2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), *(pa.array(k.astype(np.int64)) for k in keys), *lists], ["doc_id", "h", "n", "k1", "k2", "bands", "sig"])
 
     small_batches(docs.sparkSession)
-    return documents(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, sig array<long>")
+    return documents(docs, text_key().alias("h")).mapInArrow(run, "doc_id long, h long, n long, k1 long, k2 long, bands array<long>, sig array<long>")
 
 
 def agreeing(a: Column, b: Column, longs: int) -> Column:
@@ -108,7 +113,7 @@ def agreeing(a: Column, b: Column, longs: int) -> Column:
 
 
 def sharp_signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, sharp array<long>): a bit of each of SHARP values, for the documents in ids (id)."""
+    """(id, sharp array<long>): a bit of each of SHARP values, for the classes in ids (id, doc_id, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,14 +123,15 @@ def sharp_signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), SHARP // 64).cast(pa.list_(pa.int64()))], ["id", "sharp"])
 
     small_batches(docs.sparkSession, 256)
-    return only(docs, ids.select(F.col("id").alias("doc_id"))).mapInArrow(run, "id long, sharp array<long>").dropDuplicates(["id"])
+    return only(docs, ids).mapInArrow(run, "id long, sharp array<long>").dropDuplicates(["id"])
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids: by broadcast while they are few, else by a shuffle."""
-    ids = stored(ids.distinct(), "ids")
+    """(id, text) of the classes in ids (id, doc_id, h): by broadcast while they are few, else by a shuffle. A class whose row
+    repeats comes as often."""
+    ids = stored(ids, "ids")
     few = ids.count() <= BROADCAST_IDS
-    return documents(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return documents(docs, text_key().alias("h")).join(F.broadcast(ids) if few else ids, ["doc_id", "h"]).select("id", "text")
 
 
 def same_bits(a: Column, b: Column) -> Column:
@@ -133,8 +139,8 @@ def same_bits(a: Column, b: Column) -> Column:
     return F.lit(SHARP) - reduce(lambda x, y: x + y, differing)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
+def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes (id, doc_id, h) with 100 * intersection >= percent * union of their full shingle sets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,26 +157,48 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
     small_batches(docs.sparkSession, 256)
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    sets = stored(only(docs, needed).mapInArrow(make, "id long, set binary").dropDuplicates(["id"]), "sets")
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = stored(only(docs, classes.select("id", "doc_id", "h").join(needed, "id", "left_semi")).mapInArrow(make, "id long, set binary").dropDuplicates(["id"]), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself
-    included), kept (doc_id = component_id). size: words of a shingle; percent: least similarity of a link.
+def parts_of(size: Column) -> Column:
+    """How many parts a bucket of this size is dealt over."""
+    return (F.floor(size / PART) + 1).cast("int")
 
-    Words are runs of anything but ASCII white space, with A-Z as a-z. A text with fewer words than a shingle is
-    one shingle; null texts and texts without words have none and are linked with nothing. Repeated rows share
-    their class. An empty table gives no rows."""
+
+def in_parts(members: DataFrame) -> DataFrame:
+    """members (id, size) with the part of their bucket that they belong to."""
+    return members.withColumn("part", F.pmod(F.xxhash64("id"), parts_of(F.col("size"))).cast("int"))
+
+
+def to_every_part(few: DataFrame) -> DataFrame:
+    """few (size) for each part of the bucket."""
+    return few.withColumn("part", F.explode(F.sequence(F.lit(0), parts_of(F.col("size")) - 1)))
+
+
+def pivots(members: DataFrame, upto: int) -> DataFrame:
+    """Up to ``upto`` members of each bucket: the one that collides most often in each of as many shares of it."""
+    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(upto))
+    rank = F.struct("degree", (-F.col("id")).alias("low"))
+    best = members.groupBy("band", "key", share.alias("share")).agg(F.max(rank).alias("best"), F.max("size").alias("size"))
+    chosen = to_every_part(best.select("band", "key", "size", (-F.col("best.low")).alias("id")))
+    return members.drop("size").join(chosen.drop("size"), ["band", "key", "id"])
+
+
+def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row per row of docs: doc_id, h, k1 and k2 (128 bits that stand for the set), n_shingles, component_id, and ``first``: whether the row's class stands for its component
+    (it holds the smallest doc_id; of classes that share that id, the one with the smallest key)."""
     longs = n_bands(percent / 100) * ROWS // 8
     held = stored(sketch(docs, size, percent / 100), "sketch")
-    classes = held.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("x"))
-    classes = stored(classes.select("k1", "k2", "n", "id", "x.bands", "x.sig"), "classes")
+    classes = held.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.min_by(F.struct("bands", "sig"), F.struct("doc_id", "h")).alias("x"))
+    # An id of its own for each class, as texts may share a doc_id; written once, so it doesn't change.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", "least.doc_id", "least.h", "x.bands", "x.sig"), "classes")
 
     placed = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     crowd = placed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    # Spark splits a partition that one bucket makes too large (adaptive skew join): crowd has one row for each.
     shared = stored(placed.hint("merge").join(crowd, ["band", "key"]).select("band", "key", "id", "n", "size"), "shared")
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
     members = shared.join(degree, "id").join(classes.select("id", "sig"), "id").select("band", "key", "size", "id", "n", "degree", "sig")
@@ -183,47 +211,65 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     share = (1 + percent / 100) / 2
     enough = math.floor(SHARP * share - SHORT * math.sqrt(SHARP * share * (1 - share)))
     first = F.coalesce(*(F.when(F.get("p.bands", F.lit(i)) == F.get("m.bands", F.lit(i)), F.lit(i)) for i in range(n_bands(percent / 100))))
+    place = ["band", "key", "part"]
+    same_part = (F.col("p.band") == F.col("m.band")) & (F.col("p.key") == F.col("m.key")) & (F.col("p.part") == F.col("m.part"))
     links, labels = None, None
     for turn, upto in enumerate((*PIVOTS, None)):
         if open_.isEmpty():
             break
         if turn == 1:
             # From here on pairs are often nearly similar enough.
-            more = sharp_signatures(docs, open_.select("id"), size).join(classes.select("id", "bands"), "id")
+            asked = classes.join(open_.select("id").distinct(), "id", "left_semi")
+            more = sharp_signatures(docs, asked.select("id", "doc_id", "h"), size).join(classes.select("id", "bands"), "id")
             open_ = stored(open_.join(more, "id"), "sharp")
             alike = alike & (same_bits(F.col("p.sharp"), F.col("m.sharp")) >= enough)
         if upto is None:
             # Members outside their bucket's largest component; of two such members the earlier one is the pivot.
-            parts = open_.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-            largest = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-            rows = open_.join(largest, ["band", "key"]).withColumn("outside", F.col("component") != F.col("largest"))
-            p, m = rows.where("outside").alias("p"), rows.alias("m")
+            parts = open_.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.max("size").alias("size"))
+            largest = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.max("size").alias("size"))
+            rows = in_parts(open_).join(to_every_part(largest).drop("size"), place).withColumn("outside", F.col("component") != F.col("largest"))
+            p, m = to_every_part(rows.where("outside").drop("part")).alias("p"), rows.alias("m")
             chosen = (~F.col("m.outside") | before) & (first == F.col("p.band"))
         else:
-            by_bucket = Window.partitionBy("band", "key").orderBy(F.desc("degree"), "id")
-            p, m = open_.withColumn("turn", F.row_number().over(by_bucket)).where(F.col("turn") <= upto).alias("p"), open_.alias("m")
-            chosen = before
-        met = p.join(m, (F.col("p.band") == F.col("m.band")) & (F.col("p.key") == F.col("m.key")) & (F.col("p.component") != F.col("m.component")) & chosen & alike)
-        pairs = stored(met.select(F.col("p.id").alias("a"), F.col("m.id").alias("b")).distinct(), "pairs")
-        found = stored(confirm(docs, pairs, size, percent), "confirmed")
+            p, m = pivots(open_, upto).alias("p"), in_parts(open_).alias("m")
+            chosen = F.lit(True)
+        met = p.join(m, same_part & (F.col("p.component") != F.col("m.component")) & chosen & alike)
+        pairs = stored(met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct(), "pairs")
+        found = stored(confirm(docs, classes, pairs, size, percent), "confirmed")
         links = found if links is None else links.union(found)
         labels = components(links)
         if upto is None:
             break
         now = open_.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-        open_ = stored(now.join(mixed, ["band", "key"]), "members")
+        mixed = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size")).where("low <> high")
+        open_ = stored(in_parts(now).join(to_every_part(mixed).select(place), place).drop("part"), "members")
 
+    of_class = classes.select("k1", "k2", "n", "id", F.struct("doc_id", "h").alias("own"))
     if labels is not None:
-        of_class = classes.select("k1", "k2", "n", "id").join(labels, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component_id"))
+        of_class = of_class.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        least_of = of_class.groupBy("component").agg(F.min("own").alias("lowest"))
+        of_class = of_class.join(least_of, "component")
     else:
-        of_class = classes.select("k1", "k2", "n", F.col("id").alias("component_id"))
-    rows = held.select("doc_id", "k1", "k2", "n").join(of_class, ["k1", "k2", "n"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        of_class = of_class.withColumn("lowest", F.col("own"))
+    of_class = of_class.select("k1", "k2", "n", F.col("lowest.doc_id").alias("component_id"), (F.col("own") == F.col("lowest")).alias("first"))
+    rows = held.select("doc_id", "h", "k1", "k2", "n").join(of_class, ["k1", "k2", "n"], "left")
+    return rows.select("doc_id", "h", "k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself
+    included), kept (doc_id = component_id). size: words of a shingle; percent: least similarity of a link.
+
+    Words are runs of anything but ASCII white space, with A-Z as a-z. A text with fewer words than a shingle is
+    one shingle; null texts and texts without words have none and are linked with nothing. Repeated rows share
+    their class; different texts that share a doc_id are linked only if they are alike. An empty table gives no rows."""
+    rows = classified(docs, size, percent)
+    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component; of repeated rows one."""
-    keep = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs, with all their columns, that stand for their component. A row is told by its doc_id and text; of
+    repeated rows one stays, as does one of the texts of one doc_id that have the same shingles."""
+    keep = classified(docs, size, percent).where("first and doc_id = component_id").groupBy(F.col("doc_id").alias("key"), "k1", "k2", "n_shingles").agg(F.min("h").alias("h")).select("key", "h")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("key"), text_key().alias("h"), F.struct("*").alias("row"))
+    return rows.join(keep, ["key", "h"], "left_semi").dropDuplicates(["key", "h"]).select("row.*")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandwise.llm import minhash as M
 from strandwise.llm import suffix_dedup as S
@@ -64,6 +65,32 @@ def test_near_deduplication_keeps_one_with_all_columns(docs, texts):
     assert kept.columns == docs.columns and kept.count() == len(set(brute_components(texts, 5, 80)[0]))
 
 
+def test_different_texts_that_share_a_doc_id_all_stay(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 60), prose(rng, 60)
+    near = a.rsplit(" ", 1)[0] + " end"
+    rows = make(spark, [a, b, near, " ", "", b, b.upper()]).withColumn("doc_id", (F.col("doc_id") - F.col("doc_id") + 1).cast("long"))
+    kept = sorted((r.text or "").lower().split()[:1] for r in M.deduplicate(rows).collect())
+    assert kept == sorted([a.lower().split()[:1], b.lower().split()[:1], []])
+
+
+@pytest.mark.parametrize("part", [1000, 7])
+def test_large_buckets_in_parts(spark, monkeypatch, part):
+    """A third of all texts are near copies of one; some are linked over others only."""
+    monkeypatch.setattr(M, "PART", part)
+    rng = random.Random(9)
+    words = prose(rng, 120).split()
+    some = [prose(rng, 40) for _ in range(60)]
+    for _ in range(60):
+        out = list(words)
+        for _ in range(rng.choice([1, 2, 3, 5])):
+            out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+        some.append(" ".join(out))
+    expected, _ = brute_components(some, 5, 80)
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(make(spark, some)).collect()}
+    assert [got[i] for i in range(len(some))] == expected
+
+
 def test_nothing_in_nothing_out(empty):
     assert M.near_duplicates(empty).count() == 0 and M.deduplicate(empty).count() == 0
 
