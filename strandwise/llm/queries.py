@@ -40,7 +40,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = mixing.train(docs, table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, model, mixing.WEIGHTS, budget=0.9, most=4.0)
+    return mixing.mix(docs, model, mixing.WEIGHTS, budget=0.9, most=4.0).drop("h")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, small_batches, stored
 from .text_kernel import BYTE_CODE, BYTE_CODE_FOLDED, buffers, mix, prefix_hash, span_hash, word_spans
 
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 6000
 DIMS = 1 << 16
+#: Features that the sample's documents may have in all (8 bytes each on the driver): with very long texts fewer documents are taken.
+FEATURES = 50_000_000
 #: Bytes by kind: letters of either case, digits and bytes beyond ASCII are merged, marks stay as they are.
 _kind = np.arange(256)
 _kind[65:91], _kind[97:123], _kind[128:], _kind[48:58] = 65, 97, 97, 48
@@ -53,6 +55,17 @@ def scores(raw: np.ndarray, off: np.ndarray, weights: np.ndarray, power: float)
     return out
 
 
+def scores_of_present(raw: np.ndarray, off: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """weights: (DIMS, outputs). For each text the sum over its distinct features, however often they occur."""
+    idx, first = word_features(raw, off)
+    live = (weights != 0).any(axis=1)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    heavy = live[idx]
+    found = np.unique((doc[:, None] * DIMS + idx)[heavy])
+    doc, feature = found // DIMS, found % DIMS
+    return np.stack([np.bincount(doc, weights=weights[feature, k], minlength=len(off) - 1) for k in range(weights.shape[1])], axis=1)
+
+
 @dataclass
 class Sample:
     """Rows of hashed features: feature ``idx[j]`` with ``value[j]`` for at[i] <= j < at[i + 1]; and the labels."""
@@ -72,24 +85,32 @@ class Sample:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, power: float, limit: int = SAMPLE) -> Sample:
-    """The features of at most ``limit`` labelled documents: those with the smallest hashes of their ids, so from
-    all parts of the input. Labels or ids that are null don't count; of repeated ids any one row may."""
+    """The features of at most ``limit`` labelled documents, and of at most as many as have FEATURES in all: those with the smallest
+    hashes of their ids, so from all parts of the input. Labels or ids that are null don't count; of repeated ids any one row may."""
     some = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("label")).where("label is not null")
     some = some.orderBy(F.xxhash64("doc_id"), "label").limit(limit).dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             idx, first = word_features(*buffers(batch.column(1)))
-            rows_i, rows_v = [], []
+            rows_i, rows_v, rows_n = [], [], []
             for a, b in zip(first[:-1], first[1:], strict=True):
                 some_idx, n = np.unique(idx[a:b].ravel(), return_counts=True)
                 rows_i.append(some_idx.astype("<i4").tobytes())
                 rows_v.append((n / max(1, b - a) ** power).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows_i, pa.binary()), pa.array(rows_v, pa.binary())], ["doc_id", "label", "idx", "value"])
+                rows_n.append(len(some_idx))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows_n, pa.int64()), pa.array(rows_i, pa.binary()), pa.array(rows_v, pa.binary())], ["doc_id", "label", "n", "idx", "value"])
 
     small_batches(docs.sparkSession)
     joined = documents(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "label")  # at most ``limit`` rows of 12 bytes
-    rows = joined.mapInArrow(run, "doc_id long, label int, idx binary, value binary").toArrow().sort_by("doc_id")
+    held = stored(joined.mapInArrow(run, "doc_id long, label int, n long, idx binary, value binary").withColumn("turn", F.xxhash64("doc_id")), "sample")
+    running, last = 0, None
+    for turn, n in sorted((r.turn, r.n) for r in held.select("turn", "n").collect()):  # at most ``limit`` rows (and repeated ones)
+        running += n
+        if running > FEATURES:
+            break
+        last = turn
+    rows = held.where(F.col("turn") <= F.lit(last)).toArrow().sort_by("doc_id")
     idx = [np.frombuffer(x.as_buffer(), "<i4") for x in rows["idx"]]
     value = [np.frombuffer(x.as_buffer(), "<f4") for x in rows["value"]]
     at = np.concatenate([[0], np.cumsum([len(x) for x in idx])]).astype(np.int64)

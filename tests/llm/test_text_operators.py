@@ -270,28 +270,86 @@ def test_rates_meet_their_targets(tables):
     assert mixed.where("rate < 0 or rate > 4 or abs(copies - rate) >= 1").count() == 0
 
 
-def brute_rates(n, p, target, passes=X.PASSES):
-    rate, natural = np.ones(len(n)), (n[:, None] * p).sum(axis=0)
-    pace = 1 / max(1.0, (natural / target).max())
-    for _ in range(passes):
-        off = ((rate * n) @ p - target) / target
-        if np.abs(off).max() < X.CLOSE:
-            break
-        rate = np.clip(rate - p @ (pace * np.clip(off, -2, 2)), 0, 1.0)
-    return rate
+def nearest_totals(n, p, target, most, sweeps=1000):
+    """Bounded least squares by coordinate descent: each rate in turn is set to its best value."""
+    rate, total = np.zeros(len(n)), np.zeros(len(target))
+    rows = n[:, None] * p
+    for _ in range(sweeps):
+        for i, row in enumerate(rows):
+            if (curve := (row**2 / target).sum()) > 0:
+                best = np.clip(rate[i] - (row * (total - target) / target).sum() / curve, 0, most)
+                total = total + (best - rate[i]) * row
+                rate[i] = best
+    return total
+
+
+@pytest.mark.parametrize("reachable", [True, False])
+def test_totals_against_an_independent_least_squares_solver(spark, reachable):
+    rng = np.random.default_rng(3 + reachable)
+    p = rng.dirichlet([0.6, 0.4, 2.0], 60).round(2)
+    p /= p.sum(axis=1, keepdims=True)
+    n = rng.integers(0, 500, 60)
+    weights = {"low": 0.22, "toxic": 0.15, "clean": 0.63} if reachable else {"low": 0.9, "toxic": 0.05, "clean": 0.05}
+    held = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(60)], "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in X.DOMAINS))
+    rated, target, reached = X.solve(held, weights, 0.6 if reachable else 0.8, None, 1.0)
+    rows = rated.orderBy("doc_id").collect()
+    assert len(rows) == 60 and all(0 <= r.rate <= 1 for r in rows)
+    goal = np.array([target[d] for d in X.DOMAINS])
+    best = nearest_totals(n.astype(float), p, goal, 1.0)
+    own = np.array([r.rate for r in rows]) @ (n[:, None] * p)
+    distance = lambda t: ((t - goal) ** 2 / goal).sum() / 2
+    assert np.allclose(own, [reached[d] for d in X.DOMAINS])
+    assert (np.abs(own / goal - 1).max() < X.CLOSE and distance(best) < 1) if reachable else (distance(best) > 1 and distance(own) <= 1.02 * distance(best))
+
+
+def test_domains_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = X.train(docs, labels.where(T.split_of() != 0))
+    some = docs.join(labels.where(T.split_of() == 0), "doc_id").select("doc_id", "text", X.domain_of_labels().alias("label"))
+    found = X.memberships(some, model).join(some.select("doc_id", "label"), "doc_id").collect()
+    likeliest = [max(range(3), key=lambda k: r[f"p_{X.DOMAINS[k]}"]) for r in found]
+    for k, least in enumerate([0.8, 0.6, 0.95]):
+        of_k = [x for x, r in zip(likeliest, found, strict=True) if r.label == k]
+        assert len(of_k) > 50 and sum(x == k for x in of_k) / len(of_k) >= least
+    # On average a posterior is the share of documents of the domain.
+    for k, d in enumerate(X.DOMAINS):
+        assert abs(np.mean([r[f"p_{d}"] for r in found]) - np.mean([r.label == k for r in found])) < 0.03
+
+
+def test_token_counts_are_those_of_the_encoder(spark, texts):
+    from strandwise.llm import packing as P
+
+    odd = ["a  b\n\nc \t d ", " ", "\n\n x", "no\u00a0break  here", "wide\u3000\u3000 space \u2003 x", "it's they'll 12,345.67 $%^ <|endoftext|> x<|endoftext|>", "\x1cx \x85y", "é  😀 ñ", "", "x" * 3000, " " * 500 + "y"]
+    some = [t or "" for t in texts] + odd
+    encode = P.public_encoder()
+    pa = __import__("pyarrow")
+    for _ in range(2):
+        got = P.TokenCounter(encode).count(*buffers(pa.array(some)))
+        assert got.tolist() == [len(encode(t)) for t in some]
 
 
 def test_covering_a_domain_keeps_its_documents(tables):
     docs, labels = tables
     rows = X.mix(docs, X.train(docs, labels), cover="clean").orderBy("doc_id").collect()
-    n, p = np.array([r.tokens for r in rows], float), np.array([[r[f"p_{d}"] for d in X.WEIGHTS] for r in rows])
-    share = np.array(list(X.WEIGHTS.values()))
-    natural = (n[:, None] * p).sum(axis=0)
-    assert np.allclose([r.rate for r in rows], brute_rates(n, p, share / share.sum() * X.REACH * natural[2] / (share[2] / share.sum())), atol=1e-6)
     sure = [r for r in rows if r.p_clean > 0.95]
     assert sum(r.copies == 1 for r in sure) >= 0.98 * len(sure)
 
 
+def test_mixing_odd_rows(spark, docs, texts):
+    """Null, empty and very long texts, repeated rows, rows that share a doc_id, clashing names."""
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = X.mix(docs.union(docs), X.train(docs, none), dict.fromkeys(X.DOMAINS, 1.0), budget=0.5)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.doc_id, set()).add((r.tokens, round(r.rate, 9), r.copies))
+    assert sorted(got) == list(range(len(texts))) and all(len(x) == 1 for x in got.values())
+    assert all((next(iter(got[i]))[0] == 0) == (not t) for i, t in enumerate(texts))
+    assert all(abs(next(iter(x))[1] - 0.5) < 1e-3 for x in got.values())
+    one = make(spark, ["a b", "c d"]).withColumn("doc_id", F.lit(1).cast("long"))
+    mixed = one.select("doc_id", X.text_key().alias("h"), F.when(F.col("text") == "a b", 2).otherwise(0).alias("copies"))
+    assert [r.text for r in X.resample(one, mixed).collect()] == ["a b", "a b"]
+
+
 def held_memberships(spark, counts, each=20):
     """One-hot memberships: documents of ``each`` words in every domain."""
     rows = [(i, each, *(float(x == k) for x in range(len(counts)))) for i, k in enumerate(k for k, n in enumerate(counts) for _ in range(n))]
@@ -312,13 +370,13 @@ def test_targets_out_of_reach_are_approached_and_named(spark, monkeypatch):
     rated, target, reached = X.solve(held, X.WEIGHTS, 0.9, None, 4.0)
     assert {r.rate for r in rated.where("p_clean = 1").collect()} == {4.0} and abs(reached["clean"] - 4 * 20 * 5) < 1e-6
     assert all(abs(reached[d] / target[d] - 1) < X.CLOSE for d in ("low", "toxic"))
-    monkeypatch.setattr(X, "memberships", lambda *_: held)
+    monkeypatch.setattr(X, "memberships", lambda *_: held.withColumn("h", F.lit(0).cast("long")))
     with pytest.warns(UserWarning, match="out of reach.*clean 0.24"):
         X.mix(held, None, X.WEIGHTS, 0.9, most=4.0)
 
 
 def test_resampling_repeats_and_drops_rows(spark, docs, empty):
-    mixed = docs.select("doc_id", (F.col("doc_id") % 3).alias("copies"))
+    mixed = docs.select("doc_id", X.text_key().alias("h"), (F.col("doc_id") % 3).alias("copies"))
     again = X.resample(docs, mixed)
     assert again.columns == docs.columns
     assert {r.doc_id: r["count"] for r in again.groupBy("doc_id").count().collect()} == {r.doc_id: r.copies for r in mixed.collect() if r.copies}
