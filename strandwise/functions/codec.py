@@ -69,9 +69,17 @@ def revcom_of(code: int, k: int) -> int:
     return out
 
 
+def checked(bases: str, what: str = "sequence") -> str:
+    """A user's k-mer, unit or consensus in upper case; anything but A, C, G and T raises."""
+    found = (bases or "").strip().upper()
+    if not found or set(found) - set("ACGT"):
+        raise ValueError(f"{what} {bases!r} must be letters A, C, G, T")
+    return found
+
+
 def code_of(kmer: str) -> int:
     """The code of a k-mer on the driver."""
-    out = 0
+    out, kmer = 0, checked(kmer, "k-mer")
     for base in kmer:
         out = out * 4 + "ACGT".index(base)
     return out

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.codec import canonical, check_k, code_of, decode, encode_clean, hamming, is_palindrome, revcom_code, revcom_of
-from .kmers import is_motif, kmer_array, kmers, sub_kmers
+from ..functions.codec import canonical, check_k, code_of, decode, encode, encode_clean, hamming, revcom_code, revcom_of
+from .kmers import batch_counts, is_motif, kmer_array, kmers, sub_kmers
 
 
 def counts_per_sequence(reads: DataFrame, k: int) -> DataFrame:
@@ -21,10 +21,8 @@ def counts_per_sequence(reads: DataFrame, k: int) -> DataFrame:
 def count_kmers(reads: DataFrame, k: int, unique: bool = True, *by: str) -> DataFrame:
     """k, code, kmer, n (with ``by`` in front). unique: in how many sequences a k-mer occurs; else how often in all.
 
-    Repeats within a sequence are dropped inside its row, so the only shuffle is that of the partial counts."""
-    found = kmer_array(F.col("seq"), k)
-    rows = reads.select(*by, F.explode(F.array_distinct(found) if unique else found).alias("kmer"))
-    counted = rows.select(*by, encode_clean(F.col("kmer")).alias("code")).groupBy(*by, "code").agg(F.count("*").alias("n"))
+    Repeats within a sequence are dropped inside its batch, so the only shuffle is that of the partial counts."""
+    counted = batch_counts(reads, k, unique, *by).groupBy(*by, "code").agg(F.sum("n").alias("n"))
     return counted.select(*by, F.lit(k).alias("k"), "code", decode(F.col("code"), k).alias("kmer"), "n")
 
 
@@ -117,17 +115,20 @@ def kept_kmers(counts: DataFrame) -> DataFrame:
     return counts.where("n > 0")
 
 
-def query_kmers(counts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """For each k-mer of ``wanted`` (kmer): its count, its reverse complement and that one's count, both together, whether it is
-    a palindrome. Absent k-mers have 0. All must have k letters. The list is the user's, so it is small; beyond
-    Spark's broadcast limit the joins shuffle."""
-    if not wanted.where(F.length("kmer") != k).isEmpty():
-        raise ValueError(f"every k-mer of the list must have {k} letters")
-    asked = wanted.select("kmer", encode_clean(F.col("kmer")).alias("code")).withColumn("rc_code", revcom_code(F.col("code"), k))
+def query_kmers(counts: DataFrame, wanted: DataFrame, k: int, on_bad: str = "error") -> DataFrame:
+    """For each k-mer of ``wanted`` (kmer, in either case): its count, its reverse complement and that one's count, both together,
+    whether it is a palindrome. Absent k-mers have 0. Entries that are null, have other letters than A, C, G, T or not k of
+    them raise, or have nulls for all figures (on_bad="null"). The list is the user's, so it is small; beyond Spark's broadcast
+    limit the joins shuffle."""
+    upper = F.upper(F.trim("kmer"))
+    asked = wanted.select(upper.alias("kmer"), F.when(F.length(upper) == k, encode(upper)).alias("code")).withColumn("rc_code", revcom_code(F.col("code"), k))
+    if on_bad != "null" and (bad := asked.where("code is null").limit(5).collect()):
+        raise ValueError(f"k-mers of the list must be {k} letters A, C, G, T, which {[r.kmer for r in bad]} are not")
     own = counts.select("code", F.col("n"))
     other = counts.select(F.col("code").alias("rc_code"), F.col("n").alias("rc_n"))
-    rows = asked.join(own, "code", "left").join(other, "rc_code", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n"), decode(F.col("rc_code"), k).alias("rc_kmer"), F.coalesce("rc_n", F.lit(0)).alias("rc_n"))
-    palindrome = is_palindrome(F.col("kmer"))
+    figure = lambda c: F.when(F.col("code").isNotNull(), F.coalesce(c, F.lit(0))).alias(c)
+    rows = asked.join(own, "code", "left").join(other, "rc_code", "left").select("kmer", figure("n"), decode(F.col("rc_code"), k).alias("rc_kmer"), figure("rc_n"))
+    palindrome = F.col("kmer") == F.col("rc_kmer")
     return rows.select("kmer", "n", "rc_kmer", "rc_n", F.when(palindrome, F.col("n")).otherwise(F.col("n") + F.col("rc_n")).alias("pair_n"), palindrome.alias("is_palindrome"))
 
 
@@ -181,10 +182,10 @@ def one_strand(ranked: DataFrame, k: int, rank: Column) -> DataFrame:
 
 def sample_kmers(counts: DataFrame, k: int, top: DataFrame, n: int = 800, seed: int = 0) -> DataFrame:
     """The top k-mers, then n more by hash of the code: a sample that is the same in every run; one of each pair of strands.
-    -> code, kmer, ord (top ones first)."""
-    chance = F.xxhash64("code", F.lit(seed))
+    -> code, kmer, ord (top ones first: a blank sorts before all hashes)."""
+    chance = F.md5(F.concat(F.lit(f"{seed}:"), F.col("code").cast("string")))  # a hash that other engines have too
     some = counts.select("code", "kmer", chance.alias("ord")).orderBy("ord", "code").limit(n)
-    first = top.select("code", "kmer", (F.lit(-(2**63)) + F.row_number().over(Window.orderBy(F.desc("pair_n"), "code"))).cast("long").alias("ord"))  # a handful of rows
+    first = top.select("code", "kmer", F.concat(F.lit(" "), F.lpad(F.row_number().over(Window.orderBy(F.desc("pair_n"), "code")).cast("string"), 9, "0")).alias("ord"))  # a handful of rows
     return one_strand(first.unionByName(some), k, F.col("ord"))
 
 

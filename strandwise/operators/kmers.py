@@ -1,13 +1,19 @@
 """Generators: from sequences and codes to k-mers.
 
-Windows are cut by a regular expression with a lookahead, in time in proportion to the sequence; asking for each
+Codes for counting are rolled along the bytes of a whole Arrow batch. Where the k-mers' letters are wanted, windows are cut by a regular expression with a lookahead, in time in proportion to the sequence; asking for each
 substring by its place would walk the string from its start again and again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codec import check_k, code_of, encode_clean, mask_of
 
@@ -18,23 +24,103 @@ def kmer_array(seq: Column, k: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
 
 
-def window_array(seq: Column, k: int) -> Column:
-    """All windows of k letters, whatever the letters; the place in the array is the place in the sequence."""
+def clean_windows(seq: Column, k: int) -> Column:
+    """For each place of the sequence the k-mer that starts there, or an empty string where it has other letters or the
+    sequence ends. One pass of one regular expression."""
+    check_k(k)
+    return F.regexp_extract_all(seq, F.lit(f"(?=([ACGT]{{{k}}})|)"), F.lit(1))
+
+
+#: Bases worked on at a time.
+CHUNK = 1 << 22
+
+
+def window_codes(raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all windows of k bytes, and which of them hold A, C, G and T only."""
+    base = DIGIT[raw]
+    n = len(raw) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    code = np.zeros(n, np.int64)
+    for i in range(k):
+        code = (code << 2) | (base[i : i + n] & 3)
+    bad = np.concatenate([[0], np.cumsum(base > 3)])
+    return code, bad[k:] == bad[:-k]
+
+
+DIGIT = np.full(256, 4, np.uint8)
+DIGIT[[65, 67, 71, 84]] = [0, 1, 2, 3]
+
+
+def batch_counts(reads: DataFrame, k: int, unique: bool, *by: str) -> DataFrame:
+    """(by..., code, n) for each Arrow batch of reads: in how many of its sequences a k-mer occurs, or how often. The codes of all
+    windows of a batch are rolled along its bytes at once; sequences longer than CHUNK are taken in parts."""
     check_k(k)
-    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
+    shape = T.StructType([*(reads.schema[c] for c in by), T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seqs = pc.fill_null(batch.column(len(by)), "")
+            if by:
+                group, values = batch.to_pandas().groupby(list(by), dropna=False, sort=False), batch
+                row_group = group.ngroup().to_numpy()
+                first = np.unique(row_group, return_index=True)[1]
+            else:
+                row_group, first, values = np.zeros(batch.num_rows, np.int64), np.zeros(1, np.int64), batch
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            # Runs of sequences of up to CHUNK bases, joined by a line break, which no k-mer spans.
+            sizes = pc.binary_length(seqs).to_numpy(zero_copy_only=False)
+            i = 0
+            while i < len(seqs):
+                j, total = i + 1, int(sizes[i])
+                while j < len(seqs) and total + sizes[j] <= CHUNK:
+                    total += int(sizes[j])
+                    j += 1
+                some = seqs.slice(i, j - i).to_pylist()
+                raw = np.frombuffer("\n".join(some).encode(), np.uint8)
+                lengths = np.array([len(x.encode()) for x in some])
+                row = np.repeat(np.arange(i, j), lengths + 1)[: len(raw)]
+                parts = []
+                for a in range(0, len(raw), CHUNK):
+                    code, good = window_codes(raw[a : a + CHUNK + k - 1], k)
+                    at = np.flatnonzero(good)
+                    parts.append(_tally(code[at], row[a + at], np.ones(len(at), np.int64)))
+                rows_codes = _tally(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else None
+                if rows_codes is not None:
+                    code, seq, n = rows_codes
+                    found.append(_tally(code, row_group[seq], np.ones(len(n), np.int64) if unique else n))
+                i = j
+            if not found:
+                continue
+            code, of, n = _tally(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([*(values.column(c).take(pa.array(first[of])) for c in range(len(by))), pa.array(code), pa.array(n)], shape.names)
+
+    return reads.select(*by, "seq").mapInArrow(run, shape)
+
+
+def _tally(code: np.ndarray, of: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n for each pair of code and ``of``."""
+    if not len(code):
+        return code, of, n
+    order = np.lexsort((code, of))
+    code, of, n = code[order], of[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (of[1:] != of[:-1])]))
+    return code[start], of[start], np.add.reduceat(n, start)
 
 
 def kmers(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     """seq_no, ``keep``, pos (from 0), kmer; windows with other letters than A, C, G, T are skipped."""
-    rows = reads.select("seq_no", *keep, F.posexplode(window_array(F.col("seq"), k)).alias("pos", "kmer"))
-    return rows.where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$"))
+    rows = reads.select("seq_no", *keep, F.posexplode(clean_windows(F.col("seq"), k)).alias("pos", "kmer"))
+    return rows.where("kmer <> ''")
 
 
 def kmers_multi(reads: DataFrame, kmin: int, kmax: int) -> DataFrame:
     """seq_no, k, pos, kmer for each k of a range, from one pass over the reads."""
-    parts = F.array(*(F.struct(F.lit(k).alias("k"), window_array(F.col("seq"), k).alias("windows")) for k in range(kmin, kmax + 1)))
+    parts = F.array(*(F.struct(F.lit(k).alias("k"), clean_windows(F.col("seq"), k).alias("windows")) for k in range(kmin, kmax + 1)))
     rows = reads.select("seq_no", F.explode(parts).alias("x")).select("seq_no", "x.k", F.posexplode("x.windows").alias("pos", "kmer"))
-    return rows.where(F.col("kmer").rlike("^[ACGT]+$"))
+    return rows.where("kmer <> ''")
 
 
 def sub_kmers(code: Column, big_k: int, k: int) -> Column:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codec import checked
+from .kmers import CHUNK, window_codes
 from .motifs import Motif
 
 
@@ -18,34 +20,19 @@ def _revcom(text: str) -> str:
 
 
 def mask_runs(seq: Column, unit: str, n_min: int, n_max: int | None = None) -> Column:
-    """Greedy runs of n_min (up to n_max) repeats of ``unit``, from left to right, become N."""
-    run = f"(?:{unit}){{{n_min},{'' if n_max is None else n_max}}}"
-    token = F.regexp_extract_all(seq, F.lit(f"(?s){run}|."), F.lit(0))
-    least = len(unit) * n_min
-    masked = F.transform(token, lambda x: F.when((F.length(x) >= least) & x.rlike(f"^{run}$"), F.repeat(F.lit("N"), F.length(x))).otherwise(x))
-    return F.when(seq.rlike(run), F.array_join(masked, "")).otherwise(seq)
+    """Greedy runs of n_min (up to n_max) repeats of ``unit`` (in either case), from left to right, become N. What lies between the
+    runs and the runs are put together again, so a sequence is cut into as few strings as it has runs."""
+    run = f"(?:{checked(unit, 'unit')}){{{n_min},{'' if n_max is None else n_max}}}"
+    runs = F.transform(F.regexp_extract_all(seq, F.lit(run), F.lit(0)), lambda x: F.repeat(F.lit("N"), F.length(x)))
+    pairs = F.arrays_zip(F.split(seq, run, -1).alias("between"), runs.alias("run"))
+    masked = F.array_join(F.transform(pairs, lambda x: F.concat(F.coalesce(x["between"], F.lit("")), F.coalesce(x["run"], F.lit("")))), "")
+    return F.when(seq.rlike(run), masked).otherwise(seq)
 
 
 def mask_repeats(seq: Column, unit: str, n_min: int, revcom: bool = True, n_max: int | None = None) -> Column:
     """Runs of the unit, then runs of its reverse complement on the text masked so far."""
     out = mask_runs(seq, unit, n_min, n_max)
-    return mask_runs(out, _revcom(unit), n_min, n_max) if revcom else out
-
-
-def window_codes(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all windows of a sequence, and which of them are free of other letters."""
-    raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-    digit = np.full(256, 4, np.uint8)
-    digit[[65, 67, 71, 84]] = [0, 1, 2, 3]
-    base = digit[raw]
-    n = len(raw) - k + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    code = np.zeros(n, np.int64)
-    for i in range(k):
-        code = (code << 2) | (base[i : i + n] & 3)
-    bad = np.concatenate([[0], np.cumsum(base > 3)])
-    return code, bad[k:] == bad[:-k]
+    return mask_runs(out, _revcom(checked(unit, "unit")), n_min, n_max) if revcom else out
 
 
 def near(code: np.ndarray, to: int, d: int) -> np.ndarray:
@@ -60,24 +47,24 @@ def mask_motif(seq: Column, motif: Motif) -> Column:
     if d >= k:
         raise ValueError("the number of substitutions must be less than the motif's length")
 
+    def cover(raw: np.ndarray) -> np.ndarray:
+        """The bytes, with N where a hit lies. Hits are sought in parts that overlap by a window."""
+        out = raw.copy()
+        for a in range(0, len(raw), CHUNK):
+            code, good = window_codes(raw[a : a + CHUNK + k - 1], k)
+            hit = a + np.flatnonzero(good & np.logical_or.reduce([near(code, t, d) for t in targets]))
+            for i in range(k):
+                out[hit + i] = ord("N")
+        return out
+
     @F.pandas_udf("string")
     def masked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text: str | None) -> str | None:
-            if text is None or len(text) < k:
-                return text
-            code, good = window_codes(text, k)
-            hit = np.flatnonzero(good & np.logical_or.reduce([near(code, t, d) for t in targets]))
-            if not len(hit):
-                return text
-            cover = np.zeros(len(text) + 1, np.int64)
-            np.add.at(cover, hit, 1)
-            np.add.at(cover, hit + k, -1)
-            letters = np.array(list(text))
-            letters[np.cumsum(cover[:-1]) > 0] = "N"
-            return "".join(letters)
-
         for part in parts:
-            yield part.map(one)
+            # All sequences of a batch at once, joined by a line break, which no k-mer spans.
+            texts = [("" if x is None else x).encode() for x in part]
+            whole = cover(np.frombuffer(b"\n".join(texts), np.uint8)).tobytes()
+            ends = np.cumsum([len(x) + 1 for x in texts]) - 1
+            yield pd.Series([None if x is None else whole[e - len(t) : e].decode() for x, t, e in zip(part, texts, ends.tolist(), strict=True)], index=part.index, dtype=object)
 
     return masked(seq)
 
@@ -111,14 +98,17 @@ def mask_chain(reads: DataFrame, patterns: list[RepeatMask | MotifMask], column:
     return out
 
 
-def mark_up(reads: DataFrame, segments: DataFrame, tags: dict[int, str]) -> DataFrame:
-    """seq_no, marked: the sequence with a tag around each piece whose label has one. segments: (seq_no, start, end, label)."""
-    parts = segments.groupBy("seq_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("parts"))
-    names = F.create_map(*(x for label, tag in tags.items() for x in (F.lit(label), F.lit(tag))))
+def mark_up(reads: DataFrame, segments: DataFrame, tags: dict[int, str] | None = None) -> DataFrame:
+    """seq_no, marked: the sequence with a tag around each piece that has one. segments: (seq_no, start, end, label), and ``motifs``
+    where no tags are given: a piece is then named by the motifs that cover it, as motif1_3."""
+    if tags is None:
+        tag = F.when(F.size("motifs") > 0, F.concat(F.lit("motif"), F.array_join("motifs", "_")))
+    else:
+        tag = F.create_map(*(x for label, name in tags.items() for x in (F.lit(label).cast("long"), F.lit(name))))[F.col("label").cast("long")]
+    parts = segments.groupBy("seq_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", tag.alias("tag")))).alias("parts"))
 
     def piece(x: Column) -> Column:
         text = F.col("seq").substr((x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
-        tag = names[x["label"]]
-        return F.when(tag.isNull(), text).otherwise(F.concat(F.lit("<"), tag, F.lit(">"), text, F.lit("</"), tag, F.lit(">")))
+        return F.when(x["tag"].isNull(), text).otherwise(F.concat(F.lit("<"), x["tag"], F.lit(">"), text, F.lit("</"), x["tag"], F.lit(">")))
 
     return reads.join(parts, "seq_no").select("seq_no", F.array_join(F.transform("parts", piece), "").alias("marked"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.codec import code_of, encode_clean, hamming, kmer_of, mutation_limit, relative_position, revcom_code, revcom_of
+from ..functions.codec import checked, code_of, encode_clean, hamming, kmer_of, mutation_limit, relative_position, revcom_code, revcom_of
 from .kmers import kmers
 
 BINS, SIGMA, POINTS = 100, 5.0, 1000
@@ -24,6 +24,9 @@ class Motif:
     d: int
     revcom: bool = True
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "consensus", checked(self.consensus, "consensus"))
+
     @classmethod
     def of(cls, consensus: str, n_max_mutation: int = 2, revcom: bool = True) -> Motif:
         """With the limit that suits the length."""

@@ -9,20 +9,27 @@ from ..functions.codec import encode_clean, hamming, mutation_limit, revcom_code
 from ..operators import counts as C
 from ..operators import motifs as M
 from ..operators.kmers import kmer_array
+from ..sources.scratch import stored
 
 
 def analyse(reads: DataFrame, k: int, m: int = 6, n_max_mutation: int = 2, revcom: bool = True, unique: bool = True) -> dict[str, DataFrame]:
     """Everything about one k: counts, totals, top, and, around the most frequent k-mer, profile, matrix, weights, histogram,
-    density, sites, cooccurrence, stats. Reads are counted in one pass and scanned in a second one."""
-    counts = C.count_kmers(reads, k, unique)
+    density, sites, cooccurrence, stats. Reads are counted in one pass, and the counts are written once to the shared folder, from where all
+    tables take them; reads are scanned in a second pass."""
+    counts = stored(C.count_kmers(reads, k, unique), "counts")
     out = {"counts": counts, "totals": C.totals(reads, k), "top": C.top_kmers(counts, k, m, revcom)}
     best = C.consensus(counts, k, revcom)
     if best is None:
         return out
+    return out | around(reads, counts, k, best, n_max_mutation, revcom)
+
+
+def around(reads: DataFrame, counts: DataFrame, k: int, best: str, n_max_mutation: int = 2, revcom: bool = True) -> dict[str, DataFrame]:
+    """The tables about the motif around a consensus."""
     motif = M.Motif.of(best, n_max_mutation, revcom)
     hits, sites, matrix = M.motif_match(reads, motif), M.site_counts(reads, motif), M.motif_matrix(counts, motif)
     histogram = M.position_histogram(reads, hits, k)
-    return out | {"profile": C.hamming_profile(counts, best, revcom), "matrix": matrix, "weights": M.weights(matrix), "histogram": histogram, "density": M.position_density(histogram), "sites": sites, "cooccurrence": M.cooccurrence(sites), "stats": M.motif_stats(sites)}
+    return {"profile": C.hamming_profile(counts, best, revcom), "matrix": matrix, "weights": M.weights(matrix), "histogram": histogram, "density": M.position_density(histogram), "sites": sites, "cooccurrence": M.cooccurrence(sites), "stats": M.motif_stats(sites)}
 
 
 def chipseq(reads: DataFrame, kmin: int, kmax: int, m: int = 6, n_max_mutation: int = 2, revcom: bool = True, unique: bool = True) -> DataFrame:
@@ -45,7 +52,7 @@ def chipseq(reads: DataFrame, kmin: int, kmax: int, m: int = 6, n_max_mutation:
 def selex(reads: DataFrame, k: int, n_max_mutation: int = 2) -> DataFrame:
     """reads with a column round -> a row for each round: consensus and motif statistics. All rounds are counted by one shuffle on
     (round, code); the consensus table, a row for each round, goes back to the reads for the second pass."""
-    counts = C.count_kmers(reads, k, True, "round")
+    counts = stored(C.count_kmers(reads, k, True, "round"), "counts")
     pairs = C.strand_pairs(counts, k, "round")
     best = pairs.withColumn("turn", F.row_number().over(Window.partitionBy("round").orderBy(F.desc("pair_n"), "canon"))).where("turn = 1")
     d = mutation_limit(k, n_max_mutation)
@@ -57,10 +64,35 @@ def selex(reads: DataFrame, k: int, n_max_mutation: int = 2) -> DataFrame:
     return head.join(M.motif_stats(sites, "round"), "round")
 
 
+def selex_tables(reads: DataFrame, kmin: int, kmax: int, m: int = 6, n_max_mutation: int = 2, revcom: bool = True) -> dict[tuple[int, int], dict[str, DataFrame]]:
+    """(round, k) -> the tables of ``analyse`` for the reads of that round: counts, totals, top, and, around its most frequent k-mer, profile,
+    matrix, weights, histogram, density, sites, cooccurrence, stats. All rounds are counted together, once for each k."""
+    rounds = [r.round for r in reads.select("round").distinct().orderBy("round").collect()]  # the user's few rounds
+    out = {}
+    for k in range(kmin, kmax + 1):
+        every = stored(C.count_kmers(reads, k, True, "round"), "counts")
+        for r in rounds:
+            own, counts = reads.where(F.col("round") == r), every.where(F.col("round") == r).drop("round")
+            out[r, k] = {"counts": counts, "totals": C.totals(own, k), "top": C.top_kmers(counts, k, m, revcom)}
+            best = C.consensus(counts, k, revcom)
+            if best is not None:
+                out[r, k] |= around(own, counts, k, best, n_max_mutation, revcom)
+    return out
+
+
+def selex_range(reads: DataFrame, kmin: int, kmax: int, n_max_mutation: int = 2) -> DataFrame:
+    """The rows of ``selex`` for each k of a range, with a column k."""
+    out = None
+    for k in range(kmin, kmax + 1):
+        rows = selex(reads, k, n_max_mutation).withColumn("k", F.lit(k))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def selex_trend(reads: DataFrame, k: int, m: int = 6, n_sample: int = 800, seed: int = 0) -> DataFrame:
     """How the last round's top k-mers, and a sample of its others, fare over the rounds: kmer, round, pair_n, frequency,
     log_odds."""
-    counts = C.count_kmers(reads, k, True, "round")
+    counts = stored(C.count_kmers(reads, k, True, "round"), "counts")
     totals = C.round_totals(reads, k)
     last = reads.agg(F.max("round").alias("r")).first().r
     late = counts.where(F.col("round") == last).drop("round")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import mutation_limit
 from ..operators.counts import convert_counts, count_kmers, merge_revcom
 from ..operators.kmers import contain_motif
+from ..sources.scratch import stored
 from ..sources.store import load_counts
 
 
@@ -20,19 +21,16 @@ def count_range(reads: DataFrame, kmin: int, kmax: int, path: str, beyond: int =
 def find_motifs(counts: DataFrame, big_counts: DataFrame, k: int, big_k: int, top_k: int, d: int | None = None, revcom: bool = True) -> list[tuple[str, int, int]]:
     """(k-mer, its count, K-mers left) for up to ``top_k`` motifs: take the most frequent k-mer, drop the K-mers that contain
     it (strands merged), work the counts of k-mers out anew from the K-mers left. What is left shrinks with each turn and is written to the
-    checkpoint folder where one is set, so that the plan stays short and survives the loss of an executor."""
+    shared folder, so that the plan stays short and survives the loss of an executor."""
     d = mutation_limit(k) if d is None else d
-    spark = counts.sparkSession
-    lasting = spark.sparkContext.getCheckpointDir() is not None
     found: list[tuple[str, int, int]] = []
-    current, left = counts, merge_revcom(big_counts, big_k) if revcom else big_counts
+    current, left = counts, stored(merge_revcom(big_counts, big_k) if revcom else big_counts, "left")
     for _ in range(top_k):
         merged = merge_revcom(current, k) if revcom else current
         best = merged.orderBy(F.desc("n"), "code").first()
         if best is None:
             break
-        left = left.where(~contain_motif(F.col("code"), big_k, best.kmer, d, revcom))
-        left = left.checkpoint() if lasting else left
+        left = stored(left.where(~contain_motif(F.col("code"), big_k, best.kmer, d, revcom)), "left")
         found.append((best.kmer, best.n, left.count()))
         current = convert_counts(left, big_k, k)
     return found

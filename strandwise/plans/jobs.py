@@ -20,13 +20,12 @@ def mask_file(spark: SparkSession, source: str, target: str, patterns: list[Repe
 
 
 def scan_reads(reads: DataFrame, motifs: list[Motif], tags: dict[int, str] | None = None) -> dict[str, DataFrame]:
-    """hits (seq_no, motif_id, pos), segments of the sequences with hits, and their marked-up text. Labels: the sum of
-    2 ** (motif_id - 1)."""
+    """hits (seq_no, motif_id, pos), segments of the sequences with hits (label, motifs), and their marked-up text, for any number of
+    motifs. tags: label -> tag; by default a piece is tagged with all motifs that cover it."""
     hits = scan_motifs(reads, motifs)
     some = with_hits(reads, hits)
     pieces = motif_segments(some, hits, {i: m.k for i, m in enumerate(motifs, 1)})
-    names = tags or {label: "motif" + "_".join(str(i + 1) for i in range(len(motifs)) if label >> i & 1) for label in range(1, min(1 << len(motifs), 256))}
-    return {"hits": hits, "segments": pieces, "marked": mark_up(some, pieces, names)}
+    return {"hits": hits, "segments": pieces, "marked": mark_up(some, pieces, tags)}
 
 
 def scan_file(spark: SparkSession, source: str, motifs: list[Motif]) -> dict[str, DataFrame]:

@@ -430,13 +430,17 @@ def e20_manifest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- joins, matching, intervals ------------------------------------------------------------------------------------------------
 
-WANTED = ["TTATAA", "ATTATA", "CCCGGG", "GGGGGG", "TACATT"]
+WANTED = ["TTATAA", "ATTATA", "CCCGGG", "GGGGGG", "TACATT", "ttacat", "AcGtAc", "NNNNNN", "ACGTNA", "ACG", None]
 
 
-@query(f"""WITH {READS}, {cut()}, {UNIQUE}, wanted AS (SELECT unnest({WANTED}) AS kmer), q AS (SELECT kmer, coalesce((SELECT n FROM counts c WHERE c.kmer = w.kmer), 0) AS n, {rc('kmer')} AS rc_kmer, coalesce((SELECT n FROM counts c WHERE c.kmer = {rc('w.kmer')}), 0) AS rc_n FROM wanted w)
-    SELECT *, CASE WHEN kmer = rc_kmer THEN n ELSE n + rc_n END AS pair_n, kmer = rc_kmer AS is_palindrome FROM q""")
+@query(f"""WITH {READS}, {cut()}, {UNIQUE}, wanted AS (SELECT upper(unnest([{', '.join('NULL' if x is None else repr(x) for x in WANTED)}])) AS kmer),
+    good AS (SELECT kmer, kmer IS NOT NULL AND regexp_full_match(kmer, '[ACGT]{{{k}}}') AS good FROM wanted),
+    q AS (SELECT kmer, CASE WHEN good THEN coalesce((SELECT n FROM counts c WHERE c.kmer = w.kmer), 0) END AS n, CASE WHEN good THEN {rc('kmer')} END AS rc_kmer, CASE WHEN good THEN coalesce((SELECT n FROM counts c WHERE c.kmer = {rc('w.kmer')}), 0) END AS rc_n FROM good w)
+    SELECT coalesce(kmer, 'none') AS kmer, coalesce(n, -1) AS n, coalesce(rc_kmer, '') AS rc_kmer, coalesce(rc_n, -1) AS rc_n, coalesce(CASE WHEN kmer = rc_kmer THEN n ELSE n + rc_n END, -1) AS pair_n, coalesce(kmer = rc_kmer, FALSE) AS is_palindrome FROM q""")
 def f1_query_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.query_kmers(unique_counts(spark, sf_dir), C.kmer_list(spark, WANTED), k)
+    """The list holds lower case, other letters, a wrong length and a null."""
+    found = C.query_kmers(unique_counts(spark, sf_dir), C.kmer_list(spark, WANTED), k, "null")
+    return found.fillna({"kmer": "none", "rc_kmer": "", "n": -1, "rc_n": -1, "pair_n": -1, "is_palindrome": False})
 
 
 @query(f'WITH {READS}, {WINDOWS} SELECT event_id, chrom || \'|\' || start || \'|\' || "end" AS header, coalesce(substr(seq, start::INTEGER + 1, 60), \'\') AS seq FROM windows JOIN reads ON seq_no::VARCHAR = chrom')
@@ -481,7 +485,7 @@ def h1_merge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strand_windows(spark, sf_dir).select("seq_no", "strand", "start", "end")
 
 
-LABELS = "labels_at AS (SELECT seq_no, spot, sum(CASE strand WHEN '+' THEN 1 ELSE 2 END)::INTEGER AS label FROM cover GROUP BY ALL)"
+LABELS = "labels_at AS (SELECT seq_no, spot, sum(CASE strand WHEN '+' THEN 1 ELSE 2 END)::BIGINT AS label FROM cover GROUP BY ALL)"
 
 
 def run_length(source: str) -> str:
@@ -497,7 +501,7 @@ def h2_label_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.label_pieces(labelled(spark, sf_dir))
 
 
-WHOLE = "whole AS (SELECT seq_no, spot, coalesce(label, 0)::INTEGER AS label FROM (SELECT seq_no, unnest(range(0, length(seq))) AS spot FROM reads) LEFT JOIN labels_at USING (seq_no, spot))"
+WHOLE = "whole AS (SELECT seq_no, spot, coalesce(label, 0)::BIGINT AS label FROM (SELECT seq_no, unnest(range(0, length(seq))) AS spot FROM reads) LEFT JOIN labels_at USING (seq_no, spot))"
 
 
 @query(f"WITH {READS}, {cut()}, {HITS}, {COVER}, {LABELS}, {WHOLE} {run_length('whole')}")
@@ -546,7 +550,13 @@ def i3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.top_kmers(unique_counts(spark, sf_dir), k, 1).select(F.col("kmer").alias("consensus"))
 
 
-@query()
+SAMPLED = """{p}drawn AS (SELECT kmer, md5('0:' || {code}) AS ord FROM {source} ORDER BY ord, {code} LIMIT 800),
+    {p}ahead AS (SELECT kmer, ' ' || lpad((row_number() OVER (ORDER BY pair_n DESC, {code}))::VARCHAR, 9, '0') AS ord FROM {top}),
+    {p}chosen AS (SELECT kmer FROM (SELECT *, row_number() OVER (PARTITION BY least(kmer, {rc}) ORDER BY ord) AS turn FROM (SELECT * FROM {p}drawn UNION ALL SELECT * FROM {p}ahead)) WHERE turn = 1)"""
+SHOWN = f"CASE WHEN high_n > low_n THEN {rc('canon')} ELSE canon END AS kmer, pair_n"
+
+
+@query(f"WITH {READS}, {cut()}, {UNIQUE}, {PAIRS}, {TOP_PAIRS}, best AS (SELECT {SHOWN} FROM shown), {SAMPLED.format(p='', code=code('kmer'), source='counts', top='best', rc=rc('kmer'))} SELECT kmer FROM chosen")
 def i4_sample_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = unique_counts(spark, sf_dir)
     return C.sample_kmers(counts, k, C.top_kmers(counts, k), 800).select("kmer")
@@ -638,17 +648,40 @@ R_PAIRS = f"""rc_counts AS (SELECT round, kmer, count(DISTINCT seq_no) AS n FROM
     rs AS (SELECT round, {STATS} FROM rsites GROUP BY round)"""
 
 
+@query(f"SELECT {k} AS k, * FROM (WITH {READS}, {cut()}, {BY_ROUND}, {R_PAIRS} SELECT rbest.*, rs.* EXCLUDE (round) FROM rbest JOIN rs USING (round)) UNION ALL SELECT {k + 1} AS k, * FROM (WITH {READS}, {cut(k + 1)}, {BY_ROUND}, {R_PAIRS} SELECT rbest.*, rs.* EXCLUDE (round) FROM rbest JOIN rs USING (round))")
+def m2_selex_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.selex_range(rounds(spark, sf_dir), k, k + 1).withColumns({"ff": F.round("ff", 6), "fr": F.round("fr", 6)})
+
+
 @query(f"WITH {READS}, {cut()}, {BY_ROUND}, {R_PAIRS} SELECT rbest.*, rs.* EXCLUDE (round) FROM rbest JOIN rs USING (round)")
 def m2_selex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.selex(rounds(spark, sf_dir), k).withColumns({"ff": F.round("ff", 6), "fr": F.round("fr", 6)})
 
 
-@query()
+LATE = f"""late AS (SELECT kmer, count(DISTINCT seq_no) AS n FROM rkm WHERE round = 4 GROUP BY kmer), late_pairs AS (SELECT least(kmer, {rc('kmer')}) AS canon, sum(n)::BIGINT AS pair_n FROM late GROUP BY 1),
+    late_shown AS (SELECT canon, pair_n, coalesce(a.n, 0) AS low_n, coalesce(b.n, 0) AS high_n FROM late_pairs LEFT JOIN late a ON a.kmer = canon LEFT JOIN late b ON b.kmer = {rc('canon')} ORDER BY pair_n DESC, canon LIMIT 6), late_best AS (SELECT {SHOWN} FROM late_shown)"""
+
+
+@query(f"""WITH {READS}, {cut()}, {BY_ROUND}, {ROUND_TOTALS}, {LATE}, {SAMPLED.format(p='', code=code('kmer'), source='late', top='late_best', rc=rc('kmer'))},
+    seen AS (SELECT round, least(kmer, {rc('kmer')}) AS canon, count(DISTINCT (seq_no, kmer)) AS pair_n FROM rkm GROUP BY ALL),
+    f AS (SELECT kmer, totals.round, coalesce(pair_n, 0) AS pair_n, coalesce(coalesce(pair_n, 0) / nullif(n_total_kmer, 0)::DOUBLE, 0) AS frequency FROM chosen CROSS JOIN totals LEFT JOIN seen ON canon = least(kmer, {rc('kmer')}) AND seen.round = totals.round)
+    SELECT kmer, round, pair_n, round(frequency, 6) AS frequency, round(log10((frequency + 1e-9) / (1 - frequency + 1e-9)), 6) AS log_odds FROM f""")
 def m2_selex_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.selex_trend(rounds(spark, sf_dir), k).select("kmer", "round", "pair_n", six("frequency"), six("log_odds"))
 
 
-@query()
+def turn_sql(i: int) -> str:
+    """One turn of the discovery: the best k-mer of now{i}, the K-mers left without it, the k-mers' counts from those."""
+    motif = f"(hamming(substr(l.kmer, i, {k}), b.kmer) <= 1 OR hamming(substr(l.kmer, i, {k}), {rc('b.kmer')}) <= 1)"
+    return f"""best{i} AS MATERIALIZED (SELECT kmer, n FROM now{i} ORDER BY n DESC, kmer LIMIT 1),
+    left{i} AS MATERIALIZED (SELECT l.kmer, l.n FROM left{i - 1} l, best{i} b WHERE NOT EXISTS (SELECT 1 FROM unnest(range(1, {LONG - k + 2})) t(i) WHERE {motif})),
+    own{i} AS (SELECT kmer, (sum(n) // {LONG - k + 1})::BIGINT AS n FROM (SELECT substr(kmer, i, {k}) AS kmer, n FROM left{i}, unnest(range(1, {LONG - k + 2})) t(i)) GROUP BY kmer),
+    now{i + 1} AS MATERIALIZED (SELECT least(kmer, {rc('kmer')}) AS kmer, sum(n)::BIGINT AS n FROM own{i} WHERE n > 0 GROUP BY 1)"""
+
+
+@query(f"""WITH {READS}, {cut()}, {cut(LONG, 'km9')}, now1 AS MATERIALIZED (SELECT least(kmer, {rc('kmer')}) AS kmer, count(*) AS n FROM km GROUP BY 1),
+    left0 AS MATERIALIZED (SELECT least(kmer, {rc('kmer')}) AS kmer, count(*) AS n FROM km9 GROUP BY 1), {', '.join(turn_sql(i) for i in (1, 2, 3))}
+    {' UNION ALL '.join(f'SELECT {i} AS turn, kmer, n, (SELECT count(*) FROM left{i}) AS n_left FROM best{i}' for i in (1, 2, 3))}""")
 def m3_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k=6 and K=9 with one substitution, three motifs, from counts saved by the count job."""
     path = new_path(spark, "counts")
@@ -676,10 +709,39 @@ TWO = MOTIFS[:2]
 TWO_SCAN = " UNION ALL ".join(f"SELECT seq_no, {1 << (i - 1)} AS bit, {m.k} AS size, pos FROM km{m.k} WHERE {near('kmer', m)}" for i, m in enumerate(TWO, 1))
 
 
-@query(f"""WITH {READS}, {cut(5, 'km5')}, {cut(6, 'km6')}, s AS ({TWO_SCAN}), cover AS (SELECT DISTINCT seq_no, bit, unnest(range(pos, pos + size)) AS spot FROM s), labels_at AS (SELECT seq_no, spot, sum(bit)::INTEGER AS label FROM cover GROUP BY ALL),
-    whole AS (SELECT seq_no, spot, coalesce(label, 0)::INTEGER AS label FROM (SELECT seq_no, unnest(range(0, length(seq))) AS spot FROM reads WHERE seq_no IN (SELECT seq_no FROM s)) LEFT JOIN labels_at USING (seq_no, spot)) {run_length('whole')}""")
+@query(f"""WITH {READS}, {cut(5, 'km5')}, {cut(6, 'km6')}, s AS ({TWO_SCAN}), cover AS (SELECT DISTINCT seq_no, bit, unnest(range(pos, pos + size)) AS spot FROM s), labels_at AS (SELECT seq_no, spot, sum(bit)::BIGINT AS label FROM cover GROUP BY ALL),
+    whole AS (SELECT seq_no, spot, coalesce(label, 0)::BIGINT AS label FROM (SELECT seq_no, unnest(range(0, length(seq))) AS spot FROM reads WHERE seq_no IN (SELECT seq_no FROM s)) LEFT JOIN labels_at USING (seq_no, spot)) {run_length('whole')}""")
 def m6_scan_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.scan_reads(reads(spark, sf_dir), TWO)["segments"]
+    return J.scan_reads(reads(spark, sf_dir), TWO)["segments"].drop("motifs")
+
+
+def many_motifs(n: int) -> list[M.Motif]:
+    """n motifs of five and six bases from a rule."""
+    return [M.Motif(codec.kmer_of((i * 389 + 77) % 4 ** (5 + i % 2), 5 + i % 2), int(i % 3 == 0)) for i in range(n)]
+
+
+def many_sql(n: int) -> str:
+    scan = " UNION ALL ".join(f"SELECT seq_no, {i} AS motif, {m.k} AS size, pos FROM km{m.k} WHERE {near('kmer', m)}" for i, m in enumerate(many_motifs(n), 1))
+    return f"""{READS}, {cut(5, 'km5')}, {cut(6, 'km6')}, s AS MATERIALIZED ({scan}), cover AS (SELECT DISTINCT seq_no, motif, unnest(range(pos, pos + size)) AS spot FROM s),
+    names AS (SELECT seq_no, spot, string_agg(motif::VARCHAR, '_' ORDER BY motif) AS label FROM cover GROUP BY ALL),
+    whole AS (SELECT seq_no, spot, coalesce(label, '') AS label FROM (SELECT seq_no, unnest(range(0, length(seq))) AS spot FROM reads WHERE seq_no IN (SELECT seq_no FROM s)) LEFT JOIN names USING (seq_no, spot)),
+    pieces AS ({run_length('whole')})"""
+
+
+@query(f"WITH {many_sql(40)} SELECT seq_no, start, \"end\", label AS motifs FROM pieces")
+def m6_scan_forty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = J.scan_reads(reads(spark, sf_dir), many_motifs(40))["segments"]
+    return found.select("seq_no", "start", "end", F.array_join("motifs", "_").alias("motifs"))
+
+
+@query(f"""WITH {many_sql(9)}, t AS (SELECT seq_no, start, label, substr(seq, start::INTEGER + 1, ("end" - start)::INTEGER) AS t FROM pieces JOIN reads USING (seq_no))
+    SELECT seq_no::VARCHAR AS seq_id, string_agg(CASE WHEN label = '' THEN t ELSE '<motif' || label || '>' || t || '</motif' || label || '>' END, '' ORDER BY start) AS marked FROM t GROUP BY seq_no""")
+def m6_scan_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine motifs, from a file; the numbers of the file's records lead back to their names."""
+    path = new_path(spark, "fasta")
+    fasta.write_fasta(reads(spark, sf_dir), path)
+    named = fasta.read_fasta(spark, path, numbered=True).select("seq_no", "seq_id")
+    return J.scan_file(spark, path, many_motifs(9))["marked"].join(named, "seq_no").select("seq_id", "marked")
 
 
 @query(f'WITH {READS}, {WINDOWS} SELECT chrom || \'|\' || start || \'|\' || "end" AS seq_id, coalesce(substr(seq, start::INTEGER + 1, 60), \'\') AS seq FROM windows JOIN reads ON seq_no::VARCHAR = chrom')
@@ -691,6 +753,47 @@ def m7_window_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.read_fasta(spark, target).select("seq_id", "seq")
 
 
+LAST = "last AS (SELECT 'chr' || (seq_no % 4) AS chrom, max(seq_no) AS seq_no FROM reads GROUP BY 1), chromosomes AS (SELECT chrom, seq FROM last JOIN reads USING (seq_no))"
+
+
+def chromosome_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Four chromosomes, each in a folder chrN.fa with one file, of which the last record counts."""
+    folder, rows = new_path(spark, "genome"), reads(spark, sf_dir)
+    for r in range(4):
+        fasta.write_fasta(rows.where(F.pmod("seq_no", F.lit(4)) == r).orderBy("seq_no").coalesce(1), f"{folder}/chr{r}.fa")
+    return folder
+
+
+@query(f"WITH {READS}, {LAST}, {TILES.replace('seq_no::VARCHAR AS chrom', 'chrom').replace('FROM reads', 'FROM chromosomes')} SELECT * FROM tiles")
+def a5_read_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.read_reference(spark, chromosome_folder(spark, sf_dir), TILE)
+
+
+CHROM_WINDOWS = "windows AS (SELECT 'chr' || (event_id % 5) AS chrom, (event_id * 37) % 400 AS start, (event_id * 37) % 400 + 60 AS \"end\" FROM events)"
+
+
+@query(f'WITH {READS}, {LAST}, {CHROM_WINDOWS} SELECT chrom || \'|\' || start || \'|\' || "end" AS seq_id, coalesce(substr(seq, start::INTEGER + 1, 60), \'\') AS seq FROM windows JOIN chromosomes USING (chrom)')
+def m7_window_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job from files to a file; the fifth chromosome that windows ask for is missing."""
+    tsv, target, start = new_path(spark, "tsv"), new_path(spark, "fasta"), (F.col("event_id") * 37) % 400
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("chr"), (F.col("event_id") % 5).cast("string")).alias("chrom"), start.alias("start"), (start + 60).alias("end"))
+    rows.write.csv(tsv, sep="\t", header=True)
+    J.window_file(spark, tsv, chromosome_folder(spark, sf_dir), target, tile=TILE, on_missing="skip")
+    return fasta.read_fasta(spark, target).select("seq_id", "seq")
+
+
+@query(f"""WITH {MANIFEST}, r AS (SELECT 'R' || doc_id AS accession, lang || ' run' AS title FROM documents)
+    SELECT r.accession, title, layout, '{archive.BROWSE}' || r.accession AS url, (SELECT round(sum(bytes) / 1e9, 2) FROM files) AS gigabytes FROM r LEFT JOIN (SELECT accession, max(layout) AS layout FROM files GROUP BY 1) USING (accession)""")
+def m8_manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job on a report and an export of records, as files."""
+    report, xml = new_path(spark, "manifest"), new_path(spark, "xml")
+    manifest_lines(spark, sf_dir).write.text(report)
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("<RUN><IDENTIFIERS><PRIMARY_ID>R"), F.col("doc_id").cast("string"), F.lit("</PRIMARY_ID></IDENTIFIERS><TITLE>"), "lang", F.lit(" run</TITLE></RUN>")).alias("value"))
+    rows.write.text(xml)
+    found = J.manifest(spark, report, xml, "run")
+    return found["records"].withColumn("gigabytes", F.lit(found["size"].first().gigabytes))
+
+
 @query(f"WITH {MANIFEST} SELECT layout, count(*) AS n_files, sum(bytes)::BIGINT AS bytes FROM files GROUP BY layout")
 def m8_manifest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = archive.parse_manifest(manifest_lines(spark, sf_dir))

@@ -6,7 +6,7 @@ records of several lines stay whole. Compressed files can't be split; many of th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,29 +24,33 @@ def parse_records(raw: DataFrame, *more: Column) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str | list[str], numbered: bool = False) -> DataFrame:
     """seq_no, seq_id, description, seq of plain or .gz files.
 
-    ``seq_no`` tells records apart; with ``numbered`` it counts them in file order, which takes a second pass over the
-    input to know how many records each split has."""
+    ``seq_no`` tells records apart; with ``numbered`` it counts them in file order (a bare ">" too, though it gives no row), which takes a
+    second pass over the input to know how many records each split has; no sequence is shuffled."""
     raw = spark.read.option("lineSep", "\n>").text(path)
     if numbered:
-        placed = raw.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"), "value").where(F.length(F.trim("value")) > 0)
-        counts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        from pyspark.sql import Window
-
-        before = counts.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each split
-        within = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
-        raw = placed.withColumn("within", within).join(F.broadcast(before), "part").select((F.col("before") + F.col("within")).cast("long").alias("seq_no"), "value")
+        # The id's lower 33 bits count the records of a split; what is missing is how many came before the split.
+        placed = raw.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("within"), "value")
+        counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+        before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each split
+        raw = placed.join(F.broadcast(before), "part").select((F.col("before") + F.col("within")).cast("long").alias("seq_no"), "value")
         return parse_records(raw, F.col("seq_no")).select("seq_no", "seq_id", "description", "seq")
     return parse_records(raw, F.monotonically_increasing_id().alias("seq_no")).select("seq_no", "seq_id", "description", "seq")
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """seq_no, seq_id, description, seq, qual. Records are four lines; only counting lines finds their starts, as a
-    quality line may begin like a header, so lines are numbered over all splits first."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] // 4, x[1] % 4, x[0][0]))
-    rows = spark.createDataFrame(lines, "seq_no long, part long, line string")
-    records = rows.groupBy("seq_no").pivot("part", [0, 1, 2, 3]).agg(F.first("line"))
-    header = F.regexp_replace(F.col("0"), "^@", "")
-    return records.where(F.col("1").isNotNull()).select("seq_no", F.substring_index(header, " ", 1).alias("seq_id"), F.trim(F.regexp_replace(header, r"^\S+\s*", "")).alias("description"), F.upper(F.trim("1")).alias("seq"), F.trim("3").alias("qual"))
+    """seq_no (tells records apart), seq_id, description, seq, qual of plain or .gz files with records of four lines.
+
+    Files are split at a line break and "@", so a record stays whole, but for those whose quality begins with "@": they come in two
+    parts, of three lines and of what follows the "@". Only these parts are shuffled, to be put together in the order of the file."""
+    raw = spark.read.option("lineSep", "\n@").text(path)
+    lines = F.split("value", "\r?\n", -1)
+    parts = raw.select(F.monotonically_increasing_id().alias("seq_no"), F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), lines.alias("x")).where("not (size(x) <= 2 and trim(array_join(x, '')) = '' and block = 0 and seq_no % 8589934592 = 0)")
+    whole = parts.where(F.size("x") >= 4).select("seq_no", F.get("x", F.lit(0)).alias("header"), F.get("x", F.lit(1)).alias("seq"), F.get("x", F.lit(3)).alias("qual"))
+    next_part = F.lead("x").over(Window.partitionBy("file").orderBy("block", "seq_no"))
+    torn = parts.where(F.size("x") < 4).withColumn("rest", next_part).where(F.size("x") == 3)
+    mended = torn.select("seq_no", F.get("x", F.lit(0)).alias("header"), F.get("x", F.lit(1)).alias("seq"), F.concat(F.lit("@"), F.coalesce(F.get("rest", F.lit(0)), F.lit(""))).alias("qual"))
+    header = F.regexp_replace("header", "^@", "")
+    return whole.unionByName(mended).select("seq_no", F.substring_index(header, " ", 1).alias("seq_id"), F.trim(F.regexp_replace(header, r"^\S+\s*", "")).alias("description"), F.upper(F.trim("seq")).alias("seq"), F.trim("qual").alias("qual"))
 
 
 def read_rounds(spark: SparkSession, paths: list[str], min_round: int, max_round: int) -> DataFrame:

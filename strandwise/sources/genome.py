@@ -12,17 +12,18 @@ TILE = 1 << 20
 
 def tiles(chromosomes: DataFrame, tile: int = TILE) -> DataFrame:
     """(chrom, seq) -> (chrom, tile, tile_start, seq, length): long sequences in parts of ``tile`` bases."""
-    n = F.length("seq")
-    last = F.greatest(F.ceil(n / F.lit(tile)) - 1, F.lit(0))
-    rows = chromosomes.select("chrom", "seq", n.alias("length"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("tile"))
-    start = F.col("tile") * tile
-    return rows.select("chrom", "tile", start.alias("tile_start"), F.col("seq").substr((start + 1).cast("int"), F.lit(tile)).alias("seq"), F.col("length").cast("long").alias("length"))
+    # One pass along the sequence; asking for each tile by its place would walk from the start again and again.
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{tile}}}"), F.lit(0))
+    parts = F.when(F.length("seq") > 0, cut).otherwise(F.array("seq"))
+    rows = chromosomes.select("chrom", F.length("seq").cast("long").alias("length"), F.posexplode(parts).alias("tile", "seq"))
+    return rows.select("chrom", F.col("tile").cast("long").alias("tile"), (F.col("tile").cast("long") * tile).alias("tile_start"), "seq", "length")
 
 
 def read_reference(spark: SparkSession, folder: str, tile: int = TILE) -> DataFrame:
-    """Tiles of all chromosomes in a folder: chromosome X is the last record of a file X.fa*."""
+    """Tiles of all chromosomes in a folder: chromosome X is the last record of a file X.fa*, or of a folder of that name that
+    holds one file."""
     raw = spark.read.option("lineSep", "\n>").text(f"{folder}/*.fa*")
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.fa[^/]*$", 1)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.fa[^/]*(?:/[^/]+)?$", 1)
     rows = parse_records(raw, name.alias("chrom"), F.monotonically_increasing_id().alias("place"))
     last = rows.groupBy("chrom").agg(F.max("place").alias("place"))
     return tiles(rows.join(last, ["chrom", "place"], "left_semi").select("chrom", "seq"), tile)

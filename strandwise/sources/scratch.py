@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -22,3 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/strandwise/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, so the loss of an
+    executor costs no recomputation of what is already written."""
+    path = new_path(df.sparkSession, tag)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from strandwise.operators import counts as C
@@ -125,7 +126,7 @@ def test_fasta_files(spark, tmp_path):
 def test_fastq_quality_may_look_like_a_header(spark, tmp_path):
     (tmp_path / "x.fq").write_text("@a d\nACGT\n+\n@@@@\n@b\nAC\n+b\nII\n")
     rows = fasta.read_fastq(spark, str(tmp_path / "x.fq")).orderBy("seq_no").collect()
-    assert [tuple(r) for r in rows] == [(0, "a", "d", "ACGT", "@@@@"), (1, "b", "", "AC", "II")]
+    assert [tuple(r)[1:] for r in rows] == [("a", "d", "ACGT", "@@@@"), ("b", "", "AC", "II")]
 
 
 def test_written_lines_have_no_empty_end(spark, tmp_path):
@@ -188,3 +189,97 @@ def test_streaming_complete_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r.kmer: r.n for r in spark.table("seen").collect()} == {"ACG": 3, "CGT": 1, "GTA": 1, "CGA": 1, "GAC": 1}
+
+
+@pytest.mark.parametrize("ends", ["\n", ""])
+def test_fastq_in_any_splits(spark, tmp_path, ends):
+    """Qualities that begin with "@", also twice, at every place of a file that is read in many splits."""
+    import random
+
+    rng = random.Random(6)
+    records = [(f"r{i}", "".join(rng.choice("ACGT") for _ in range(n)), "".join(rng.choice("@@@+IF#") for _ in range(n))) for i, n in enumerate(rng.randrange(1, 40) for _ in range(400))]
+    (tmp_path / "x.fq").write_text("\n".join(f"@{a} x\n{b}\n+\n{c}" for a, b, c in records) + ends)
+    (tmp_path / "y.fq").write_text("@z\nA\n+\n@")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "700")
+    try:
+        rows = fasta.read_fastq(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.seq_id, r.seq, r.qual) for r in rows) == sorted([*records, ("z", "A", "@")])
+    assert len({r.seq_no for r in rows}) == 401
+
+
+def test_input_of_users_is_normalised(spark):
+    from strandwise.operators import counts as C
+    from strandwise.operators.masking import RepeatMask, mask_chain
+    from strandwise.operators.motifs import Motif
+
+    reads = spark.createDataFrame([(1, "AAAAAATTACGTAC")], "seq_no long, seq string")
+    counts = C.count_kmers(reads, 6)
+    assert [r.n for r in C.query_kmers(counts, C.kmer_list(spark, ["aaaaaa"]), 6).collect()] == [1]
+    for bad in ("NNNNNN", "ACGTNA", "ACG", None):
+        with pytest.raises(ValueError, match="must be 6 letters"):
+            C.query_kmers(counts, C.kmer_list(spark, [bad]), 6)
+        if bad is None or len(bad) == 6:
+            with pytest.raises(ValueError, match="must be letters"):
+                Motif(bad, 1)
+    assert Motif("acgt", 1) == Motif("ACGT", 1)
+    assert mask_chain(reads, [RepeatMask("a", 3)]).first().seq == "NNNNNNTTACGTAC"
+
+
+@pytest.mark.parametrize("tile", [4, 7, 1 << 16])
+def test_intervals_in_tiles_against_brute_force(spark, tile):
+    import random
+
+    from strandwise.operators import intervals as V
+
+    rng = random.Random(tile)
+    reads = [(i, "A" * rng.randrange(0, 60)) for i in range(12)]
+    spans = [(i, m, s, min(len(x), s + rng.randrange(0, 20))) for i, x in reads for m in (1, 2, 70) for s in (rng.randrange(0, len(x) + 1) for _ in range(3))]
+    frame = spark.createDataFrame(spans, "seq_no long, m int, start long, end long")
+    merged = V.merge_windows(frame, "m", tile=tile)
+    cover = {}
+    for i, m, a, b in spans:
+        for x in range(a, b):
+            cover.setdefault((i, m), set()).add(x)
+    expected = set()
+    for (i, m), xs in cover.items():
+        for a in sorted(xs):
+            if a - 1 not in xs:
+                expected.add((i, m, a, next(b for b in range(a, 100) if b not in xs)))
+    assert {(r.seq_no, r.m, r.start, r.end) for r in merged.collect()} == expected
+
+    hits = spark.createDataFrame([(i, m, a) for i, m, a, b in spans if b - a >= 5], "seq_no long, motif_id int, pos int")
+    pieces = V.motif_segments(spark.createDataFrame(reads, "seq_no long, seq string"), hits, {1: 5, 2: 5, 70: 5}, tile=tile).collect()
+    at = {}
+    for r in pieces:
+        for x in range(r.start, r.end):
+            assert (r.seq_no, x) not in at
+            at[r.seq_no, x] = tuple(r.motifs)
+    for i, x in reads:
+        for p in range(len(x)):
+            assert at[i, p] == tuple(m for m in (1, 2, 70) if any(j == i and n == m and b - a >= 5 and a <= p < a + 5 for j, n, a, b in spans))
+    by_place = sorted((r.seq_no, r.start, r.end, tuple(r.motifs)) for r in pieces)
+    assert all(a[0] != b[0] or (a[2] == b[1] and a[3] != b[3]) for a, b in zip(by_place, by_place[1:], strict=False))
+
+
+def test_counts_of_long_sequences_and_of_rounds(spark, monkeypatch):
+    from collections import Counter
+
+    from strandwise.operators import counts as C
+    from strandwise.operators import kmers as K
+
+    monkeypatch.setattr(K, "CHUNK", 50)
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, 1 + i % 2, "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 3, 40, 50, 51, 400])))) for i in range(30)] + [(99, 1, None)]
+    reads = spark.createDataFrame(rows, "seq_no long, round int, seq string")
+    for unique in (True, False):
+        expected = Counter()
+        for _, r, s in rows:
+            found = [s[i : i + 3] for i in range(len(s or "") - 2) if "N" not in s[i : i + 3]]
+            expected.update((r, x) for x in (set(found) if unique else found))
+        assert {(r.round, r.kmer): r.n for r in C.count_kmers(reads, 3, unique, "round").collect()} == expected
