@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import new_path
+from ..sources.scratch import stored
+
+__all__ = ["documents", "small_batches", "stored", "table", "text_key", "text_or_empty"]
 
 #: Rows in an Arrow batch sent to Python; texts average a few KB, so a batch stays at a few MB.
 ARROW_ROWS = 512
@@ -35,12 +37,3 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
-
-
-def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, so the loss of an
-    executor costs no recomputation of what is already written."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
