@@ -7,14 +7,15 @@ once would not fit anywhere, so suffixes are dealt to buckets and sorted one buc
    string, its anchor. Equal strings have equal anchors at equal distances, which is what a difference cover
    is for; as both suffixes are then aligned on their anchors, a cover of one residue in eight does where an unaligned one
    would need several. Consecutive starting places with the same anchor form a segment.
-2. Anchors that occur once can't take part in a repeat; they go after one aggregation on the anchors' hashes.
-   Segments that are equal as a whole are repeats as a whole, and one of them stands for all.
+2. Anchors that occur once can't take part in a repeat; they go after one aggregation on the anchors' hashes (hashes that
+   collide only make a bucket larger). Segments that are equal as a whole, by 128 bits of BLAKE2b over their bytes, are repeats
+   as a whole, and one of them stands for all. A segment that many texts share is dealt over parts of about ``PART`` rows.
 3. Of the anchors left, with several different segments, the segments' bytes go to the anchor's bucket. There the
    cover's samples (every eighth byte, counted from the anchor) get ranks for the 192 bytes from each on, by doubling. Suffixes
    are sorted by their first eight bytes; the ties, however long, are resolved by the rank of the next sample and
    the last eight bytes. Neighbours that are equal mark repeats. A task holds a few MB at a time.
 4. Anchors with very many different segments (``hot``) are not gathered: their starting places are
-   counted one by one, under 128 bits of hash, with partial aggregation before the shuffle.
+   counted one by one, under 128 bits of BLAKE2b, with partial aggregation before the shuffle.
 """
 
 from __future__ import annotations
@@ -28,14 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches, stored
-from .text_kernel import BYTE_CODE, U64, buffers, mix, prefix_hash, span_hash
+from .text_kernel import BYTE_CODE, U64, buffers, prefix_hash, span_hash
 
 LENGTH, GRAM = 200, 32
+#: What a row of the input is told by.
+ROW = ["doc_id", "uid"]
 #: Bytes worked on at a time.
 CHUNK = 4 << 20
 #: Rows of one anchor from which its bucket is not gathered in a task.
 HOT = 20_000
 WORD = 8
+#: Rows of one anchor that one join key holds, about.
+PART = 1000
 
 
 def pieces(off: np.ndarray, length: int, chunk: int = CHUNK) -> Iterator[tuple[int, int, int, int]]:
@@ -56,11 +61,11 @@ def pieces(off: np.ndarray, length: int, chunk: int = CHUNK) -> Iterator[tuple[i
 
 def segments_of(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """raw: bytes of texts that end at ``ends``. -> for each segment: first and last starting place, anchor's place,
-    anchor's hash, hash of the segment's bytes."""
+    anchor's hash."""
     none = np.zeros(0, np.int64)
     n = len(raw) - length + 1
     if n < 1:
-        return none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none.astype(U64)
     prefix = prefix_hash(BYTE_CODE[raw])
     start = np.arange(len(raw) - gram + 1)
     grams = span_hash(prefix, start, start + gram)
@@ -87,33 +92,35 @@ def segments_of(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tu
     keep = valid[first]
     first, last = first[keep], last[keep]
     anchor = owner[first]
-    return first, last, anchor, grams[anchor], mix(span_hash(prefix, first, last + length) + (last - first).astype(U64))
+    return first, last, anchor, grams[anchor]
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """gram, seg (hashes), uid, first, last, anchor (places in the text)."""
+    """gram (hash), seg (digest of the segment's bytes), doc_id and uid (the row), first, last, anchor (places in the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid = np.asarray(batch.column(0))
-            raw, off = buffers(batch.column(1))
+            doc_id, uid = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            raw, off = buffers(batch.column(2))
             for i, j, a, b in pieces(off, length):
-                first, last, anchor, grams, segs = segments_of(raw[a:b], np.minimum(off[i + 1 : j + 1], b) - a, length, gram)
+                first, last, anchor, grams = segments_of(raw[a:b], np.minimum(off[i + 1 : j + 1], b) - a, length, gram)
                 doc = np.searchsorted(off, first + a, side="right") - 1
                 shift = a - off[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(segs.astype(np.int64)), pa.array(uid[doc]), *(pa.array(x + shift) for x in (first, last, anchor))], ["gram", "seg", "uid", "first", "last", "anchor"])
+                part = memoryview(raw[a:b].tobytes())
+                segs = [hashlib.blake2b(part[x:y], digest_size=16).digest() for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(segs, pa.binary()), pa.array(doc_id[doc]), pa.array(uid[doc]), *(pa.array(x + shift) for x in (first, last, anchor))], ["gram", "seg", "doc_id", "uid", "first", "last", "anchor"])
 
     small_batches(docs.sparkSession)
-    return keyed(docs).select("uid", "text").mapInArrow(run, "gram long, seg long, uid long, first long, last long, anchor long")
+    return keyed(docs).mapInArrow(run, "gram long, seg binary, doc_id long, uid int, first long, last long, anchor long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, text): rows with the same id and text share the uid, other rows don't."""
-    return documents(docs).select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
+    """(doc_id, uid, text): a row is told by its doc_id and, where rows share that, by 32 bits of its text."""
+    return documents(docs).select("doc_id", F.shiftright(F.xxhash64("text"), 32).cast("int").alias("uid"), "text")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, n_bytes, packed): compressed before a shuffle."""
+    """(doc_id, uid, n_bytes, packed): compressed before a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
@@ -121,10 +128,10 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             raw, off = buffers(batch.column(2))
             whole = raw.tobytes()
             data = [codec.compress(whole[a:b], asbytes=True) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.diff(off)), pa.array(data, pa.binary())], ["uid", "doc_id", "n_bytes", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.diff(off)), pa.array(data, pa.binary())], ["doc_id", "uid", "n_bytes", "packed"])
 
     small_batches(docs.sparkSession)
-    return keyed(docs).mapInArrow(run, "uid long, doc_id long, n_bytes long, packed binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, uid int, n_bytes long, packed binary")
 
 
 def unpack(data: pa.Scalar, n: int) -> bytes:
@@ -188,40 +195,41 @@ def repeated_in_buckets(texts: list[bytes], anchor: np.ndarray, bucket: np.ndarr
 
 
 def covers(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(uid, a, b): stretches [a, b) of bytes that are covered by repeated strings; they may overlap."""
+    """(doc_id, uid, a, b): stretches [a, b) of bytes that are covered by repeated strings; they may overlap."""
     found = stored(anchors(docs, length, gram), "anchors")
     twice = stored(found.groupBy("gram").agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1").select("gram", "n", (F.col("low") != F.col("high")).alias("mixed")), "twice")
+    # Spark splits a partition that one anchor makes too large (adaptive skew join): ``twice`` has a row for each.
     several = stored(found.join(twice, "gram"), "several")
-    whole = several.where("not mixed").select("uid", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    stretch = [*ROW, F.col("first").alias("a"), (F.col("last") + length).alias("b")]
+    whole = several.where("not mixed").select(stretch)
 
     mixed = several.where("mixed")
-    kinds = stored(mixed.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min(F.struct("uid", "first", "last", "anchor")).alias("x")), "kinds")
-    equal = mixed.join(kinds.where("c > 1").select("gram", "seg"), ["gram", "seg"], "left_semi").select("uid", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    kinds = stored(mixed.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min(F.struct(*ROW, "first", "last", "anchor")).alias("x")), "kinds")
+    parts_of = (F.floor(F.col("n") / PART) + 1).cast("int")
+    dealt = mixed.withColumn("part", F.pmod(F.xxhash64(*ROW, "first"), parts_of).cast("int"))
+    often = kinds.where("c > 1").select("gram", "seg", F.explode(F.sequence(F.lit(0), parts_of - 1)).alias("part"))
+    equal = dealt.join(often, ["gram", "seg", "part"], "left_semi").select(stretch)
 
-    wanted = kinds.select("x.uid", F.struct("x.first", "x.last", "x.anchor", "gram", (F.col("c") > 1).alias("known"), (F.col("n") > hot).alias("hot")).alias("s")).groupBy("uid").agg(F.collect_list("s").alias("s"))
+    wanted = kinds.select("x.doc_id", "x.uid", F.struct("x.first", "x.last", "x.anchor", "gram", (F.col("c") > 1).alias("known"), (F.col("n") > hot).alias("hot")).alias("s")).groupBy(*ROW).agg(F.collect_list("s").alias("s"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.schema([("gram", pa.int64()), ("more", pa.int64()), ("uid", pa.int64()), ("first", pa.int64()), ("anchor", pa.int64()), ("known", pa.bool_()), ("bytes", pa.binary())])
+        shape = pa.schema([("gram", pa.int64()), ("more", pa.binary()), ("doc_id", pa.int64()), ("uid", pa.int32()), ("first", pa.int64()), ("anchor", pa.int64()), ("known", pa.bool_()), ("bytes", pa.binary())])
         for batch in batches:
             rows: list[dict] = []
-            for uid, n, data, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for doc_id, uid, n, data, some in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4).to_pylist(), strict=True):
                 text = unpack(data, n)
                 for s in some:
                     part = text[s["first"] : s["last"] + length]
-                    row = {"gram": s["gram"], "more": None, "uid": uid, "first": s["first"], "anchor": s["anchor"] - s["first"], "known": s["known"], "bytes": part}
+                    row = {"gram": s["gram"], "more": None, "doc_id": doc_id, "uid": uid, "first": s["first"], "anchor": s["anchor"] - s["first"], "known": s["known"], "bytes": part}
                     if not s["hot"]:
                         rows.append(row)
                         continue
-                    prefix = prefix_hash(BYTE_CODE[np.frombuffer(part, np.uint8)])
-                    start = np.arange(len(part) - length + 1)
-                    one = span_hash(prefix, start, start + length).astype(np.int64).tolist()
-                    for k in range(len(start)):
-                        other = hashlib.blake2b(part[k : k + length], digest_size=8).digest()
-                        rows.append(row | {"gram": one[k], "more": int.from_bytes(other, "little", signed=True), "first": s["first"] + k, "bytes": b""})
+                    for k in range(len(part) - length + 1):
+                        rows.append(row | {"more": hashlib.blake2b(part[k : k + length], digest_size=16).digest(), "first": s["first"] + k, "bytes": b""})
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
-    texts = packed_texts(docs).select("uid", "n_bytes", "packed")
-    parts = stored(texts.join(wanted, "uid").mapInArrow(cut, "gram long, more long, uid long, first long, anchor long, known boolean, bytes binary"), "parts")
+    texts = packed_texts(docs).select(*ROW, "n_bytes", "packed")
+    parts = stored(texts.join(wanted, ROW).mapInArrow(cut, "gram long, more binary, doc_id long, uid int, first long, anchor long, known boolean, bytes binary"), "parts")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -230,8 +238,8 @@ def covers(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
         def solve(some: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(some)
             runs = repeated_in_buckets(table["bytes"].to_pylist(), table["anchor"].to_numpy(), table["gram"].to_numpy(), length)
-            out = [(u, f + i, f + j - 1 + length) for u, f, known, found in zip(table["uid"].to_pylist(), table["first"].to_pylist(), table["known"].to_pylist(), runs, strict=True) if not known for i, j in found]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["uid", "a", "b"])
+            out = [(d, u, f + i, f + j - 1 + length) for d, u, f, known, found in zip(*(table[c].to_pylist() for c in (*ROW, "first", "known")), runs, strict=True) if not known for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], [*ROW, "a", "b"])
 
         for batch in batches:
             held.append(batch)
@@ -251,11 +259,11 @@ def covers(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
         if held:
             yield solve(held)
 
-    names = ["gram", "uid", "first", "anchor", "known", "bytes"]
-    cold = parts.where("more is null").select(names).repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "uid long, a long, b long")
+    names = ["gram", *ROW, "first", "anchor", "known", "bytes"]
+    cold = parts.where("more is null").select(names).repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "doc_id long, uid int, a long, b long")
     warm = parts.where("more is not null")
-    again = warm.groupBy("gram", "more").agg(F.count("*").alias("c")).where("c > 1").select("gram", "more")
-    warm = warm.where("not known").join(again, ["gram", "more"], "left_semi").select("uid", F.col("first").alias("a"), (F.col("first") + length).alias("b"))
+    again = warm.groupBy("more").agg(F.count("*").alias("c")).where("c > 1")
+    warm = warm.where("not known").join(again.select("more"), "more", "left_semi").select(*ROW, F.col("first").alias("a"), (F.col("first") + length).alias("b"))
     return whole.unionAll(equal).unionAll(cold).unionAll(warm)
 
 
@@ -276,7 +284,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     Null and empty texts, and texts shorter than ``length``, lose nothing. A whole repeated row is a repeat of the
     other, so both lose all of it. An empty table gives no rows."""
-    spans = covers(docs, length, gram, hot).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = covers(docs, length, gram, hot).groupBy(*ROW).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,4 +300,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out[:width], kinds, strict=False)], ["doc_id", "n_bytes", "removed", "n_removed", "n_spans", "kept_sha256", "kept_text"][:width])
 
     shape = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, n_removed long, n_spans long, kept_sha256 string" + (", kept_text binary" if with_text else "")
-    return packed_texts(docs).join(spans, "uid", "left").select("doc_id", "n_bytes", "packed", "spans").mapInArrow(run, shape)
+    return packed_texts(docs).join(spans, ROW, "left").select("doc_id", "n_bytes", "packed", "spans").mapInArrow(run, shape)

@@ -142,6 +142,24 @@ def test_periods_and_overlaps(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(make(spark, some), with_text=False).collect()} == {i: e[:4] for i, e in enumerate(expected)}
 
 
+@pytest.mark.parametrize(("part", "hot"), [(3, 20_000), (3, 5), (1000, 20_000)])
+def test_a_passage_in_a_third_of_all_texts(spark, monkeypatch, part, hot):
+    """Shared whole or cut off, dealt over parts; strings that a polynomial hash modulo 2**64 can't tell apart; texts that share a doc_id."""
+    monkeypatch.setattr(S, "PART", part)
+    rng = random.Random(11)
+    passage, morse = prose(rng, 70), "a"
+    for _ in range(11):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    some = [f"{prose(rng, 20)} {passage[rng.randrange(60) :]} {prose(rng, 10)}" for _ in range(30)]
+    some += [prose(rng, 60) for _ in range(40)] + [f"{prose(rng, 3)} {passage} {prose(rng, 3)}" for _ in range(10)]
+    some += [morse[:1024] + prose(rng, 40), morse[1024:] + prose(rng, 40)]
+    expected = brute_removed(some, 200)
+    rows = make(spark, some).withColumn("n_chars", F.col("doc_id")).withColumn("doc_id", F.floor(F.col("doc_id") / 2))
+    docs = rows.withColumn("lang", F.col("n_chars").cast("string"))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(docs, hot=hot, with_text=False).collect())
+    assert got == sorted((i // 2, *e[:4]) for i, e in enumerate(expected))
+
+
 def test_long_texts_are_cut_into_pieces():
     off = np.array([0, 10, 5000, 5000, 5020])
     parts = list(S.pieces(off, 200, 1000))
