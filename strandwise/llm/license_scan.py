@@ -1,10 +1,10 @@
 """Licence scan with ordered signature rules.
 
-Every rule is a regular expression over the text's words (lower case, one space between). A text is looked at
-by a rule only if it holds the rule's keyword; most texts hold none. Detections are taken in order of rule
-priority, then length; one whose interval lies inside an accepted one is suppressed, so "apache license
-version 2.0" is not reported again as "apache license". Rules come from families (names, versions) and forms
-(notice, tag, address, title, name), several hundred in all.
+Every rule is a regular expression over the text's words (lower case, one space between). One pass of an automaton finds the
+keywords of all rules in a text, and a rule is tried only where its keyword stands; most texts hold none. Detections are taken in order
+of rule priority, then length; one whose interval lies inside an accepted one is suppressed, so "apache license
+version 2.0" is not reported again as "apache license". Rules are signatures of licence texts and notices
+(``license_texts``), and names, versions, tags and addresses of the licence families below; several hundred in all.
 
 A text is handled where its row is: nothing is shuffled.
 """
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents, small_batches
+from .license_texts import SIGNATURES
 from .text_kernel import buffers, word_spans
 
 # The phrases that every scan must count, and their labels.
@@ -61,14 +62,14 @@ CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 LEAD = r"(?:licen[sc]ed|released|distributed|published|available|redistributed|provided|covered) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 #: A licence that is only mentioned to be ruled out.
 DENIAL = re.compile(rb"(?:not|never|longer|isn t|aren t) (?:be )?(?:licen[sc]ed |released |distributed |available )?(?:under )?(?:the |a |an )?$")
-FORMS = {"notice": (0, 0.95), "tag": (1, 0.98), "address": (2, 0.9), "title": (3, 0.8), "name": (4, 0.6)}
+FORMS = {"notice": (0, 0.95), "text": (1, 0.95), "tag": (2, 0.98), "address": (3, 0.9), "title": (4, 0.8), "name": (5, 0.6)}
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     form: str
-    keyword: bytes
+    keyword: str
     pattern: re.Pattern[bytes]
 
     @property
@@ -87,7 +88,7 @@ def rules() -> list[Rule]:
     for label, (names, versions, tags, addresses) in FAMILIES.items():
         for name in names:
             loose = name.replace("/", " ?").replace("-", " ?")
-            keyword = max(re.findall(r"[a-z0-9]+", re.sub(r"\[.*?\]|v\?", " ", name)), key=len)
+            keyword = re.split(r"\[|v\?|/", name)[0]
             for version in versions:
                 number = version.replace(".", " ?") if "clause" not in version else version
                 numbered = rf"{number} {loose}" if "clause" in version else rf"{loose}(?: licen[sc]e)?(?: (?:version|v))? ?v?{number}(?: 0)?"
@@ -96,45 +97,80 @@ def rules() -> list[Rule]:
                 out.append((exact, "title", keyword, numbered))
             out.append((label, "notice", keyword, LEAD + loose))
             out.append((label, "name", keyword, loose))
-        out += [(tag, "tag", "spdx", rf"spdx license identifier {_spoken(tag)}(?: only| or later)?") for tag in tags]
-        out += [(label, "address", _spoken(x).split()[-1], _spoken(x)) for x in addresses]
+        out += [(tag, "tag", "spdx license identifier", rf"spdx license identifier {_spoken(tag)}(?: only| or later)?") for tag in tags]
+        out += [(label, "address", _spoken(x), _spoken(x)) for x in addresses]
     for label, words in CC_KINDS.items():
-        short = label.replace("-", " ")
+        short, long = label.replace("-", " "), rf"creative commons {words}(?: (?:international|unported|generic))?(?: (?:public )?licen[sc]e)?(?: version)?"
         for version in CC_VERSIONS:
             number = version.replace(".", " ")
-            named = rf"(?:creative commons {words}(?: (?:international|unported|generic))?(?: (?:public )?licen[sc]e)?(?: version)?|{short}) {number}"
-            out.append((f"{label}-{version}", "notice", "c", LEAD + named))
-            out.append((f"{label}-{version}", "title", "c", named))
-            out.append((f"{label}-{version}", "tag", "spdx", rf"spdx license identifier {short} {number}"))
-            out.append((f"{label}-{version}", "address", "creativecommons", rf"creativecommons org licenses {short[3:]} {number}"))
-        out.append((label, "name", "c", rf"(?:creative commons {words}|{short})"))
-    made = [Rule(label, form, keyword.encode(), re.compile(rb"(?<![^ ])" + pattern.encode() + rb"(?![^ ])")) for label, form, keyword, pattern in out]
+            named = lambda x, number=number: f"{x} {number}"
+            for keyword, words_of in (("creative commons", long), (short, short)):
+                out.append((f"{label}-{version}", "notice", keyword, LEAD + named(words_of)))
+                out.append((f"{label}-{version}", "title", keyword, named(words_of)))
+            out.append((f"{label}-{version}", "tag", "spdx license identifier", rf"spdx license identifier {short} {number}"))
+            out.append((f"{label}-{version}", "address", "creativecommons org licenses", rf"creativecommons org licenses {short[3:]} {number}"))
+        out += [(label, "name", "creative commons", f"creative commons {words}"), (label, "name", short, short)]
+    out += [(label, "text", keyword, pattern) for label, keyword, pattern in SIGNATURES]
+    made = [Rule(label, form, keyword, re.compile(rb"(?<![^ ])" + pattern.encode() + rb"(?![^ ])")) for label, form, keyword, pattern in out]
     return sorted(made, key=lambda r: (r.priority, r.label))
 
 
-#: Only texts whose words, joined by single spaces, hold one of these are looked at by any rule.
-GATE = [b"licen", b"cc by", b"cc0", b"cc-by", b"commons", b"spdx", b"public domain", b"rights reserved", b"gpl", b"gfdl", b"mpl", b"epl", b"cddl", b"eupl", b"bsl", b"asl", b"odbl", b"wtfpl", b"bsd", b"proprietary", b"opensource", b"joinup", b"mozilla", b"eclipse", b"boost", b"opendatacommons", b"sil org", b"php net", b"berkeley"]
 GAP = np.ones(256, bool)
 GAP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 FOLD = bytes(32 if GAP[i] else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
-def detections(words: bytes, table: list[Rule]) -> list[tuple[int, int, Rule]]:
-    """The detections that stand, in order of place. words: joined by single spaces."""
-    seen: dict[bytes, bool] = {}
-    found = []
-    for rule in table:
-        if not seen.setdefault(rule.keyword, rule.keyword in words):
+def gate(table: list[Rule]):  # noqa: ANN201
+    """The automaton of all keywords, each with the places of its rules in the table; base phrases have none."""
+    import ahocorasick
+
+    places: dict[str, list[int]] = {f" {phrase} ": [] for phrase in BASE_PHRASES}
+    for i, rule in enumerate(table):
+        places.setdefault(rule.keyword, []).append(i)
+    found = ahocorasick.Automaton()
+    for keyword, some in places.items():
+        found.add_word(keyword, (keyword, some))
+    found.make_automaton()
+    return found
+
+
+def open_rules(words: bytes, automaton) -> list[int] | None:  # noqa: ANN001
+    """The places of the rules whose keywords a text holds, ascending; None where it holds no keyword and no base phrase."""
+    seen: dict[str, list[int]] = {}
+    for _, (keyword, some) in automaton.iter(f" {words.decode('latin-1')} "):
+        seen[keyword] = some
+    return sorted({i for some in seen.values() for i in some}) if seen else None
+
+
+def standing(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """The detections that no better one contains: in order of priority, length and place each is accepted unless its interval lies in
+    an accepted one. A tree of the furthest ends, by start, answers that in logarithmic time."""
+    found = sorted(found, key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].label))
+    starts = {a: i for i, a in enumerate(sorted({a for a, _, _ in found}), 1)}
+    furthest = [-1] * (len(starts) + 1)
+    stand = []
+    for a, b, rule in found:
+        i, reach = starts[a], -1
+        while i:
+            reach, i = max(reach, furthest[i]), i & (i - 1)
+        if reach >= b:
             continue
+        stand.append((a, b, rule))
+        i = starts[a]
+        while i < len(furthest):
+            furthest[i] = max(furthest[i], b)
+            i += i & -i
+    return sorted(stand, key=lambda x: (x[0], x[1], x[2].label))
+
+
+def detections(words: bytes, table: list[Rule], wanted: list[int] | None = None) -> list[tuple[int, int, Rule]]:
+    """The detections that stand, in order of place. words: joined by single spaces; wanted: the rules to try, by place in the table."""
+    found = []
+    for rule in table if wanted is None else (table[i] for i in wanted):
         for m in rule.pattern.finditer(words):
             if not DENIAL.search(words, max(0, m.start() - 60), m.start()):
                 found.append((m.start(), m.end(), rule))
-    found.sort(key=lambda x: (x[2].priority, x[0] - x[1], x[0], x[2].label))
-    stand: list[tuple[int, int, Rule]] = []
-    for a, b, rule in found:
-        if not any(c <= a and b <= d for c, d, _ in stand):
-            stand.append((a, b, rule))
-    return sorted(stand, key=lambda x: (x[0], x[1], x[2].label))
+    return standing(found)
 
 
 def word_borders(words: bytes) -> np.ndarray:
@@ -165,6 +201,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rules()
+        automaton = gate(table)
         kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("rule", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())]))]
         for batch in batches:
             raw, off = buffers(batch.column(1))
@@ -174,8 +211,8 @@ def scan(docs: DataFrame) -> DataFrame:
             for doc_id, n, a, b in zip(batch.column(0).to_pylist(), n_words.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
                 places, stand = [], []
                 words = b" ".join(whole[a:b].split())
-                if any(x in words for x in GATE) or b"cc" in words:
-                    places, stand = base_places(words), detections(words, table)
+                if (wanted := open_rules(words, automaton)) is not None:
+                    places, stand = base_places(words), detections(words, table, wanted)
                 borders, missing = word_borders(words) if stand else None, 1.0
                 for _, _, rule in stand:
                     missing *= 1 - FORMS[rule.form][1]
