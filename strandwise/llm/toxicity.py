@@ -1,16 +1,19 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded first: lower case, look-alike letters of other scripts and digits that stand for letters become
-plain letters, everything else becomes a space. An Aho-Corasick automaton finds the lexicon's entries (whole words
+Texts are folded first: lower case, letters without their accents, look-alike letters of other scripts as plain letters; in words that
+have letters, digits become the letters that they stand for (plain numbers stay numbers); letters spelt out with marks or spaces
+between become a word; everything else becomes a space. An Aho-Corasick automaton finds the lexicon's entries (whole words
 and beginnings of words) in one pass. Matches inside an exception phrase don't count; each word counts once, with
 its heaviest entry. The sum of weights, also normalised by length, goes through a calibrated logistic function.
 
 Seeds are written down; further entries and all weights come from labelled rows. What is learned is bounded
-(``SAMPLE`` rows, ``MAX_TERMS`` entries); scoring covers every whole text, in its own row, without a shuffle.
+(parameters of ``learn``: rows, entries, letters of a word's beginning, and how often an entry must have been seen); scoring covers every whole text, in its own row, without a shuffle.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +32,8 @@ SEEDS = "asshole bastard bitch clown cretin cunt degenerate despicable dickhead
 EXCEPTIONS = ["trash can", "trash bin", "clown fish", "pig iron", "guinea pig", "class clown act", "garbage collector", "garbage collection", "garbage truck", "fool proof", "jerk chicken", "freak wave", "prick test", "loser bracket", "trash talk radio"]
 # Look-alikes of plain letters (Cyrillic, Greek, IPA, full width by rule below), and digits read as letters.
 LOOK_ALIKES = dict(zip("аеорсухіјѕһԁԛԝвкмнтЬαοενρτυχικɡıɑʟոսց", "aeopcyxijshdqwbkmhtbaoevptuxikgialnug", strict=True))
-DIGITS = dict(zip("0123456789", "oizeasbtbg", strict=True))
-SAMPLE, MAX_TERMS, SHORTEST, LONGEST = 16_000, 4000, 5, 9
+DIGITS = str.maketrans("0123456789", "oizeasbtbg")
+SAMPLE, MAX_TERMS, SHORTEST, LONGEST, LEAST_SEEN = 16_000, 4000, 5, 9, 3
 #: Zero-width characters, which may hide a word, are taken out.
 HIDDEN = "​‌‍⁠﻿­"
 
@@ -40,20 +43,30 @@ class _Fold(dict):
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        if 0xFF01 <= code <= 0xFF5E:
-            c = chr(code - 0xFEE0).lower()
-        out = "" if c in HIDDEN else LOOK_ALIKES.get(c) or DIGITS.get(c) or (c if c.isalpha() else " ")
-        self[code] = out
+        parts = [] if c in HIDDEN else [LOOK_ALIKES.get(x, x) for x in unicodedata.normalize("NFKD", c).lower() if not unicodedata.combining(x)]
+        out = self[code] = "".join(x if x.isalnum() else " " for x in parts)
         return out
 
 
 _FOLD = _Fold()
+#: Letters with one mark between every two of them.
+_SPELT = re.compile(r"(?<![^\W_])[^\W_](?:[.*·_~-][^\W_]){2,}(?![^\W_])")
+_MARKS = str.maketrans("", "", ".*·_~-")
+#: Single letters as words, four at least.
+_LETTERS = re.compile(r" (?:[^\W\d_] ){4,}")
+#: Words of letters and digits.
+_MIXED = re.compile(r"\b(?=[^\W\d_]*\d)(?=\d*[^\W\d_])\w+")
 
 
 def fold(text: str) -> str:
     """The folded words, each with one space before it, and a space at the end."""
-    words = text.lower().translate(_FOLD).split()
-    return " " + " ".join(words) + " " if words else " "
+    text = _SPELT.sub(lambda m: m.group().translate(_MARKS), text.lower())
+    words = text.translate(_FOLD).split()
+    if not words:
+        return " "
+    folded = " " + " ".join(words) + " "
+    folded = _MIXED.sub(lambda m: m.group().translate(DIGITS), folded)
+    return _LETTERS.sub(lambda m: " " + m.group().replace(" ", "") + " ", folded)
 
 
 def split_of(doc_id: str = "doc_id") -> Column:
@@ -74,7 +87,7 @@ class Lexicon:
         for term, weight in self.terms.items():
             found.add_word(term, (len(term), weight))
         for phrase in self.exceptions:
-            found.add_word(f" {phrase} ", (len(phrase) + 2, None))
+            found.add_word(fold(phrase), (len(fold(phrase)), None))
         found.make_automaton()
         return found
 
@@ -98,11 +111,13 @@ def measures(folded: str, automaton) -> tuple[float, float, float, float]:  # no
     return total, max(words.values()), total / n**0.5, sum(w >= 2 for w in words.values()) ** 0.5
 
 
-def _terms(folded: str) -> set[str]:
+def _terms(folded: str, longest: int = LONGEST) -> set[str]:
     out = set()
     for word in set(folded.split()):
+        if word.isdigit():
+            continue
         out.add(f" {word} ")
-        for n in range(SHORTEST, min(LONGEST, len(word)) + 1):
+        for n in range(SHORTEST, min(longest, len(word)) + 1):
             out.add(" " + word[:n])
     return out
 
@@ -113,10 +128,11 @@ def labelled(labels: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "label").limit(limit).dropDuplicates(["doc_id"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, most_terms: int = MAX_TERMS, longest: int = LONGEST, least_seen: int = LEAST_SEEN) -> Lexicon:
     """Entries and weights from parts 1 to 3, calibration from part 4 (so weights of chance finds don't count).
 
-    Without labels of both kinds the seeds stand alone, with equal weights.
+    limit: labelled rows, at most. What the lexicon may hold is bounded by parameters too: the ``most_terms`` best entries besides the
+    seeds, beginnings of words up to ``longest`` letters (whole words of any length), seen in ``least_seen`` toxic texts. Without labels of both kinds the seeds stand alone, with equal weights.
     """
     small_batches(docs.sparkSession)
     some = labelled(labels, limit)
@@ -126,20 +142,20 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Lexicon:
         seen = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[label == 1].update(_terms(fold(text)))
+                seen[label == 1].update(_terms(fold(text), longest))
         terms = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
     train = rows.where("part < 4")
     n = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
-    terms = {f" {x} ": 3.0 for x in SEEDS}
+    terms = {fold(x): 3.0 for x in SEEDS}
     if n1 and n0:
         odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
         counted = train.select("text", "label").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         # A standard error below the log odds, so that rare entries weigh little.
         error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-        best = counted.where(F.col("toxic") >= 3).select("term", (odds - error).alias("weight"), F.col("toxic")).where("weight > 1").orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term").limit(MAX_TERMS)
+        best = counted.where(F.col("toxic") >= least_seen).select("term", (odds - error).alias("weight"), F.col("toxic")).where("weight > 1").orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "term").limit(most_terms)
         terms |= {r.term: float(r.weight) for r in best.collect()}
     lexicon = Lexicon(terms, EXCEPTIONS, np.array([-3.0, 0.0, 1.2, 0.0, 0.0]))
     held = lexicon.__dict__.copy()
