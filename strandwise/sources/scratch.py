@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/strandwise/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/strandwise/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear() -> int:
+    """Delete the working tables that this driver has written so far, and say how many. Results that still read from them must have been
+    saved before; nothing else calls this, as only the caller knows when a lazy result is done with."""
+    n = 0
+    while _made:
+        files, path = fs.FileSystem.from_uri(_made.pop() if "://" in _made[-1] else f"file://{_made.pop()}")
+        if files.get_file_info(path).type != fs.FileType.NotFound:
+            files.delete_dir(path)
+            n += 1
+    return n
 
 
 def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:

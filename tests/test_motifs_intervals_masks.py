@@ -283,3 +283,17 @@ def test_counts_of_long_sequences_and_of_rounds(spark, monkeypatch):
             found = [s[i : i + 3] for i in range(len(s or "") - 2) if "N" not in s[i : i + 3]]
             expected.update((r, x) for x in (set(found) if unique else found))
         assert {(r.round, r.kmer): r.n for r in C.count_kmers(reads, 3, unique, "round").collect()} == expected
+
+
+def test_working_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from strandwise.sources import scratch
+
+    scratch.clear()
+    path = scratch.new_path(spark, "x")
+    scratch.stored(spark.range(3), "y")
+    spark.range(2).write.parquet(path)
+    assert Path(path.removeprefix("file:").lstrip("/").join(["/", ""])).exists()
+    assert scratch.clear() == 2 and scratch.clear() == 0
+    assert not Path("/" + path.removeprefix("file:").lstrip("/")).exists()
