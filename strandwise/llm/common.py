@@ -11,6 +11,8 @@ __all__ = ["documents", "small_batches", "stored", "table", "text_key", "text_or
 
 #: Rows in an Arrow batch sent to Python; texts average a few KB, so a batch stays at a few MB.
 ARROW_ROWS = 512
+#: Bytes in such a batch, but for a single longer text.
+ARROW_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +34,10 @@ def text_key() -> Column:
     return F.xxhash64(text_or_empty())
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the memory of Python workers: few rows in each Arrow batch, unless fewer are set already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
+    """Bound the memory of Python workers: few rows and bytes in each Arrow batch, unless fewer are set already. These are settings
+    of the session, and stay: a lazy result is worked out after this returns. They change no result."""
+    for key, most, usual in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows, 10000), ("spark.sql.execution.arrow.maxBytesPerBatch", size, -1)):
+        now = int(spark.conf.get(key, str(usual)))
+        if now > most or now <= 0:
+            spark.conf.set(key, str(most))

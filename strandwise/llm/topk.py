@@ -21,8 +21,9 @@ SAMPLE = 32
 
 
 def sign_code(vector: Column) -> Column:
-    """Bit i is set where the vector's entry i is above 0; entries past the 64th are folded in by exclusive or."""
-    bits = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (i % BITS).cast("int"))).otherwise(F.lit(0).cast("long")))
+    """Bit i is set where the vector's entry i is above 0; entries past the 64th are folded in by exclusive or. A short vector leaves
+    the other bits unset, an empty one gives 0, a null one null; a NaN counts as above 0, a null entry as not."""
+    bits = F.transform(vector, lambda x, i: F.when(F.coalesce(x > 0, F.lit(False)), F.call_function("shiftleft", F.lit(1).cast("long"), (i % BITS).cast("int"))).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
 
 
@@ -81,17 +82,18 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0).alias("distance")).limit(0)
     m = n_segments(n_codes, usual_distance(codes, pending, k))
     width = BITS // m
-    index = stored(codes.select("code", F.posexplode(segments(F.col("code"), m)).alias("segment", "value"), F.size("ids").alias("size")), "index")
+    index = stored(codes.select("code", F.posexplode(segments(F.col("code"), m)).alias("segment", "value"), F.size("ids").alias("size"), F.get("ids", F.lit(0)).alias("low")), "index")
     best, radius = None, 0
     while not pending.isEmpty():
         flips = F.lit(masks(width, radius)).cast("array<long>")
         probes = pending.select("query", F.posexplode(segments(F.col("query"), m)).alias("segment", "own")).select("query", "segment", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("value"))
         # A merge join: what the probes grow to can't be told from the queries' size, so neither side is broadcast.
-        met = probes.hint("merge").join(index, ["segment", "value"]).select("query", "code", "size").distinct()
+        met = probes.hint("merge").join(index, ["segment", "value"]).select("query", "code", "size", "low").distinct()
         met = met.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int"))
-        every = met if best is None else met.union(best.join(pending, "query", "left_semi").select("query", "code", "size", "distance")).distinct()
-        # All codes no further than the (k + 1)th hold the k nearest rows besides the query's own.
-        ranked = every.withColumn("turn", F.rank().over(Window.partitionBy("query").orderBy("distance"))).where(F.col("turn") <= k + 1).drop("turn")
+        every = met if best is None else met.union(best.join(pending, "query", "left_semi").select("query", "code", "size", "low", "distance")).distinct()
+        # The first k + 1 codes, by distance and smallest id, hold the k nearest rows besides the query's own: each code that comes before
+        # a row's code has a row that comes before it. So ties, however many, keep no more.
+        ranked = every.withColumn("turn", F.row_number().over(Window.partitionBy("query").orderBy("distance", "low"))).where(F.col("turn") <= k + 1).drop("turn")
         finished = None if best is None else best.join(pending, "query", "left_anti")
         best = stored(ranked if finished is None else ranked.unionByName(finished), "best")
         covered = m * (radius + 1) - 1

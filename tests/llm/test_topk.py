@@ -47,6 +47,21 @@ def test_nothing(spark):
     assert T.search(none, none).count() == 0 and T.search(some, none).count() == 0 and T.search(none, some).count() == 0
 
 
+def test_many_ties_at_the_last_place(spark):
+    """Hundreds of codes at the same distance: the smallest ids win, and no more than k + 1 codes are kept."""
+    rng = random.Random(12)
+    rows = {0: 0, 20: 5} | {1000 - i: signed(1 << rng.randrange(64) | 1 << (i % 64)) for i in range(300)}
+    base = spark.createDataFrame(list(rows.items()), SHAPE)
+    got = {(r.query_id, r["rank"]): (r.neighbour_id, r.distance) for r in T.search(base, base.where("id in (0, 20)"), 5).collect()}
+    assert got == brute(rows, {0: 0, 20: 5}, 5)
+
+
+def test_sign_code_of_odd_vectors(spark):
+    rows = spark.createDataFrame([(0, None), (1, []), (2, [1.0]), (3, [float("nan"), -1.0, None, 0.5])], "id long, v array<float>")
+    got = {r.id: r.code for r in rows.select("id", T.sign_code(F.col("v")).alias("code")).collect()}
+    assert got == {0: None, 1: 0, 2: 1, 3: 9}
+
+
 def test_sign_code(spark):
     row = spark.createDataFrame([([0.5, -1.0, 0.0] + [0.0] * 60 + [2.0],)], "v array<float>").select(T.sign_code(F.col("v"))).first()
     assert row[0] == signed(1 | 1 << 63)
