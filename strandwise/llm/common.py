@@ -35,9 +35,9 @@ def text_key() -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
-    """Bound the memory of Python workers: few rows and bytes in each Arrow batch, unless fewer are set already. These are settings
+    """Bound the memory of Python workers: few rows (unless fewer are set already) and bytes in each Arrow batch. These are settings
     of the session, and stay: a lazy result is worked out after this returns. They change no result."""
-    for key, most, usual in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows, 10000), ("spark.sql.execution.arrow.maxBytesPerBatch", size, -1)):
-        now = int(spark.conf.get(key, str(usual)))
-        if now > most or now <= 0:
-            spark.conf.set(key, str(most))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
