@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches, stored, text_key
-from .packing import TokenCounter, public_encoder
+from .packing import public_encoder
 from .text_kernel import buffers
 from .text_model import DIMS, SAMPLE, Sample, descend, labelled_sample, scores_of_present
 
@@ -102,11 +102,11 @@ def memberships(docs: DataFrame, model: Softmax, domains: list[str] = DOMAINS, m
     """doc_id, h (key of the text), tokens, and p_<domain> for each domain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(make_encoder())
+        encode = make_encoder()
         for batch in batches:
             raw, off = buffers(batch.column(1))
             p = model.posteriors(scores_of_present(raw, off, model.weights))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counter.count(raw, off)), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(p.shape[1]))], ["doc_id", "h", "tokens", *(f"p_{d}" for d in domains)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(encode(x.as_py())) for x in batch.column(1)], pa.int64()), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(p.shape[1]))], ["doc_id", "h", "tokens", *(f"p_{d}" for d in domains)])
 
     small_batches(docs.sparkSession)
     return documents(docs, text_key().alias("h")).mapInArrow(run, "doc_id long, h long, tokens long, " + ", ".join(f"p_{d} double" for d in domains))

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -23,7 +22,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, small_batches, stored
-from .text_kernel import BYTE_CODE, prefix_hash, span_hash, word_spans
 
 WINDOW = 2048
 END_ID = 1
@@ -63,48 +61,6 @@ def public_encoder() -> Callable[[str], np.ndarray]:
     return encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-#: Bytes of white space beyond ASCII: a text that holds any is not cut into units.
-WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Units whose counts a worker remembers.
-KNOWN = 1_000_000
-
-
-class TokenCounter:
-    """How many ids a text has, without making them: it is cut into units, a word with the white space before it. No token reaches
-    over the end of a word, so the units' counts add up; each distinct unit is encoded once and remembered."""
-
-    def __init__(self, encode: Callable[[str], np.ndarray]):
-        self.encode, self.known = encode, {}
-
-    def count(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """For each text of a batch (bytes and offsets)."""
-        out = np.zeros(len(off) - 1, np.int64)
-        whole = raw.tobytes()
-        wide = np.unique(np.searchsorted(off, [m.start() for m in WIDE_SPACE.finditer(whole)], side="right") - 1) if WIDE_SPACE.search(whole) else np.zeros(0, np.int64)
-        _, end, first = word_spans(raw, off)
-        ends = np.unique(np.concatenate([end, off[1:]]))  # what follows the last word is a unit of its own
-        ends = ends[ends > 0]
-        begins = np.concatenate([[0], ends[:-1]])
-        doc = np.searchsorted(off, ends, side="left") - 1
-        keep = ~np.isin(doc, wide)
-        begins, ends, doc = begins[keep], ends[keep], doc[keep]
-        if len(ends):
-            hashes = span_hash(prefix_hash(BYTE_CODE[raw]), begins, ends)
-            kinds, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            sizes = np.empty(len(kinds), np.int64)
-            for i, (kind, j) in enumerate(zip(kinds.tolist(), at.tolist(), strict=True)):
-                size = self.known.get(kind)
-                if size is None:
-                    size = self.known[kind] = len(self.encode(whole[begins[j] : ends[j]].decode()))
-                sizes[i] = size
-            out += np.bincount(doc, weights=sizes[inverse], minlength=len(out)).astype(np.int64)
-        for i in wide.tolist():
-            out[i] = len(self.encode(whole[off[i] : off[i + 1]].decode()))
-        return out
-
-
 def tokens(docs: DataFrame, make_encoder: Callable[[], Callable[[str], np.ndarray]] = public_encoder, end_id: int = END_ID) -> DataFrame:
     """First pass: (part, before, doc_id, doc_tokens, ids). ids: little-endian 16-bit numbers, or 32-bit where
     a larger id occurs in the document (then ``wide``). A null text counts as empty: it has the end id alone."""
