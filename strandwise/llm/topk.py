@@ -3,11 +3,13 @@
 A code is cut into segments, and an inverted index holds every distinct code under each of its segments. A query
 probes all segment values within a radius that grows by one in each round. After radius r all codes at a distance of
 less than segments * (r + 1) have been met, so a query is done when its kth verified neighbour is no further
-than that. Queries and rows with equal codes are searched once; a code keeps its k smallest ids, as no answer can hold more.
+than that. A pair that is met in several segments is told from its bits, and a pair further apart than the k codes that its query
+already has is left out at once, so neither is shuffled. Queries and rows with equal codes are searched once; a code keeps its k smallest ids, as no answer can hold more.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +67,14 @@ def segments(code: Column, m: int) -> Column:
     return F.array(*(F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1)) for s in range(m)))
 
 
+def met_first(x: Column, segment: Column, m: int, radius: int) -> Column:
+    """Whether a round meets a pair, whose codes differ by the bits of x, in this segment for the first time: rounds before have met
+    the pairs of which any segment differs by fewer bits, and of the segments that differ by ``radius`` bits the first one counts."""
+    width = BITS // m
+    apart = [F.bit_count(F.shiftrightunsigned(x, s * width).bitwiseAND(F.lit((1 << width) - 1))) for s in range(m)]
+    return reduce(lambda a, b: a & b, [n >= F.lit(radius) + (F.lit(s) < segment).cast("int") for s, n in enumerate(apart)])
+
+
 def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """base and queries: (id long, code long). -> (query_id, rank, neighbour_id, distance), rank from 1, for each
     query id the k nearest base rows other than its own id; ties go to the smaller id. Fewer than k rows only
@@ -77,7 +87,8 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     lists = rows.withColumn("turn", F.row_number().over(by_code)).where(F.col("turn") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     codes = stored(lists, "lists")
     n_codes = codes.count()
-    pending = stored(asked.select(F.col("code").alias("query")).distinct(), "pending")
+    # bound: no code further away is among the k + 1 nearest.
+    pending = stored(asked.select(F.col("code").alias("query"), F.lit(BITS).alias("bound")).distinct(), "pending")
     if pending.isEmpty():
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0).alias("distance")).limit(0)
     m = n_segments(n_codes, usual_distance(codes, pending, k))
@@ -86,20 +97,24 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     best, radius = None, 0
     while not pending.isEmpty():
         flips = F.lit(masks(width, radius)).cast("array<long>")
-        probes = pending.select("query", F.posexplode(segments(F.col("query"), m)).alias("segment", "own")).select("query", "segment", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("value"))
+        probes = pending.select("query", "bound", F.posexplode(segments(F.col("query"), m)).alias("segment", "own")).select("query", "bound", "segment", F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("value"))
         # A merge join: what the probes grow to can't be told from the queries' size, so neither side is broadcast.
-        met = probes.hint("merge").join(index, ["segment", "value"]).select("query", "code", "size", "low").distinct()
-        met = met.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int"))
-        every = met if best is None else met.union(best.join(pending, "query", "left_semi").select("query", "code", "size", "low", "distance")).distinct()
+        x = F.col("query").bitwiseXOR(F.col("code"))
+        near = (F.bit_count(x) <= F.col("bound")) & met_first(x, F.col("segment"), m, radius)
+        met = probes.hint("merge").join(index, ["segment", "value"]).where(near).select("query", "code", "size", "low", F.bit_count(x).cast("int").alias("distance"))
+        every = met if best is None else met.union(best.join(pending, "query", "left_semi").select("query", "code", "size", "low", "distance"))
         # The first k + 1 codes, by distance and smallest id, hold the k nearest rows besides the query's own: each code that comes before
         # a row's code has a row that comes before it. So ties, however many, keep no more.
         ranked = every.withColumn("turn", F.row_number().over(Window.partitionBy("query").orderBy("distance", "low"))).where(F.col("turn") <= k + 1).drop("turn")
         finished = None if best is None else best.join(pending, "query", "left_anti")
         best = stored(ranked if finished is None else ranked.unionByName(finished), "best")
         covered = m * (radius + 1) - 1
-        sure = best.where(F.col("distance") <= covered).groupBy("query").agg(F.sum("size").alias("rows"), F.count("*").alias("n")).where((F.col("rows") >= k + 1) | (F.col("n") >= n_codes))
+        inside = F.col("distance") <= covered
+        reached = best.groupBy("query").agg(F.sum(F.when(inside, F.col("size"))).alias("rows"), F.count(F.when(inside, 1)).alias("n"), F.when(F.count("*") > k, F.max("distance")).otherwise(BITS).alias("bound"))
+        sure = F.coalesce((F.col("rows") >= k + 1) | (F.col("n") >= n_codes), F.lit(False))
         radius += 1
-        pending = stored(pending.join(sure.select("query"), "query", "left_anti"), "pending") if radius <= width else pending.limit(0)
+        left = pending.select("query").join(reached, "query", "left").where(~sure).select("query", F.coalesce("bound", F.lit(BITS)).alias("bound"))
+        pending = stored(left if radius <= width else left.limit(0), "pending")
     answers = best.join(codes, "code").select("query", "distance", F.explode("ids").alias("neighbour_id"))
     short = answers.withColumn("turn", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour_id"))).where(F.col("turn") <= k + 1)
     full = asked.join(short, asked["code"] == short["query"]).where("id <> neighbour_id")
