@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.codec import canonical, check_k, code_of, decode, encode, encode_clean, hamming, revcom_code, revcom_of
-from .kmers import batch_counts, is_motif, kmer_array, kmers, sub_kmers
+from ..functions.codec import canonical, check_k, code_of, decode, encode, hamming, revcom_code, revcom_of
+from .kmers import batch_counts, is_motif, kmer_codes, sequence_counts, sequence_sizes, sub_kmers
 
 
 def counts_per_sequence(reads: DataFrame, k: int) -> DataFrame:
-    """seq_no, kmer, n."""
-    return kmers(reads, k).groupBy("seq_no", "kmer").agg(F.count("*").alias("n"))
+    """seq_no, kmer, n. Counted in the sequence's batch: no shuffle."""
+    return sequence_counts(reads, k).select("seq_no", decode(F.col("code"), k).alias("kmer"), "n")
 
 
 def count_kmers(reads: DataFrame, k: int, unique: bool = True, *by: str) -> DataFrame:
@@ -27,10 +27,9 @@ def count_kmers(reads: DataFrame, k: int, unique: bool = True, *by: str) -> Data
 
 
 def totals(reads: DataFrame, k: int, *by: str) -> DataFrame:
-    """n_seq and n_total_kmer (occurrences)."""
-    check_k(k)
-    rows = reads.select(*by, F.size(kmer_array(F.col("seq"), k)).cast("long").alias("n"))
-    return (rows.groupBy(*by) if by else rows).agg(F.count("*").alias("n_seq"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_total_kmer"))
+    """n_seq and n_total_kmer (occurrences). Windows are counted where the codes are rolled; no k-mer leaves the worker."""
+    rows = sequence_sizes(reads, k, *by)
+    return (rows.groupBy(*by) if by else rows).agg(F.coalesce(F.sum("n_seq"), F.lit(0)).alias("n_seq"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_total_kmer"))
 
 
 def collection_summary(reads: DataFrame, k: int) -> DataFrame:
@@ -150,7 +149,7 @@ def top_kmers(counts: DataFrame, k: int, m: int = 6, revcom: bool = True, strict
 
 def first_seen(reads: DataFrame, k: int) -> DataFrame:
     """code, seq_no, pos of the first occurrence of each k-mer, for ties by order of appearance."""
-    rows = kmers(reads, k).select(encode_clean(F.col("kmer")).alias("code"), F.struct("seq_no", "pos").alias("at"))
+    rows = kmer_codes(reads, k).select("code", F.struct("seq_no", "pos").alias("at"))
     return rows.groupBy("code").agg(F.min("at").alias("at")).select("code", "at.seq_no", "at.pos")
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import checked
-from .kmers import CHUNK, window_codes
 from .motifs import Motif
+from .rolling import TILE, bound_batches, layout, near, window_codes
 
 
 def _revcom(text: str) -> str:
@@ -35,40 +37,6 @@ def mask_repeats(seq: Column, unit: str, n_min: int, revcom: bool = True, n_max:
     return mask_runs(out, _revcom(checked(unit, "unit")), n_min, n_max) if revcom else out
 
 
-def near(code: np.ndarray, to: int, d: int) -> np.ndarray:
-    x = code ^ to
-    return np.bitwise_count((x | (x >> 1)) & 0x5555555555555555) <= d
-
-
-def mask_motif(seq: Column, motif: Motif) -> Column:
-    """Every base that a hit covers becomes N; hits are sought in the text before any is masked. The work is done by a vectorised
-    helper, as sequences may be as long as chromosomes."""
-    k, d, targets = motif.k, motif.d, [motif.code, motif.rc_code] if motif.revcom else [motif.code]
-    if d >= k:
-        raise ValueError("the number of substitutions must be less than the motif's length")
-
-    def cover(raw: np.ndarray) -> np.ndarray:
-        """The bytes, with N where a hit lies. Hits are sought in parts that overlap by a window."""
-        out = raw.copy()
-        for a in range(0, len(raw), CHUNK):
-            code, good = window_codes(raw[a : a + CHUNK + k - 1], k)
-            hit = a + np.flatnonzero(good & np.logical_or.reduce([near(code, t, d) for t in targets]))
-            for i in range(k):
-                out[hit + i] = ord("N")
-        return out
-
-    @F.pandas_udf("string")
-    def masked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            # All sequences of a batch at once, joined by a line break, which no k-mer spans.
-            texts = [("" if x is None else x).encode() for x in part]
-            whole = cover(np.frombuffer(b"\n".join(texts), np.uint8)).tobytes()
-            ends = np.cumsum([len(x) + 1 for x in texts]) - 1
-            yield pd.Series([None if x is None else whole[e - len(t) : e].decode() for x, t, e in zip(part, texts, ends.tolist(), strict=True)], index=part.index, dtype=object)
-
-    return masked(seq)
-
-
 @dataclass(frozen=True)
 class RepeatMask:
     unit: str
@@ -79,6 +47,19 @@ class RepeatMask:
     def apply(self, seq: Column) -> Column:
         return mask_repeats(seq, self.unit, self.n_min, self.revcom, self.n_max)
 
+    def on_bytes(self) -> Callable[[np.ndarray], np.ndarray]:
+        """The same on bytes; a line break ends a run."""
+        unit = checked(self.unit, "unit")
+        runs = [re.compile(b"(?:%b){%d,%b}" % (x.encode(), self.n_min, b"" if self.n_max is None else b"%d" % self.n_max)) for x in ([unit, _revcom(unit)] if self.revcom else [unit])]
+
+        def masked(raw: np.ndarray) -> np.ndarray:
+            data = raw.tobytes()
+            for run in runs:
+                data = run.sub(lambda m: b"N" * len(m[0]), data)
+            return np.frombuffer(data, np.uint8)
+
+        return masked
+
 
 @dataclass(frozen=True)
 class MotifMask:
@@ -89,13 +70,70 @@ class MotifMask:
     def apply(self, seq: Column) -> Column:
         return mask_motif(seq, Motif(self.seq, self.d, self.revcom))
 
+    def on_bytes(self) -> Callable[[np.ndarray], np.ndarray]:
+        motif = Motif(self.seq, self.d, self.revcom)
+        k, targets = motif.k, [motif.code, motif.rc_code] if motif.revcom else [motif.code]
+        if motif.d >= k:
+            raise ValueError("the number of substitutions must be less than the motif's length")
+
+        def masked(raw: np.ndarray) -> np.ndarray:
+            """With N where a hit lies; hits are sought in the bytes as they were, tile by tile."""
+            out = raw.copy()
+            for a in range(0, len(raw), TILE):
+                code, good = window_codes(raw[a : a + TILE + k - 1], k)
+                hit = a + np.flatnonzero(good & np.logical_or.reduce([near(code, t, motif.d) for t in targets]))
+                for i in range(k):
+                    out[hit + i] = ord("N")
+            return out
+
+        return masked
+
+
+#: Bytes of short sequences that are masked together.
+TOGETHER = 4 << 20
+
+
+def masked(seq: Column, patterns: list[RepeatMask | MotifMask]) -> Column:
+    """The patterns in turn, each on what the one before has left, as one function over Arrow arrays. Masking changes no length, so the
+    result takes the places of the bytes it is made from. Short sequences are worked on TOGETHER, a line break between them; a
+    longer one by itself."""
+    steps = [p.on_bytes() for p in patterns]
+
+    def through(raw: np.ndarray) -> np.ndarray:
+        for step in steps:
+            raw = step(raw)
+        return raw
+
+    @F.arrow_udf("string")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            starts, data = layout(part.fill_null(""))
+            out, i = np.empty(starts[-1] - starts[0], np.uint8), 0
+            while i < len(part):
+                j = max(int(np.searchsorted(starts, starts[i] + TOGETHER, "right")) - 1, i + 1)
+                whole = through(np.frombuffer(b"\n".join(data[a:b].tobytes() for a, b in zip(starts[i:j].tolist(), starts[i + 1 : j + 1].tolist(), strict=True)), np.uint8))
+                inside = np.ones(len(whole), bool)
+                inside[starts[i + 1 : j] - starts[i] + np.arange(j - i - 1)] = False
+                out[starts[i] - starts[0] : starts[j] - starts[0]] = whole[inside]
+                i = j
+            places = (starts - starts[0]).astype(np.int32)
+            yield pc.if_else(part.is_valid(), pa.StringArray.from_buffers(len(part), pa.py_buffer(places), pa.py_buffer(out)), None)
+
+    return run(seq)
+
+
+def mask_motif(seq: Column, motif: Motif) -> Column:
+    """Every base that a hit covers becomes N; hits are sought in the text before any is masked."""
+    return masked(seq, [MotifMask(motif.consensus, motif.d, motif.revcom)])
+
 
 def mask_chain(reads: DataFrame, patterns: list[RepeatMask | MotifMask], column: str = "seq") -> DataFrame:
-    """The sequences in upper case, masked by each pattern in turn."""
-    out = reads.withColumn(column, F.upper(column))
-    for pattern in patterns:
-        out = out.withColumn(column, pattern.apply(F.col(column)))
-    return out
+    """The sequences in upper case, masked by each pattern in turn. Repeats of one unit are built-in functions; with a motif or several patterns the
+    whole chain is one function, so sequences go to Python and back once, however many patterns there are."""
+    bound_batches(reads.sparkSession)
+    if len(patterns) == 1 and isinstance(patterns[0], RepeatMask):
+        return reads.withColumn(column, F.upper(column)).withColumn(column, patterns[0].apply(F.col(column)))
+    return reads.withColumn(column, masked(F.upper(column), patterns) if patterns else F.upper(column))
 
 
 def mark_up(reads: DataFrame, segments: DataFrame, tags: dict[int, str] | None = None) -> DataFrame:

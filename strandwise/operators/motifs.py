@@ -6,13 +6,19 @@ complement, has forward hits only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.codec import checked, code_of, encode_clean, hamming, kmer_of, mutation_limit, relative_position, revcom_code, revcom_of
-from .kmers import kmers
+from ..functions.codec import LOW_BITS, checked, code_of, hamming, kmer_of, mask_of, mutation_limit, relative_position, revcom_code, revcom_of
+from .kmers import kmer_codes
+from .rolling import Windows, bound_batches, near, per_tile, rolled
 
 BINS, SIGMA, POINTS = 100, 5.0, 1000
 PSEUDO = 1e-6
@@ -52,45 +58,93 @@ class Motif:
     def two_strands(self) -> bool:
         return self.revcom and not self.is_palindrome
 
-    def strands(self, code: Column) -> Column:
-        """The strands on which a code is a hit, as an array."""
-        fwd = F.when(hamming(code, F.lit(self.code)) <= self.d, F.lit("+"))
-        rev = F.when(hamming(code, F.lit(self.rc_code)) <= self.d, F.lit("-")) if self.two_strands else F.lit(None).cast("string")
-        return F.array_compact(F.array(fwd, rev))
+
+def _hits(reads: DataFrame, k: int, targets: list[tuple[str | None, int]], d: int, keep: tuple[str, ...], own: str | None = None, place: str = "int") -> DataFrame:
+    """A row for each window within d substitutions of a target, looked for where the codes are rolled: only hits leave the worker.
+    Targets are (strand, code); without strands a window that is near to several targets is one hit."""
+    stranded = targets[0][0] is not None
+
+    def pick(_seqs: pa.Array, windows: Windows, _: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list]]:
+        pos = windows.pos.astype(np.int32 if place == "int" else np.int64)
+        if stranded:
+            for strand, code in targets:
+                chosen = np.flatnonzero(near(windows.code, code, d))
+                yield chosen, [pa.array([strand] * len(chosen), pa.string()), pos[chosen]]
+        else:
+            chosen = np.flatnonzero(np.logical_or.reduce([near(windows.code, code, d) for _, code in targets]))
+            yield chosen, [pos[chosen]]
+
+    return per_tile(reads, k, keep, f"strand string, pos {place}" if stranded else f"pos {place}", pick, own)
 
 
 def motif_match(reads: DataFrame, motif: Motif, *keep: str) -> DataFrame:
     """seq_no, strand, pos."""
-    rows = kmers(reads, motif.k, *keep).select("seq_no", *keep, "pos", motif.strands(encode_clean(F.col("kmer"))).alias("strands"))
-    return rows.where(F.size("strands") > 0).select("seq_no", *keep, F.explode("strands").alias("strand"), "pos")
+    return _hits(reads, motif.k, [("+", motif.code), *([("-", motif.rc_code)] if motif.two_strands else [])], motif.d, ("seq_no", *keep))
+
+
+def match_tiles(tiles: DataFrame, motif: Motif) -> DataFrame:
+    """chrom, strand, pos (in the chromosome) from tiles cut with a halo of k - 1 bases at least."""
+    rows = _hits(tiles, motif.k, [("+", motif.code), *([("-", motif.rc_code)] if motif.two_strands else [])], motif.d, ("chrom", "tile_start"), "own", "long")
+    return rows.select("chrom", "strand", (F.col("tile_start") + F.col("pos")).alias("pos"))
 
 
 def scan(reads: DataFrame, motif: Motif) -> DataFrame:
     """seq_no, pos; a place where both strands match appears once."""
-    code = encode_clean(F.col("kmer"))
-    near = hamming(code, F.lit(motif.code)) <= motif.d
-    if motif.revcom:
-        near = near | (hamming(code, F.lit(motif.rc_code)) <= motif.d)
-    return kmers(reads, motif.k).where(near).select("seq_no", "pos")
+    return _hits(reads, motif.k, [(None, motif.code), *([(None, motif.rc_code)] if motif.revcom else [])], motif.d, ("seq_no",))
+
+
+def segments_of(k: int, n: int) -> list[tuple[int, int]]:
+    """k bases in n segments as equal as can be: (bases behind the segment, bases in it)."""
+    cuts = [k * i // n for i in range(n + 1)]
+    return [(k - b, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def motif_table(spark: SparkSession, motifs: list[Motif]) -> DataFrame:
-    """motif_id (from 1), k, code, rc_code, d, revcom."""
-    rows = [(i, m.k, m.code, m.rc_code, m.d, m.revcom) for i, m in enumerate(motifs, 1)]
-    return spark.createDataFrame(rows, "motif_id int, k int, code long, rc_code long, d int, revcom boolean")
+def segment(code: Column, behind: int, size: int) -> Column:
+    return F.shiftrightunsigned(code, 2 * behind).bitwiseAND(F.lit(mask_of(size)))
+
+
+def motif_seeds(spark: SparkSession, motifs: list[Motif]) -> DataFrame:
+    """A row for each segment of each motif's codes: motif_id, k, d, part, seed, target. Of a window within d substitutions of the
+    target, one of d + 1 segments is that of the target."""
+    rows = []
+    for i, m in enumerate(motifs, 1):
+        for target in {m.code, m.rc_code} if m.revcom else {m.code}:
+            for part, (behind, size) in enumerate(segments_of(m.k, m.d + 1)):
+                rows.append((i, m.k, m.d, part, (target >> (2 * behind)) & ((1 << (2 * size)) - 1), target))
+    return spark.createDataFrame(rows, "motif_id int, k int, d int, part int, seed long, target long")
 
 
 def scan_motifs(reads: DataFrame, motifs: list[Motif]) -> DataFrame:
-    """seq_no, motif_id, pos for any number of motifs. Sequences are cut once for each length; the motifs, a user's short
-    list, are joined on it with a distance condition."""
+    """seq_no, motif_id, pos for any number of motifs, by an index of seeds: windows and motifs meet where they have a segment in common
+    (an equi-join with the user's list, d + 1 rows for each motif and strand), and only those that meet are compared. A pair that meets
+    in several segments counts in the first one. Motifs that are as short as their substitutions allow meet everywhere, as they must."""
+    if not motifs:
+        raise ValueError("no motifs")
     spark = reads.sparkSession
     parts = None
-    for k in sorted({m.k for m in motifs}):
-        rows = kmers(reads, k).select("seq_no", F.lit(k).alias("k"), "pos", encode_clean(F.col("kmer")).alias("own"))
+    for k, d in sorted({(m.k, m.d) for m in motifs}):
+        if d >= k:
+            raise ValueError("the number of substitutions must be less than the motif's length")
+        seeds = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), segment(F.col("code"), *x).alias("seed")) for i, x in enumerate(segments_of(k, d + 1)))))
+        rows = kmer_codes(reads, k).select("seq_no", "pos", "code", seeds.alias("s"))
+        wanted = F.broadcast(motif_seeds(spark, motifs).where((F.col("k") == k) & (F.col("d") == d)))  # the user's list of motifs
+        met = rows.select("seq_no", "pos", "code", "s.part", "s.seed").join(wanted, ["part", "seed"]).where(hamming(F.col("code"), F.col("target")) <= d)
+        x = F.col("code").bitwiseXOR(F.col("target"))
+        earlier = F.lit(False)
+        for i, (behind, size) in enumerate(segments_of(k, d + 1)[:-1]):
+            earlier = earlier | ((F.col("part") > i) & (segment(x, behind, size) == 0))
+        rows = met.where(~earlier).select("seq_no", "motif_id", "pos", "target", "code")
         parts = rows if parts is None else parts.unionByName(rows)
-    wanted = F.broadcast(motif_table(spark, motifs))  # the caller's list of motifs
-    met = parts.join(wanted, "k").where((hamming(F.col("own"), F.col("code")) <= F.col("d")) | (F.col("revcom") & (hamming(F.col("own"), F.col("rc_code")) <= F.col("d"))))
-    return met.select("seq_no", "motif_id", "pos")
+    # A window near to both strands of a motif is one hit: the one that belongs to the lower target of those it is near to.
+    both = [(i, m.code, m.rc_code, m.d) for i, m in enumerate(motifs, 1) if m.revcom and m.code != m.rc_code and bin(_differing(m.code ^ m.rc_code)).count("1") <= 2 * m.d]
+    if both:
+        again = F.broadcast(spark.createDataFrame([(i, max(a, b), min(a, b), d) for i, a, b, d in both], "motif_id int, target long, lower long, d int"))
+        parts = parts.join(again, ["motif_id", "target"], "left").where(F.col("lower").isNull() | (hamming(F.col("code"), F.col("lower")) > F.col("d")))
+    return parts.select("seq_no", "motif_id", "pos")
+
+
+def _differing(x: int) -> int:
+    return (x | (x >> 1)) & LOW_BITS
 
 
 def scan_lists(hits: DataFrame) -> DataFrame:
@@ -150,20 +204,64 @@ def bin_of(x: Column) -> Column:
     return F.least(i, F.lit(BINS - 1)).cast("int")
 
 
-def position_histogram(reads: DataFrame, hits: DataFrame, k: int) -> DataFrame:
-    """strand, bin, n."""
-    placed = hits.join(reads.select("seq_no", F.length("seq").alias("length")), "seq_no")
-    return placed.groupBy("strand", bin_of(relative_position(F.col("pos"), F.col("length"), k)).alias("bin")).agg(F.count("*").alias("n"))
-
-
-def site_counts(reads: DataFrame, motif: Motif, *keep: str) -> DataFrame:
-    """seq_no, n_fwd, n_rev for every sequence. Counted inside the row: no join, no shuffle."""
-    from .kmers import kmer_array
-
-    codes = F.transform(kmer_array(F.col("seq"), motif.k), lambda x: encode_clean(x))
-    near = lambda code: F.size(F.filter("_codes", lambda x: hamming(x, F.lit(code)) <= motif.d)).cast("int")
-    rows = reads.select("seq_no", *keep, codes.alias("_codes"))
-    return rows.select("seq_no", *keep, near(motif.code).alias("n_fwd"), (near(motif.rc_code) if motif.two_strands else F.lit(0)).alias("n_rev"))
+def placed_hits(reads: DataFrame, motif: Motif, *keep: str) -> DataFrame:
+    """The rows of ``motif_match`` with the length of the sequence."""
+    return motif_match(reads.withColumn("length", F.length("seq")), motif, "length", *keep)
+
+
+def position_histogram(placed: DataFrame, k: int, *by: str) -> DataFrame:
+    """strand, bin, n of hits with the length of their sequence."""
+    return placed.groupBy(*by, "strand", bin_of(relative_position(F.col("pos"), F.col("length"), k)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def located(reads: DataFrame, motifs: Motif | dict, by: str | None = None) -> DataFrame:
+    """seq_no (and ``by``), length, fwd, rev: for every sequence the places of its hits on each strand, from one pass; what is worked out from
+    sites can be taken from this table, so that sequences are scanned once. With ``by`` each of its values has a motif of its own; sequences
+    with another value have no hits."""
+    first = [reads.schema["seq_no"], *([reads.schema[by]] if by else [])]
+    places = T.ArrayType(T.IntegerType())
+    shape = T.StructType([*first, T.StructField("length", T.IntegerType()), T.StructField("fwd", places), T.StructField("rev", places)])
+    every = motifs if by else {None: motifs}
+    bound_batches(reads.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = batch.column(len(first))
+            value = np.array(batch.column(1).to_pylist(), object) if by else np.full(batch.num_rows, None, object)
+            found: list[list[np.ndarray]] = [[], []]
+            for k in {m.k for m in every.values()}:
+                for windows in rolled(seqs, k):
+                    for own, motif in every.items():
+                        if motif.k == k:
+                            mine = value[windows.row] == own if by else np.ones(len(windows.row), bool)
+                            for strand, code in enumerate([motif.code, *([motif.rc_code] if motif.two_strands else [])]):
+                                hit = mine & near(windows.code, code, motif.d)
+                                found[strand].append(np.stack([windows.row[hit], windows.pos[hit]]))
+            lists = []
+            for parts in found:
+                row, pos = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+                order = np.argsort(row, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+                lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pos[order].astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(first))), pc.fill_null(pc.binary_length(seqs), 0).cast(pa.int32()), *lists], shape.names)
+
+    return reads.select(*(x.name for x in first), "seq").mapInArrow(run, shape)
+
+
+def sites_of(where: DataFrame, *by: str) -> DataFrame:
+    """seq_no, n_fwd, n_rev from ``located``."""
+    return where.select("seq_no", *by, F.size("fwd").alias("n_fwd"), F.size("rev").alias("n_rev"))
+
+
+def placed_of(where: DataFrame, *by: str) -> DataFrame:
+    """seq_no, length, strand, pos from ``located``."""
+    strands = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("fwd").alias("pos")), F.struct(F.lit("-").alias("strand"), F.col("rev").alias("pos"))))
+    return where.select("seq_no", *by, "length", strands.alias("x")).select("seq_no", *by, "length", "x.strand", F.explode("x.pos").alias("pos"))
+
+
+def site_counts(reads: DataFrame, motif: Motif) -> DataFrame:
+    """seq_no, n_fwd, n_rev for every sequence, counted in its batch: no join, no shuffle."""
+    return sites_of(located(reads, motif))
 
 
 def motif_stats(sites: DataFrame, *by: str) -> DataFrame:

@@ -5,31 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codec import encode_clean, hamming, mutation_limit, revcom_code
 from ..operators import counts as C
 from ..operators import motifs as M
-from ..operators.kmers import kmer_array
 from ..sources.scratch import stored
 
 
 def analyse(reads: DataFrame, k: int, m: int = 6, n_max_mutation: int = 2, revcom: bool = True, unique: bool = True) -> dict[str, DataFrame]:
     """Everything about one k: counts, totals, top, and, around the most frequent k-mer, profile, matrix, weights, histogram,
-    density, sites, cooccurrence, stats. Reads are counted in one pass, and the counts are written once to the shared folder, from where all
-    tables take them; reads are scanned in a second pass."""
+    density, sites, cooccurrence, stats. Reads are passed over twice, to count and to find the sites of the motif; counts and sites are written to
+    the shared folder, from where all tables take them."""
     counts = stored(C.count_kmers(reads, k, unique), "counts")
     out = {"counts": counts, "totals": C.totals(reads, k), "top": C.top_kmers(counts, k, m, revcom)}
     best = C.consensus(counts, k, revcom)
     if best is None:
         return out
-    return out | around(reads, counts, k, best, n_max_mutation, revcom)
+    motif = M.Motif.of(best, n_max_mutation, revcom)
+    return out | around(stored(M.located(reads, motif), "sites"), counts, motif)
 
 
-def around(reads: DataFrame, counts: DataFrame, k: int, best: str, n_max_mutation: int = 2, revcom: bool = True) -> dict[str, DataFrame]:
-    """The tables about the motif around a consensus."""
-    motif = M.Motif.of(best, n_max_mutation, revcom)
-    hits, sites, matrix = M.motif_match(reads, motif), M.site_counts(reads, motif), M.motif_matrix(counts, motif)
-    histogram = M.position_histogram(reads, hits, k)
-    return {"profile": C.hamming_profile(counts, best, revcom), "matrix": matrix, "weights": M.weights(matrix), "histogram": histogram, "density": M.position_density(histogram), "sites": sites, "cooccurrence": M.cooccurrence(sites), "stats": M.motif_stats(sites)}
+def around(where: DataFrame, counts: DataFrame, motif: M.Motif) -> dict[str, DataFrame]:
+    """The tables about a motif from its sites (``operators.motifs.located``) and the counts."""
+    sites, matrix = M.sites_of(where), M.motif_matrix(counts, motif)
+    histogram = M.position_histogram(M.placed_of(where), motif.k)
+    return {"profile": C.hamming_profile(counts, motif.consensus, motif.revcom), "matrix": matrix, "weights": M.weights(matrix), "histogram": histogram, "density": M.position_density(histogram), "sites": sites, "cooccurrence": M.cooccurrence(sites), "stats": M.motif_stats(sites)}
 
 
 def chipseq(reads: DataFrame, kmin: int, kmax: int, m: int = 6, n_max_mutation: int = 2, revcom: bool = True, unique: bool = True) -> DataFrame:
@@ -49,34 +47,52 @@ def chipseq(reads: DataFrame, kmin: int, kmax: int, m: int = 6, n_max_mutation:
     return out
 
 
+def _rounds(reads: DataFrame, k: int, n_max_mutation: int, revcom: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, M.Motif]]:
+    """Counts by round, the best k-mer of each round, the sites of its motif in the round's reads, and the motifs. Two passes over the reads, whatever the
+    number of rounds; the driver sees a row for each round."""
+    counts = stored(C.count_kmers(reads, k, True, "round"), "counts")
+    if revcom:
+        ranked = C.strand_pairs(counts, k, "round").withColumn("turn", F.row_number().over(Window.partitionBy("round").orderBy(F.desc("pair_n"), "canon")))
+    else:
+        ranked = counts.select("*", F.lit(0).cast("long").alias("rc_n"), F.col("n").alias("pair_n")).withColumn("turn", F.row_number().over(Window.partitionBy("round").orderBy(F.desc("n"), "code")))
+    best = stored(ranked.where("turn = 1").select("round", F.col("kmer").alias("consensus"), "n", "rc_n", "pair_n"), "best")
+    motifs = {r["round"]: M.Motif.of(r.consensus, n_max_mutation, revcom) for r in best.collect()}
+    return counts, best, stored(M.located(reads, motifs, "round"), "sites"), motifs
+
+
 def selex(reads: DataFrame, k: int, n_max_mutation: int = 2) -> DataFrame:
     """reads with a column round -> a row for each round: consensus and motif statistics. All rounds are counted by one shuffle on
-    (round, code); the consensus table, a row for each round, goes back to the reads for the second pass."""
-    counts = stored(C.count_kmers(reads, k, True, "round"), "counts")
-    pairs = C.strand_pairs(counts, k, "round")
-    best = pairs.withColumn("turn", F.row_number().over(Window.partitionBy("round").orderBy(F.desc("pair_n"), "canon"))).where("turn = 1")
-    d = mutation_limit(k, n_max_mutation)
-    own = best.select("round", F.col("kmer").alias("consensus"), "n", "rc_n", "pair_n", F.col("code").alias("own"), revcom_code(F.col("code"), k).alias("other"))
-    scanned = reads.select("round", "seq_no", F.transform(kmer_array(F.col("seq"), k), lambda x: encode_clean(x)).alias("codes")).join(F.broadcast(own), "round")  # a row for each round
-    near = lambda to: F.size(F.filter("codes", lambda x: hamming(x, F.col(to)) <= d)).cast("int")
-    sites = scanned.select("round", "seq_no", near("own").alias("n_fwd"), F.when(F.col("own") == F.col("other"), 0).otherwise(near("other")).alias("n_rev"))
-    head = own.select("round", "consensus", "n", "rc_n", "pair_n")
-    return head.join(M.motif_stats(sites, "round"), "round")
+    (round, code), and their sites found in one pass."""
+    _, best, where, _ = _rounds(reads, k, n_max_mutation)
+    return best.join(M.motif_stats(M.sites_of(where, "round"), "round"), "round")
 
 
 def selex_tables(reads: DataFrame, kmin: int, kmax: int, m: int = 6, n_max_mutation: int = 2, revcom: bool = True) -> dict[tuple[int, int], dict[str, DataFrame]]:
     """(round, k) -> the tables of ``analyse`` for the reads of that round: counts, totals, top, and, around its most frequent k-mer, profile,
-    matrix, weights, histogram, density, sites, cooccurrence, stats. All rounds are counted together, once for each k."""
-    rounds = [r.round for r in reads.select("round").distinct().orderBy("round").collect()]  # the user's few rounds
+    matrix, weights, histogram, density, sites, cooccurrence, stats. For each k the reads of all rounds are counted together and scanned together."""
+    rounds = [r["round"] for r in reads.select("round").distinct().orderBy("round").collect()]  # the user's few rounds
     out = {}
     for k in range(kmin, kmax + 1):
-        every = stored(C.count_kmers(reads, k, True, "round"), "counts")
+        every, _, where, motifs = _rounds(reads, k, n_max_mutation, revcom)
+        totals = stored(C.round_totals(reads, k), "totals")
         for r in rounds:
-            own, counts = reads.where(F.col("round") == r), every.where(F.col("round") == r).drop("round")
-            out[r, k] = {"counts": counts, "totals": C.totals(own, k), "top": C.top_kmers(counts, k, m, revcom)}
-            best = C.consensus(counts, k, revcom)
-            if best is not None:
-                out[r, k] |= around(own, counts, k, best, n_max_mutation, revcom)
+            of = lambda frame, r=r: frame.where(F.col("round").eqNullSafe(F.lit(r))).drop("round")
+            counts = of(every)
+            out[r, k] = {"counts": counts, "totals": of(totals), "top": C.top_kmers(counts, k, m, revcom)}
+            if r in motifs:
+                out[r, k] |= around(of(where), counts, motifs[r])
+    return out
+
+
+def selex_table(tables: dict[tuple[int, int], dict[str, DataFrame]], name: str) -> DataFrame:
+    """One of the tables of ``selex_tables`` for all rounds and k together, with columns round and k."""
+    out = None
+    for (r, k), found in tables.items():
+        if name in found:
+            rows = found[name].withColumns({"round": F.lit(r), "k": F.lit(k)})
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError(f"no round has a table {name}")
     return out
 
 

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import mutation_limit
-from ..operators.counts import convert_counts, count_kmers, merge_revcom
+from ..operators.counts import convert_counts, merge_revcom
 from ..operators.kmers import contain_motif
+from ..operators.superkmers import count_ks
 from ..sources.scratch import stored
 from ..sources.store import load_counts
 
 
 def count_range(reads: DataFrame, kmin: int, kmax: int, path: str, beyond: int = 4) -> None:
-    """Counts (of occurrences) for every k from kmin to kmax + beyond, in a folder for each k; one job for each k."""
-    for k in range(kmin, kmax + beyond + 1):
-        count_kmers(reads, k, False).drop("k").write.mode("overwrite").parquet(f"{path}/k={k}")
+    """Counts (of occurrences) for every k from kmin to kmax + beyond, in a folder for each k: one pass over the reads, one shuffle, one job."""
+    count_ks(reads, list(range(kmin, kmax + beyond + 1))).write.mode("overwrite").partitionBy("k").parquet(path)
 
 
 def find_motifs(counts: DataFrame, big_counts: DataFrame, k: int, big_k: int, top_k: int, d: int | None = None, revcom: bool = True) -> list[tuple[str, int, int]]:

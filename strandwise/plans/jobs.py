@@ -12,6 +12,7 @@ from ..operators.motifs import Motif, scan_motifs, with_hits
 from ..sources.archive import manifest_size, read_manifest, read_records, record_table
 from ..sources.fasta import read_fasta, write_fasta
 from ..sources.genome import TILE, read_reference, read_windows
+from ..sources.scratch import stored
 
 
 def mask_file(spark: SparkSession, source: str, target: str, patterns: list[RepeatMask | MotifMask]) -> None:
@@ -22,7 +23,7 @@ def mask_file(spark: SparkSession, source: str, target: str, patterns: list[Repe
 def scan_reads(reads: DataFrame, motifs: list[Motif], tags: dict[int, str] | None = None) -> dict[str, DataFrame]:
     """hits (seq_no, motif_id, pos), segments of the sequences with hits (label, motifs), and their marked-up text, for any number of
     motifs. tags: label -> tag; by default a piece is tagged with all motifs that cover it."""
-    hits = scan_motifs(reads, motifs)
+    hits = stored(scan_motifs(reads, motifs), "hits")  # three tables are made from them
     some = with_hits(reads, hits)
     pieces = motif_segments(some, hits, {i: m.k for i, m in enumerate(motifs, 1)})
     return {"hits": hits, "segments": pieces, "marked": mark_up(some, pieces, tags)}

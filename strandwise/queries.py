@@ -19,12 +19,13 @@ from .operators import intervals as V
 from .operators import kmers as K
 from .operators import masking as X
 from .operators import motifs as M
+from .operators import superkmers as SK
 from .plans import chipseq as P
 from .plans import discovery as D
 from .plans import jobs as J
-from .sources import archive, fasta, store
+from .sources import archive, datasource, fasta, offsets, store
 from .sources import genome as S
-from .sources.scratch import new_path
+from .sources.scratch import new_path, stored
 
 k = 6
 MOTIF = M.Motif("ATTATA", 1)
@@ -115,6 +116,47 @@ def a2_read_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.read_fastq(spark, path).select("seq_id", "seq", "qual")
 
 
+@query(f"WITH {READS} SELECT seq_no::VARCHAR AS seq_id, 'len ' || length(seq) AS description, seq FROM reads")
+def a1_fasta_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the data source, in small splits; lines end in CRLF, and a tab stands behind the name."""
+    path = new_path(spark, "fasta")
+    line = fasta.fasta_text(F.concat("seq_id", F.lit("\tlen "), F.length("seq").cast("string")), F.col("seq"), 60)
+    reads(spark, sf_dir).select(F.concat(F.regexp_replace(line, "\n", "\r\n"), F.lit("\r")).alias("value")).write.text(path)
+    datasource.register(spark)
+    return spark.read.format("fasta").option("splitSize", 100_000).load(path).select("seq_id", "description", "seq")
+
+
+@query(f"WITH {READS} SELECT seq_no::VARCHAR AS seq_id, 'len ' || length(seq) AS description, seq FROM reads")
+def a1_fasta_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the text source."""
+    path = new_path(spark, "fasta")
+    line = fasta.fasta_text(F.concat("seq_id", F.lit("\tlen "), F.length("seq").cast("string")), F.col("seq"), 60)
+    reads(spark, sf_dir).select(F.concat(F.regexp_replace(line, "\n", "\r\n"), F.lit("\r")).alias("value")).write.text(path)
+    return fasta.read_fasta(spark, path).select("seq_id", "description", "seq")
+
+
+def fastq_crlf(spark: SparkSession, sf_dir: str) -> str:
+    path = new_path(spark, "fastq")
+    record = F.concat(F.lit("@"), "seq_id", F.lit("\tx y\r\n"), "seq", F.lit("\r\n+\r\n"), F.expr("if(seq_no % 2 = 0, repeat('@', length(seq)), repeat('I', length(seq)))"), F.lit("\r"))
+    reads(spark, sf_dir).where(F.length("seq") > 0).select(record.alias("value")).write.text(path)
+    return path
+
+
+FASTQ_CRLF = f"WITH {READS} SELECT seq_no::VARCHAR AS seq_id, 'x y' AS description, seq, repeat(CASE WHEN seq_no % 2 = 0 THEN '@' ELSE 'I' END, length(seq)) AS qual FROM reads WHERE length(seq) > 0"
+
+
+@query(FASTQ_CRLF)
+def a2_fastq_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fastq_crlf(spark, sf_dir)
+    datasource.register(spark)
+    return spark.read.format("fastq").option("splitSize", 100_000).load(path).select("seq_id", "description", "seq", "qual")
+
+
+@query(FASTQ_CRLF)
+def a2_fastq_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta.read_fastq(spark, fastq_crlf(spark, sf_dir)).select("seq_id", "description", "seq", "qual")
+
+
 @query(f"WITH {READS} SELECT seq_no::VARCHAR AS seq_id, (seq_no % 4 + 1)::INTEGER AS round, seq FROM reads WHERE seq_no % 4 < 3")
 def a3_read_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = []
@@ -213,6 +255,13 @@ def b1_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.kmers(reads(spark, sf_dir), k)
 
 
+@query(f"WITH {READS}, {cut()} SELECT seq_no::VARCHAR AS chrom, pos, kmer FROM km")
+def b1_kmers_of_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tile gives the k-mers that start in it."""
+    cut = S.tiles(reads(spark, sf_dir).select(F.col("seq_id").alias("chrom"), "seq"), TILE, k - 1)
+    return K.kmers_of_tiles(cut, k)
+
+
 @query(f"WITH {READS}, {cut(4, 'a')}, {cut(5, 'b')}, {cut(6, 'c')}, u AS (SELECT 4 AS k, * FROM a UNION ALL SELECT 5, * FROM b UNION ALL SELECT 6, * FROM c) SELECT k, kmer, count(*) AS n, max(pos)::INTEGER AS last_pos FROM u GROUP BY ALL")
 def b2_kmers_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.kmers_multi(reads(spark, sf_dir), 4, 6).groupBy("k", "kmer").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
@@ -231,6 +280,13 @@ def b4_hamming_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.hamming_ball(spark, C.consensus(unique_counts(spark, sf_dir, 5), 5, False), 2)
 
 
+@query(f"""WITH {READS}, {cut(5)}, {UNIQUE}, best AS (SELECT kmer FROM counts ORDER BY n DESC, kmer LIMIT 1),
+    s AS (SELECT unnest(['A', 'C', 'G', 'T']) AS b), every AS (SELECT a.b || c.b || d.b || e.b || f.b AS kmer FROM s a, s c, s d, s e, s f)
+    SELECT every.kmer, {code('every.kmer')} AS code FROM every, best WHERE hamming(every.kmer, best.kmer) <= 2""")
+def b4_ball_of_lower_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.hamming_ball(spark, C.consensus(unique_counts(spark, sf_dir, 5), 5, False).lower(), 2)
+
+
 @query(f"""WITH {READS}, {cut(11)}, {UNIQUE} SELECT kmer, {code('kmer')} AS code, {rc('kmer')} AS revcom, {code(rc('kmer'))} AS rc_code, kmer AS decoded,
     hamming(kmer, {rc('kmer')})::INTEGER AS own_distance, kmer = {rc('kmer')} AS is_palindrome, least({code('kmer')}, {code(rc('kmer'))}) AS canonical FROM counts""")
 def c1_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,9 +300,7 @@ def c1_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {READS}, {cut()}, {HITS} SELECT seq_no, strand, pos::INTEGER AS pos,
     round(CASE WHEN length(seq) > {k} THEN pos::DOUBLE / (length(seq) - {k}) ELSE 0 END, 6) AS place FROM hits JOIN reads USING (seq_no)""")
 def c9_relative_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = reads(spark, sf_dir)
-    joined = M.motif_match(some, MOTIF).join(some.select("seq_no", F.length("seq").alias("length")), "seq_no")
-    return joined.select("seq_no", "strand", "pos", F.round(codec.relative_position(F.col("pos"), F.col("length"), k), 6).alias("place"))
+    return M.placed_hits(reads(spark, sf_dir), MOTIF).select("seq_no", "strand", "pos", F.round(codec.relative_position(F.col("pos"), F.col("length"), k), 6).alias("place"))
 
 
 # --- predicates ------------------------------------------------------------------------------------------------------------
@@ -365,8 +419,7 @@ HISTOGRAM = "histogram AS (SELECT strand, least(i + CASE WHEN x >= (i + 1) * 0.0
 
 
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = reads(spark, sf_dir)
-    return M.position_histogram(some, M.motif_match(some, MOTIF), k)
+    return M.position_histogram(M.placed_hits(reads(spark, sf_dir), MOTIF), k)
 
 
 @query(f"WITH {READS}, {cut()}, {HITS}, {PLACED}, {HISTOGRAM} SELECT * FROM histogram")
@@ -462,6 +515,11 @@ def g1_motif_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.motif_match(reads(spark, sf_dir), MOTIF)
 
 
+@query(f"WITH {READS}, {cut()}, {HITS} SELECT seq_no::VARCHAR AS chrom, strand, pos FROM hits")
+def g1_match_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.match_tiles(S.tiles(reads(spark, sf_dir).select(F.col("seq_id").alias("chrom"), "seq"), TILE, k - 1), MOTIF)
+
+
 @query(f"WITH {READS}, {cut()} SELECT seq_no, pos::INTEGER AS pos FROM km WHERE {near('kmer', MOTIF)}")
 def g2_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.scan(reads(spark, sf_dir), MOTIF)
@@ -658,6 +716,26 @@ def m2_selex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.selex(rounds(spark, sf_dir), k).withColumns({"ff": F.round("ff", 6), "fr": F.round("fr", 6)})
 
 
+def by_round_and_k(sizes: tuple[int, ...], select: str) -> str:
+    """A query on each round's best k-mer, for each k."""
+    return " UNION ALL ".join(f"SELECT {x} AS k, * FROM (WITH {READS}, {cut(x)}, {BY_ROUND}, {R_PAIRS} {select.replace('[k]', str(x))})" for x in sizes)
+
+
+@query(by_round_and_k((5, 6), f"SELECT c.round, least(hamming(kmer, consensus), hamming(kmer, {rc('consensus')}))::INTEGER AS dist, count(*) AS n_kmers, sum(c.n)::BIGINT AS n FROM rc_counts c JOIN rbest USING (round) GROUP BY ALL"))
+def m2_selex_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles of every round and k."""
+    return P.selex_table(P.selex_tables(rounds(spark, sf_dir), 5, 6), "profile")
+
+
+@query(by_round_and_k((5, 6), f"""SELECT round, strand, least(i + CASE WHEN x >= (i + 1) * 0.01::DOUBLE THEN 1 ELSE 0 END - CASE WHEN x < i * 0.01::DOUBLE THEN 1 ELSE 0 END, 99)::INTEGER AS bin, count(*) AS n FROM (
+    SELECT *, floor(x * 100::DOUBLE)::INTEGER AS i FROM (SELECT round, strand, CASE WHEN length(seq) > [k] THEN pos::DOUBLE / (length(seq) - [k])::DOUBLE ELSE 0::DOUBLE END AS x FROM (
+        SELECT round, seq_no, '+' AS strand, pos FROM rkm JOIN rbest USING (round) WHERE hamming(kmer, consensus) <= 1
+        UNION ALL SELECT round, seq_no, '-', pos FROM rkm JOIN rbest USING (round) WHERE consensus <> {rc('consensus')} AND hamming(kmer, {rc('consensus')}) <= 1) JOIN reads USING (seq_no))) GROUP BY ALL"""))
+def m2_selex_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histograms of sites of every round and k."""
+    return P.selex_table(P.selex_tables(rounds(spark, sf_dir), 5, 6), "histogram")
+
+
 LATE = f"""late AS (SELECT kmer, count(DISTINCT seq_no) AS n FROM rkm WHERE round = 4 GROUP BY kmer), late_pairs AS (SELECT least(kmer, {rc('kmer')}) AS canon, sum(n)::BIGINT AS pair_n FROM late GROUP BY 1),
     late_shown AS (SELECT canon, pair_n, coalesce(a.n, 0) AS low_n, coalesce(b.n, 0) AS high_n FROM late_pairs LEFT JOIN late a ON a.kmer = canon LEFT JOIN late b ON b.kmer = {rc('canon')} ORDER BY pair_n DESC, canon LIMIT 6), late_best AS (SELECT {SHOWN} FROM late_shown)"""
 
@@ -697,6 +775,15 @@ def m4_count_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load_counts(spark, path).select("k", "kmer", "n")
 
 
+WIDE = (8, 11, 12, 17, 25, 31)
+
+
+@query(f"WITH {READS}, {', '.join(cut(x, f'km{x}') for x in WIDE)}, u AS ({' UNION ALL '.join(f'SELECT {x} AS k, kmer FROM km{x}' for x in WIDE)}) SELECT k, kmer, count(*) AS n FROM u GROUP BY ALL")
+def m4_wide_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small and large k together, from one pass."""
+    return SK.count_ks(reads(spark, sf_dir), list(WIDE)).select("k", "kmer", "n")
+
+
 @query(f"WITH {READS} SELECT seq_no::VARCHAR AS seq_id, {masked_runs(masked_runs('seq', 'A', 3), 'T', 3)} AS seq FROM reads")
 def m5_mask_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = new_path(spark, "fasta"), new_path(spark, "fasta")
@@ -782,6 +869,22 @@ def m7_window_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.read_fasta(spark, target).select("seq_id", "seq")
 
 
+@query(f'WITH {READS}, {LAST}, {CHROM_WINDOWS} SELECT chrom, start, "end", coalesce(substr(seq, start::INTEGER + 1, 60), \'\') AS seq FROM windows JOIN chromosomes USING (chrom)')
+def m7_indexed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an index of the files' offsets: only the windows' bytes are read."""
+    index = stored(offsets.index_fasta(spark, chromosome_folder(spark, sf_dir), 50_000), "index")
+    start = (F.col("event_id") * 37) % 400
+    asked = table(spark, sf_dir, "events").select(F.concat(F.lit("chr"), (F.col("event_id") % 5).cast("string")).alias("chrom"), start.alias("start"), (start + 60).alias("end"))
+    return offsets.fetch_windows(asked, offsets.chromosomes_of(index), "skip").select("chrom", "start", "end", "seq")
+
+
+@query(f"WITH {READS}, {LAST}, {TILES.replace('seq_no::VARCHAR AS chrom', 'chrom').replace('FROM reads', 'FROM chromosomes')} SELECT * FROM tiles")
+def m7_indexed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles read each from its own bytes."""
+    index = stored(offsets.index_fasta(spark, chromosome_folder(spark, sf_dir), 50_000), "index")
+    return offsets.fetch_tiles(offsets.chromosomes_of(index), TILE)
+
+
 @query(f"""WITH {MANIFEST}, r AS (SELECT 'R' || doc_id AS accession, lang || ' run' AS title FROM documents)
     SELECT r.accession, title, layout, '{archive.BROWSE}' || r.accession AS url, (SELECT round(sum(bytes) / 1e9, 2) FROM files) AS gigabytes FROM r LEFT JOIN (SELECT accession, max(layout) AS layout FROM files GROUP BY 1) USING (accession)""")
 def m8_manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,17 @@ from pyspark.sql import types as T
 READS = T.StructType([T.StructField("seq_no", T.LongType()), T.StructField("seq_id", T.StringType()), T.StructField("description", T.StringType()), T.StructField("seq", T.StringType())])
 
 
+def header_parts(header: Column) -> list[Column]:
+    """seq_id, what comes before the first white space of any kind, and description, what comes after it."""
+    return [F.regexp_extract(header, r"^\S*", 0).alias("seq_id"), F.regexp_replace(F.regexp_replace(header, r"^\S*\s*", ""), r"\s+$", "").alias("description")]
+
+
 def parse_records(raw: DataFrame, *more: Column) -> DataFrame:
     """(value) as cut at "newline, >" -> seq_id, description, seq (upper case), and ``more``."""
     record = F.regexp_replace("value", "^>", "")
-    header = F.trim(F.regexp_replace(F.substring_index(record, "\n", 1), "\r", ""))
+    header = F.trim(F.regexp_replace(F.substring_index(record, "\n", 1), "\r", ""))  # ends at the line break of either kind
     body = F.regexp_replace(F.when(F.instr(record, "\n") > 0, F.expr("substring(regexp_replace(value, '^>', ''), instr(regexp_replace(value, '^>', ''), '\n') + 1)")).otherwise(F.lit("")), r"[\s>]+", "")
-    return raw.where(F.length(F.trim("value")) > 0).select(F.substring_index(header, " ", 1).alias("seq_id"), F.trim(F.regexp_replace(header, r"^\S+\s*", "")).alias("description"), F.upper(body).alias("seq"), *more)
+    return raw.where(F.length(F.trim("value")) > 0).select(*header_parts(header), F.upper(body).alias("seq"), *more)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], numbered: bool = False) -> DataFrame:
@@ -43,14 +48,14 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Files are split at a line break and "@", so a record stays whole, but for those whose quality begins with "@": they come in two
     parts, of three lines and of what follows the "@". Only these parts are shuffled, to be put together in the order of the file."""
     raw = spark.read.option("lineSep", "\n@").text(path)
-    lines = F.split("value", "\r?\n", -1)
+    lines = F.split(F.regexp_replace("value", r"\r\z", ""), "\r?\n", -1)  # the separator may have left half a line break
     parts = raw.select(F.monotonically_increasing_id().alias("seq_no"), F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), lines.alias("x")).where("not (size(x) <= 2 and trim(array_join(x, '')) = '' and block = 0 and seq_no % 8589934592 = 0)")
     whole = parts.where(F.size("x") >= 4).select("seq_no", F.get("x", F.lit(0)).alias("header"), F.get("x", F.lit(1)).alias("seq"), F.get("x", F.lit(3)).alias("qual"))
     next_part = F.lead("x").over(Window.partitionBy("file").orderBy("block", "seq_no"))
     torn = parts.where(F.size("x") < 4).withColumn("rest", next_part).where(F.size("x") == 3)
     mended = torn.select("seq_no", F.get("x", F.lit(0)).alias("header"), F.get("x", F.lit(1)).alias("seq"), F.concat(F.lit("@"), F.coalesce(F.get("rest", F.lit(0)), F.lit(""))).alias("qual"))
     header = F.regexp_replace("header", "^@", "")
-    return whole.unionByName(mended).select("seq_no", F.substring_index(header, " ", 1).alias("seq_id"), F.trim(F.regexp_replace(header, r"^\S+\s*", "")).alias("description"), F.upper(F.trim("seq")).alias("seq"), F.trim("qual").alias("qual"))
+    return whole.unionByName(mended).select("seq_no", *header_parts(header), F.upper(F.trim("seq")).alias("seq"), F.trim("qual").alias("qual"))
 
 
 def read_rounds(spark: SparkSession, paths: list[str], min_round: int, max_round: int) -> DataFrame:

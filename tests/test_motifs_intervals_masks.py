@@ -61,7 +61,7 @@ def test_bins_follow_the_edges(spark):
 
 def test_histogram_of_a_sequence_of_one_window(spark):
     some = reads(spark, "ACGTA")
-    assert [(r.bin, r.n) for r in M.position_histogram(some, M.motif_match(some, M.Motif("ACGTA", 0, False)), 5).collect()] == [(0, 1)]
+    assert [(r.bin, r.n) for r in M.position_histogram(M.placed_hits(some, M.Motif("ACGTA", 0, False)), 5).collect()] == [(0, 1)]
 
 
 def test_density_sums_to_one(spark):
@@ -265,13 +265,11 @@ def test_intervals_in_tiles_against_brute_force(spark, tile):
     assert all(a[0] != b[0] or (a[2] == b[1] and a[3] != b[3]) for a, b in zip(by_place, by_place[1:], strict=False))
 
 
-def test_counts_of_long_sequences_and_of_rounds(spark, monkeypatch):
+def test_counts_of_rounds(spark):
     from collections import Counter
 
     from strandwise.operators import counts as C
-    from strandwise.operators import kmers as K
 
-    monkeypatch.setattr(K, "CHUNK", 50)
     import random
 
     rng = random.Random(1)
