@@ -20,6 +20,7 @@ from .operators import kmers as K
 from .operators import masking as X
 from .operators import motifs as M
 from .operators import superkmers as SK
+from .operators import top as T
 from .plans import chipseq as P
 from .plans import discovery as D
 from .plans import jobs as J
@@ -486,16 +487,28 @@ def e20_manifest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 WANTED = ["TTATAA", "ATTATA", "CCCGGG", "GGGGGG", "TACATT", "ttacat", "AcGtAc", "NNNNNN", "ACGTNA", "ACG", None]
 
 
-@query(f"""WITH {READS}, {cut()}, {UNIQUE}, wanted AS (SELECT upper(unnest([{', '.join('NULL' if x is None else repr(x) for x in WANTED)}])) AS kmer),
+F1 = f"""WITH {READS}, {cut()}, {UNIQUE}, wanted AS (SELECT upper(unnest([{', '.join('NULL' if x is None else repr(x) for x in WANTED)}])) AS kmer),
     good AS (SELECT kmer, kmer IS NOT NULL AND regexp_full_match(kmer, '[ACGT]{{{k}}}') AS good FROM wanted),
     q AS (SELECT kmer, CASE WHEN good THEN coalesce((SELECT n FROM counts c WHERE c.kmer = w.kmer), 0) END AS n, CASE WHEN good THEN {rc('kmer')} END AS rc_kmer, CASE WHEN good THEN coalesce((SELECT n FROM counts c WHERE c.kmer = {rc('w.kmer')}), 0) END AS rc_n FROM good w)
-    SELECT coalesce(kmer, 'none') AS kmer, coalesce(n, -1) AS n, coalesce(rc_kmer, '') AS rc_kmer, coalesce(rc_n, -1) AS rc_n, coalesce(CASE WHEN kmer = rc_kmer THEN n ELSE n + rc_n END, -1) AS pair_n, coalesce(kmer = rc_kmer, FALSE) AS is_palindrome FROM q""")
+    SELECT coalesce(kmer, 'none') AS kmer, coalesce(n, -1) AS n, coalesce(rc_kmer, '') AS rc_kmer, coalesce(rc_n, -1) AS rc_n, coalesce(CASE WHEN kmer = rc_kmer THEN n ELSE n + rc_n END, -1) AS pair_n, coalesce(kmer = rc_kmer, FALSE) AS is_palindrome FROM q"""
+
+
+@query(F1)
 def f1_query_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list holds lower case, other letters, a wrong length and a null."""
     found = C.query_kmers(unique_counts(spark, sf_dir), C.kmer_list(spark, WANTED), k, "null")
     return found.fillna({"kmer": "none", "rc_kmer": "", "n": -1, "rc_n": -1, "pair_n": -1, "is_palindrome": False})
 
 
+@query(F1)
+def f1_query_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From saved counts, of which only the row groups that may hold the list's k-mers are read."""
+    path = new_path(spark, "counts")
+    store.save_counts(unique_counts(spark, sf_dir).unionByName(unique_counts(spark, sf_dir, 7)), path, 16_384)
+    found = store.query_saved(spark, path, WANTED, k, "null")
+    return found.fillna({"kmer": "none", "rc_kmer": "", "n": -1, "rc_n": -1, "pair_n": -1, "is_palindrome": False})
+
+
 @query(f'WITH {READS}, {WINDOWS} SELECT event_id, chrom || \'|\' || start || \'|\' || "end" AS header, coalesce(substr(seq, start::INTEGER + 1, 60), \'\') AS seq FROM windows JOIN reads ON seq_no::VARCHAR = chrom')
 def f2_extract_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.extract_windows(windows(spark, sf_dir), tiles(spark, sf_dir), TILE, "skip").select("event_id", "header", "seq")
@@ -603,6 +616,21 @@ def i2_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.top_kmers(unique_counts(spark, sf_dir), k, 6).select("kmer", "n", "rc_n", "pair_n")
 
 
+def top_twin(size: int) -> str:
+    return f"WITH {READS}, {cut(size)}, {UNIQUE}, {PAIRS}, {TOP_PAIRS} SELECT CASE WHEN high_n > low_n THEN {rc('canon')} ELSE canon END AS kmer, greatest(low_n, high_n) AS n, least(low_n, high_n) AS rc_n, pair_n FROM shown"
+
+
+@query(top_twin(k))
+def i2_top_pairs_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a table of all counts; so few buckets that each holds many k-mers."""
+    return T.top_pairs(reads(spark, sf_dir), k, 6, buckets=500).select("kmer", "n", "rc_n", "pair_n")
+
+
+@query(top_twin(15))
+def i2_top_pairs_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.top_pairs(reads(spark, sf_dir), 15).select("kmer", "n", "rc_n", "pair_n")
+
+
 @query(f"WITH {READS}, {cut()}, {UNIQUE}, {PAIRS}, {TOP_PAIRS} SELECT CASE WHEN high_n > low_n THEN {rc('canon')} ELSE canon END AS consensus FROM shown ORDER BY pair_n DESC, canon LIMIT 1")
 def i3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.top_kmers(unique_counts(spark, sf_dir), k, 1).select(F.col("kmer").alias("consensus"))
@@ -689,6 +717,22 @@ def k1_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.merge_counts(spark.read.parquet(target)).select("kmer", "n")
 
 
+@query(f"WITH {READS}, {cut()}, {EVERY} SELECT kmer, n FROM counts")
+def k1_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts as state in RocksDB. Half of the files are there when the stream first runs; it goes on from its checkpoint when the others
+    have come."""
+    from .streaming.counts import follow, followed, state_in_rocksdb, stream_fasta
+
+    source, target, progress = new_path(spark, "stream"), new_path(spark, "counts"), new_path(spark, "progress")
+    some = rounds(spark, sf_dir)
+    for half in ("round <= 2", "round > 2"):
+        fasta.fasta_lines(some.where(half).repartition(4)).write.mode("append").text(source)
+        with state_in_rocksdb(spark):
+            stream = follow(stream_fasta(spark, source, 3), k, target, progress, False).trigger(availableNow=True).start()
+        stream.awaitTermination()
+    return followed(spark, target).select("kmer", "n")
+
+
 BEST = f"""best AS (SELECT kmer AS consensus, n, rc_n, pair_n FROM (SELECT CASE WHEN high_n > low_n THEN {rc('canon')} ELSE canon END AS kmer, greatest(low_n, high_n) AS n, least(low_n, high_n) AS rc_n, pair_n, canon FROM shown) ORDER BY pair_n DESC, canon LIMIT 1)"""
 BEST_HITS = f"hits AS (SELECT seq_no, '+' AS strand, pos FROM km, best WHERE hamming(kmer, consensus) <= 1 UNION ALL SELECT seq_no, '-', pos FROM km, best WHERE hamming(kmer, {rc('consensus')}) <= 1 AND consensus <> {rc('consensus')})"
 

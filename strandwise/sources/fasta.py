@@ -75,8 +75,12 @@ def fasta_text(header: Column, seq: Column, width: int = 60) -> Column:
     return F.concat(F.lit(">"), header, F.lit("\n"), F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n"))
 
 
+def fasta_lines(df: DataFrame, width: int = 60, header: str = "seq_id", seq: str = "seq") -> DataFrame:
+    return df.select(fasta_text(F.col(header), F.col(seq), width).alias("value"))
+
+
 def write_fasta(df: DataFrame, path: str, width: int = 60, header: str = "seq_id", seq: str = "seq") -> None:
-    df.select(fasta_text(F.col(header), F.col(seq), width).alias("value")).write.mode("overwrite").text(path)
+    fasta_lines(df, width, header, seq).write.mode("overwrite").text(path)
 
 
 def reads_of_documents(docs: DataFrame) -> DataFrame:
