@@ -19,24 +19,49 @@ from strandwise.llm import exact_dedup, minhash, mixing, packing, quality
 from strandwise.llm.common import stored, table
 
 
+#: What mixing tells apart: the quality stage has removed the third domain of the labels, and a target for it would ask for what is gone.
+WEIGHTS = {domain: mixing.WEIGHTS[domain] for domain in ("toxic", "clean")}
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the model accepts, with all their columns.
+
+    A null text counts as empty and is rated as such; a row without a doc_id goes. Long texts are rated whole. Repeated rows, and rows that share a
+    doc_id, are rated each by its own text and share their fate if it is the same. An empty table stays empty; further columns, whatever their
+    names, are kept and not looked at."""
     return quality.select(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows whose texts are equal but for white space one: the one with the longest text, then the smallest doc_id.
+
+    Null, empty and blank texts are one group. Repeated rows leave one. Rows without a doc_id go. An empty table stays empty; further columns are
+    kept and not looked at."""
     return exact_dedup.deduplicate(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a similarity of 0.8 of their five-word shingles one: that with the smallest doc_id.
+
+    Texts without words are linked with nothing and stay; shorter texts are one shingle. Repeated rows are copies of one text. Rows without a doc_id
+    go. An empty table stays empty; further columns are kept and not looked at."""
     return minhash.deduplicate(docs, size=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = mixing.train(docs, table(spark, sf_dir, "labels"))
-    return mixing.resample(docs, mixing.mix(docs, model, cover="clean", most=1.0))
+    """Rows at rates of at most 1 that bring the expected tokens of toxic and clean documents to 5 to 92, all of the clean ones covered.
+
+    A null or empty text has no tokens and follows the prior. Repeated rows have the same rate and stay or go together. Rows without a doc_id
+    go. An empty table stays empty; further columns are kept and not looked at."""
+    model = mixing.train(docs, table(spark, sf_dir, "labels"), domains=tuple(WEIGHTS))
+    return mixing.resample(docs, mixing.mix(docs, model, WEIGHTS, cover="clean", most=1.0))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in sequences of 2048 tokens.
+
+    A null or empty text is one piece, its end id. Repeated rows are packed as often as they occur. Rows without a doc_id go. An empty table gives no
+    pieces; further columns are not looked at."""
     pieces = packing.pack(docs, ids="crc32")
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

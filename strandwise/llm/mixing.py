@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -40,7 +40,7 @@ SEEN, ERRORS = 3, 2.0
 GRID = 100
 #: A target is met within this share. Steps between two writings of the rates (their expression grows with them).
 CLOSE, TURNS = 1e-3, 40
-#: Targets that can't be met: the distance left is at most this share above the least possible. Passes after which the descent raises.
+#: Targets that can't be met: the distance left is at most this share above the least possible. Passes after which the descent stops, with a warning.
 GAP, LIMIT = 0.01, 1000
 #: With ``cover``: the target of the covered domain, as a multiple of all its tokens.
 REACH = 1.05
@@ -48,8 +48,10 @@ REACH = 1.05
 BROADCAST_CELLS = 1_000_000
 
 
-def domain_of_labels() -> Column:
-    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+def domain_of_labels(domains: Sequence[str] = DOMAINS) -> Column:
+    """The domain's number among ``domains``; null where it is none of them."""
+    name = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean")
+    return F.nullif(F.array_position(F.lit(list(domains)), name).cast("int"), F.lit(0)) - 1
 
 
 @dataclass
@@ -94,8 +96,9 @@ def fit(sample: Sample, n_domains: int, steps: int = STEPS) -> Softmax:
     return Softmax(np.ascontiguousarray(scale[:, None] * p[: DIMS * n_domains].reshape(n_domains, DIMS).T), p[DIMS * n_domains :])
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Softmax:
-    return fit(labelled_sample(docs, labels, domain_of_labels(), 0.0, limit), len(DOMAINS))
+def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, domains: Sequence[str] = DOMAINS) -> Softmax:
+    """A classifier of these domains; labelled documents of other ones are left out."""
+    return fit(labelled_sample(docs, labels, domain_of_labels(domains), 0.0, limit), len(domains))
 
 
 def memberships(docs: DataFrame, model: Softmax, domains: list[str] = DOMAINS, make_encoder: Callable = public_encoder) -> DataFrame:
@@ -144,7 +147,8 @@ def moved(cells: DataFrame, steps: list[list[float]], domains: list[str], most:
 
 def solve(held: DataFrame, weights: dict[str, float], budget: float | None, cover: str | None, most: float) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
     """held (tokens, p_<domain>...) with ``rate``, the targets, and the expected totals that were reached. They differ by more than CLOSE
-    only where the targets can't all be met; then the rates are the best ones but for GAP. Raises where LIMIT passes show neither.
+    only where the targets can't all be met; then the rates are the best ones but for GAP. Where LIMIT passes show neither, the rates
+    of the last one, with a warning.
 
     budget: tokens in all, as a multiple of the input's. cover: instead, choose the budget so that this domain's target
     is REACH times all its expected tokens, so that nothing of it has to go."""
@@ -199,7 +203,8 @@ def solve(held: DataFrame, weights: dict[str, float], budget: float | None, cove
             turn = 1.0
         if len(steps) == TURNS:
             at, steps = stored(moved(at, steps, domains, most), "cells"), []
-    raise RuntimeError(f"after {LIMIT} passes the totals {named(now)} neither meet the targets {named(target)} nor are known to be the nearest")
+    warnings.warn(f"after {LIMIT} passes the totals {named(now)} neither meet the targets {named(target)} nor are known to be the nearest", stacklevel=3)
+    return of_documents(moved(at, steps, domains, most), "rate"), named(target), named(now)
 
 
 def mix(docs: DataFrame, model: Softmax, weights: dict[str, float] = WEIGHTS, budget: float | None = None, cover: str | None = None, most: float = 1.0, seed: int = 0, make_encoder: Callable = public_encoder) -> DataFrame:

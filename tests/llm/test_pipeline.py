@@ -64,3 +64,40 @@ def test_packing_stage(outputs):
 
 def test_run_is_the_stages(spark, outputs):
     assert pipeline.run(spark, DIR).count() == outputs[1][4].count()
+
+
+def odd_rows(spark):
+    from .conftest import make, prose
+
+    rng = __import__("random").Random(8)
+    text = prose(rng, 60)
+    rows = make(spark, [None, "", " \n", text, text, text.replace(" ", "  "), prose(rng, 30_000), "x" * 20_000, *(prose(rng, 50) for _ in range(12))])
+    return rows.unionByName(rows.where("doc_id in (3, 9)"))
+
+
+def test_every_stage_takes_odd_rows_and_keeps_all_columns(spark):
+    docs = odd_rows(spark)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, DIR)
+        if name != "packing":
+            assert out.columns == docs.columns, name
+            kept = {r.doc_id for r in out.collect()}
+            assert kept <= set(range(20)) and {9, 10, 11} <= kept, name
+        else:
+            assert {r.doc_id for r in out.collect()} == set(range(20))
+
+
+def test_every_stage_takes_an_empty_table(spark, empty):
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, DIR).count() == 0, name
+
+
+def test_mixing_asks_for_what_is_left(spark, recwarn):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    left = pipeline.quality_stage(spark, docs, "/root/testdata/sf0.01")
+    out = pipeline.mixing_stage(spark, left, "/root/testdata/sf0.01")
+    assert not [w for w in recwarn if "out of reach" in str(w.message)]
+    labels = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    before, after = ({r.doc_id for r in x.collect()} for x in (left, out))
+    clean = [i for i in before if i in labels and labels[i].quality == 1 and labels[i].toxic == 0]
+    assert sum(i in after for i in clean) >= 0.98 * len(clean)

@@ -243,6 +243,31 @@ def test_what_stands_alone_in_another_notation_is_found(spark):
     assert [got[i] for i in range(8)] == [["local_phone"], ["spelt_email"], ["number"], ["opaque"], ["secret"], [], [], []]
 
 
+def test_phone_numbers_that_run_on_into_other_digits(spark):
+    """The base pattern takes in what follows and drops the whole; the number itself is a candidate still."""
+    rng = __import__("random").Random(6)
+    digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    number = lambda: f"+{rng.randrange(1, 99)} {rng.choice(['(%s) ', '%s-', '%s '])}{digits(3)}-{digits(4)}".replace("%s", digits(3))
+    some = [f"{prose(rng, 10)} call {number()}, {prose(rng, 8)} version 1.2 of {digits(8)} and a+1 {prose(rng, 4)}" for _ in range(150)]
+    selector = pii.fit(make(spark, some))
+    tails = [" 190.137.223.204", " 2024-05-17 12:30", " 4111 1111 1111 1111", " (2) 17 of 345678", ".20000000"]
+    asked = [(number(), tail) for tail in tails for _ in range(6)]
+    rows = pii.detect(make(spark, [f"{prose(rng, 5)} {n}{tail} {prose(rng, 3)}" for n, tail in asked]), selector, "text").collect()
+    caught = 0
+    for r in rows:
+        n, _ = asked[r.doc_id]
+        at = r.text.index(n)
+        spans = [(s.start, s.end) for k in ("phone", "more") for s in r[k]]
+        caught += any(a <= at and at + len(n) <= b for a, b in spans)
+    assert caught >= 0.9 * len(asked)
+
+
+def test_spelt_addresses_are_taken_whole(spark):
+    some = ["ask john dot doe at example dot com now", "a [dot] b (at) c (dot) de", "k77 at mail3 dot example dot com"]
+    rows = pii.redact(make(spark, some), every_candidate()).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["ask <spelt_email> now", "<spelt_email>", "<spelt_email>"]
+
+
 def test_labels_of_the_training_rows_are_no_features():
     assert not {"named", "named_before"} & set(pii.FEATURES)
 
@@ -482,6 +507,21 @@ def test_targets_out_of_reach_are_approached_and_named(spark, monkeypatch):
         X.mix(held, None, X.WEIGHTS, 0.9, most=4.0)
 
 
+def test_a_descent_that_ends_early_gives_its_rates_with_a_warning(spark, monkeypatch):
+    for name, value in (("LIMIT", 2), ("GAP", -1.0), ("CLOSE", 0.0)):
+        monkeypatch.setattr(X, name, value)
+    with pytest.warns(UserWarning, match="after 2 passes"):
+        rated, _, _ = X.solve(held_memberships(spark, (90, 5, 5)), X.WEIGHTS, 0.9, None, 4.0)
+    assert rated.where("rate is null or rate < 0 or rate > 4").count() == 0 and rated.count() == 100
+
+
+def test_two_domains_of_the_labels(spark, tables):
+    labels = tables[1].where("quality is not null")
+    told = labels.select("quality", "toxic", X.domain_of_labels().alias("three"), X.domain_of_labels(("toxic", "clean")).alias("two")).distinct().collect()
+    assert all(r.three == (0 if r.quality == 0 else 1 if r.toxic == 1 else 2) and r.two == (None if r.quality == 0 else 0 if r.toxic == 1 else 1) for r in told)
+    assert X.train(*tables, domains=("toxic", "clean")).weights.shape[1] == 2
+
+
 def test_resampling_repeats_and_drops_rows(spark, docs, empty):
     mixed = docs.select("doc_id", X.text_key().alias("h"), (F.col("doc_id") % 3).alias("copies"))
     again = X.resample(docs, mixed)
