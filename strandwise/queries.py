@@ -523,6 +523,18 @@ def f3_scan_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.scan_motifs(reads(spark, sf_dir), MOTIFS)
 
 
+HUNDREDS = [M.Motif(codec.kmer_of((i * 389_017 + 7_777) % 4**8, 8), 1) for i in range(500)]
+BOTH_STRANDS = ", ".join(f"({i}, '{m.consensus}', '{codec.kmer_of(m.rc_code, 8)}')" for i, m in enumerate(HUNDREDS, 1))
+
+
+@query(f"""WITH {READS}, {cut(8)}, seen AS MATERIALIZED (SELECT DISTINCT kmer FROM km), wanted(motif_id, fwd, rev) AS (VALUES {BOTH_STRANDS}),
+    met AS MATERIALIZED (SELECT kmer, motif_id FROM seen, wanted WHERE hamming(kmer, fwd) <= 1 OR hamming(kmer, rev) <= 1)
+    SELECT seq_no, motif_id, pos::INTEGER AS pos FROM km JOIN met USING (kmer)""")
+def f3_scan_hundreds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hundred motifs of eight bases from a rule."""
+    return M.scan_motifs(reads(spark, sf_dir), HUNDREDS)
+
+
 @query(f"WITH {READS}, {cut()}, {HITS} SELECT seq_no, strand, pos::INTEGER AS pos FROM hits")
 def g1_motif_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.motif_match(reads(spark, sf_dir), MOTIF)
