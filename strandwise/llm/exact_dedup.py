@@ -6,14 +6,15 @@ go to buckets of about ``BUCKET`` digests, which a task works on one after the o
 and the stored keys: a filter hit is verified against the bucket's keys, a miss needs no look at them; a full
 filter is built anew, larger, from the stored keys.
 
-``ExactIndex`` keeps filters and live rows between batches. Documents are inserted and deleted by ``maintain``: the filters tell
-which digests can be live at all, only those are looked up among the live rows, and only filters of buckets that changed are rewritten.
+``ExactIndex`` keeps filters and live rows between batches, both in buckets. Documents are inserted and deleted by ``maintain``: the filters tell
+which digests can be live at all, only those are looked up among the live rows; only buckets that changes fall into are read and rewritten, and the
+number of buckets doubles as the index grows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -184,13 +185,65 @@ def build_index(rows: DataFrame) -> DataFrame:
     return local.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_buckets, RECORD)
 
 
+#: Buckets named in a condition; more are joined.
+NAMED = 1000
+#: Tables that an index may consist of before they are written as one.
+TABLES = 8
+
+
+@dataclass
+class Versions:
+    """A table in buckets of which single ones are replaced: several stored tables, each partitioned by bucket, and for each bucket the one that holds it.
+    The driver keeps two numbers for each bucket."""
+
+    tables: list[DataFrame]
+    home: dict[int, int]
+
+    @classmethod
+    def first(cls, rows: DataFrame, tag: str, buckets: int) -> Versions:
+        return cls([stored(rows.repartition("bucket"), tag, "bucket")], dict.fromkeys(range(buckets), 0))
+
+    def of(self, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The rows of some buckets: only their files are read."""
+        wanted: dict[int, list[int]] = {}
+        for bucket in self.home if buckets is None else buckets:
+            wanted.setdefault(self.home[bucket], []).append(bucket)
+        out = None
+        for at, own in sorted(wanted.items()):
+            table = self.tables[at]
+            if buckets is not None or len(self.tables) > 1:
+                few = F.col("bucket").isin(own) if len(own) <= NAMED else None
+                table = table.where(few) if few is not None else table.join(F.broadcast(table.sparkSession.createDataFrame([(x,) for x in own], "bucket int")), "bucket", "left_semi")
+            out = table if out is None else out.unionByName(table)
+        return self.tables[0].limit(0) if out is None else out
+
+    def replaced(self, rows: DataFrame, buckets: list[int], tag: str) -> Versions:
+        """With these rows in place of what the buckets held; the files of other buckets stay."""
+        made = stored(rows.repartition("bucket"), tag, "bucket")
+        found = Versions([*self.tables, made], self.home | dict.fromkeys(buckets, len(self.tables)))
+        return found if len(found.tables) <= TABLES else Versions.first(found.of(), tag, len(self.home))
+
+
 @dataclass
 class ExactIndex:
-    """live: (digest, n_chars, doc_id, rows); filters: (bucket, slots), one row for each bucket."""
+    """live_rows: (digest, n_chars, doc_id, rows, bucket); slots: (bucket, slots), one row for each bucket; sizes: live rows of each bucket."""
+
+    live_rows: Versions
+    slots: Versions
+    sizes: dict[int, int]
+    bucket_size: int = BUCKET
+
+    @property
+    def buckets(self) -> int:
+        return len(self.live_rows.home)
 
-    live: DataFrame
-    filters: DataFrame
-    buckets: int
+    @property
+    def live(self) -> DataFrame:
+        return self.live_rows.of().select(LIVE)
+
+    @property
+    def filters(self) -> DataFrame:
+        return self.slots.of()
 
     def records(self) -> DataFrame:
         """One row for each live digest: the document to keep and the number of rows, partially aggregated before the shuffle."""
@@ -208,37 +261,55 @@ def _new_filter(key: tuple, keys: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [key[0]], "slots": [filter_of(held, 2 * len(held)).to_bytes()]})
 
 
-def start_index(rows: DataFrame, buckets: int | None = None) -> ExactIndex:
-    """An index of (doc_id, digest, n_chars), possibly empty. buckets: for the size that the index will reach; by default for the rows given."""
+def _sizes(live: DataFrame) -> dict[int, int]:
+    return {r["bucket"]: r["n"] for r in live.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # a row for each bucket
+
+
+def _in_buckets(live: DataFrame, buckets: int, bucket_size: int) -> ExactIndex:
+    """An index of stored live rows, all written anew."""
+    held = Versions.first(live.select(*LIVE, bucket_of(buckets).alias("bucket")), "live", buckets)
+    filters = held.of().select("bucket", "digest").distinct().groupBy("bucket").applyInPandas(_new_filter, FILTERS)
+    return ExactIndex(held, Versions.first(filters, "filters", buckets), _sizes(held.of()), bucket_size)
+
+
+def start_index(rows: DataFrame, buckets: int | None = None, bucket_size: int = BUCKET) -> ExactIndex:
+    """An index of (doc_id, digest, n_chars), possibly empty, in as many buckets as the rows need; their number doubles as the index grows."""
     rows = stored(rows.select("digest", "n_chars", "doc_id"), "rows")
-    buckets = buckets or n_buckets(rows)
     live = stored(rows.groupBy("digest", "n_chars", "doc_id").agg(F.count("*").alias("rows")), "live")
-    keys = live.select(bucket_of(buckets).alias("bucket"), "digest").distinct()
-    return ExactIndex(live, stored(keys.groupBy("bucket").applyInPandas(_new_filter, FILTERS), "filters"), buckets)
+    return _in_buckets(live, buckets or rows.count() // bucket_size + 1, bucket_size)
 
 
 def maintain(index: ExactIndex, changes: DataFrame) -> ExactIndex:
     """The index after ``changes`` (digest, n_chars, doc_id, rows). Positive rows are inserted; negative ones delete that many rows
     of this document with this digest and length, so that the next best document of a group is kept from then on. All changes of
-    a row add up before they take effect; deleting what isn't live changes nothing."""
+    a row add up before they take effect; deleting what isn't live changes nothing.
+
+    Only the buckets of the changes are read, and of these only what changed is written: live rows and filters of other buckets stay in
+    their files. When the buckets hold twice their size on average, their number is doubled, so a bucket never holds many times what one task
+    works on; that writes all rows anew, after as many insertions as there were rows."""
     buckets = index.buckets
-    wanted = stored(changes.groupBy("digest", "n_chars", "doc_id").agg(F.sum("rows").alias("rows")).where("rows <> 0"), "changes")
-    asked = wanted.select(bucket_of(buckets).alias("bucket"), "digest").distinct()
+    wanted = stored(changes.groupBy("digest", "n_chars", "doc_id").agg(F.sum("rows").alias("rows")).where("rows <> 0").withColumn("bucket", bucket_of(buckets)), "changes")
+    met = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # at most a number for each bucket
+    if not met:
+        return index
+    asked = wanted.select("bucket", "digest").distinct()
 
     def screen(keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         held = CuckooFilter(held=filters["slots"].iloc[0]) if len(filters) else CuckooFilter()
         return keys.assign(hit=[x in held for x in keys["digest"]])[["digest", "hit"]]
 
-    screened = stored(asked.groupBy("bucket").cogroup(index.filters.groupBy("bucket")).applyInPandas(screen, "digest binary, hit boolean"), "screened")
+    own_live, own_filters = index.live_rows.of(met), index.slots.of(met).select("bucket", "slots")
+    screened = stored(asked.groupBy("bucket").cogroup(own_filters.groupBy("bucket")).applyInPandas(screen, "digest binary, hit boolean"), "screened")
     hits = screened.where("hit").select("digest")
     # What may be live is looked up among the live rows; the rest is new, and deletions of it are void.
-    near = index.live.join(hits, "digest", "left_semi")
+    near = own_live.select(LIVE).join(hits, "digest", "left_semi")
     before = stored(near.select("digest").distinct(), "before")
-    summed = near.unionByName(wanted.join(hits, "digest", "left_semi")).groupBy("digest", "n_chars", "doc_id").agg(F.sum("rows").alias("rows"))
-    fresh = wanted.join(hits, "digest", "left_anti")
+    summed = near.unionByName(wanted.select(LIVE).join(hits, "digest", "left_semi")).groupBy("digest", "n_chars", "doc_id").agg(F.sum("rows").alias("rows"))
+    fresh = wanted.select(LIVE).join(hits, "digest", "left_anti")
     touched = stored(summed.unionByName(fresh).where("rows > 0").select(LIVE), "touched")
     after = touched.select("digest").distinct()
-    live = stored(index.live.join(hits, "digest", "left_anti").select(LIVE).unionByName(touched), "live")
+    live = own_live.join(hits, "digest", "left_anti").select(*LIVE).unionByName(touched).withColumn("bucket", bucket_of(buckets))
+    live_rows = index.live_rows.replaced(live, met, "live")
 
     come = after.join(before, "digest", "left_anti").withColumn("step", F.lit(1))
     gone = before.join(after, "digest", "left_anti").withColumn("step", F.lit(-1))
@@ -254,11 +325,17 @@ def maintain(index: ExactIndex, changes: DataFrame) -> ExactIndex:
         fits = all(held.insert(x) for x in steps.loc[steps["step"] > 0, "digest"])
         return pd.DataFrame({"bucket": [key[0]], "slots": [held.to_bytes() if fits else None]})
 
-    changed = stored(index.filters.groupBy("bucket").cogroup(steps.groupBy("bucket")).applyInPandas(change, FILTERS), "filters")
+    changed = stored(own_filters.groupBy("bucket").cogroup(steps.groupBy("bucket")).applyInPandas(change, FILTERS), "filters")
     full = changed.where("slots is null").select("bucket")
-    keys = live.select(bucket_of(buckets).alias("bucket"), "digest").join(full, "bucket", "left_semi").distinct()
+    keys = live_rows.of(met).select("bucket", "digest").join(full, "bucket", "left_semi").distinct()
     larger = keys.groupBy("bucket").applyInPandas(_new_filter, FILTERS)
-    return ExactIndex(live, stored(changed.where("slots is not null").unionByName(larger), "filters"), buckets)
+    filters = index.slots.replaced(changed.where("slots is not null").unionByName(larger), met, "filters")
+    sizes = {b: n for b, n in index.sizes.items() if b not in set(met)} | _sizes(live_rows.of(met))
+    found = ExactIndex(live_rows, filters, sizes, index.bucket_size)
+    need = buckets
+    while sum(sizes.values()) > 2 * index.bucket_size * need:
+        need *= 2
+    return found if need == buckets else _in_buckets(stored(found.live, "live"), need, index.bucket_size)
 
 
 def groups(docs: DataFrame) -> DataFrame:

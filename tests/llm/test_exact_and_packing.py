@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,42 @@ def test_packing_nothing(empty):
 @pytest.mark.parametrize("text", ["<|endoftext|> is text", "hello <|endoftext|> there", "<|endoftext|><|endoftext|>\n<|endof",  " " * 3000 + "x", "x" * 3000, "\u0000\n\n\ttab"])
 def test_fast_and_slow_encoders_agree(text):
     assert P.public_encoder()(text).tolist() == brute_tokens(text)[:-1]
+
+
+def test_buckets_grow_from_an_empty_start_and_small_batches_rewrite_few(spark):
+    from pathlib import Path
+
+    rng = random.Random(11)
+    live: dict = {}
+    index = E.start_index(spark.createDataFrame([], "digest binary, n_chars long, doc_id long"), bucket_size=40)
+    assert index.buckets == 1
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(2000)]
+    for batch in range(7):
+        some = Counter()
+        for _ in range(150 if batch < 5 else 3):
+            key = rng.choice(keys)
+            some[key, len(key), rng.randrange(3)] += rng.choice([1, 1, 1, -1])
+        for k, n in some.items():
+            left = live.get(k, 0) + n
+            live.pop(k, None)
+            if left > 0:
+                live[k] = left
+        before = index
+        index = E.maintain(index, spark.createDataFrame([(*k, n) for k, n in some.items()], LIVE))
+        assert {(bytes(r.digest), r.n_chars, r.doc_id): r["rows"] for r in index.live.collect()} == live
+        assert sum(index.sizes.values()) == len(live) <= 2 * 40 * index.buckets
+        held = {r.bucket: E.CuckooFilter(held=r.slots) for r in index.filters.collect()}
+        spread = {bytes(r.digest): r.bucket for r in index.live.select("digest", E.bucket_of(index.buckets).alias("bucket")).collect()}
+        assert all(d in held[b] for d, b in spread.items())
+        if batch >= 5:
+            assert index.buckets == before.buckets >= 4
+            written = index.live_rows.tables[-1].inputFiles()
+            assert len({Path(f).parent.name for f in written}) <= 3 and len(index.live_rows.tables) == len(before.live_rows.tables) + 1
+    assert E.maintain(index, spark.createDataFrame([], LIVE)) is index
+
+
+def test_an_index_of_many_versions_is_written_as_one(spark):
+    index = E.start_index(spark.createDataFrame([], "digest binary, n_chars long, doc_id long"), 4)
+    for i in range(E.TABLES + 2):
+        index = E.maintain(index, spark.createDataFrame([(hashlib.sha256(bytes([i])).digest(), 1, i, 1)], LIVE))
+    assert len(index.live_rows.tables) <= E.TABLES and sorted(r.doc_id for r in index.live.collect()) == list(range(E.TABLES + 2))
