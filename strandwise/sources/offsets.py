@@ -86,7 +86,7 @@ def fetch(wanted: DataFrame) -> DataFrame:
 
     start and end must lie in the record. Rows are dealt by file and place, so each task reads forward through few files."""
     keep = wanted.columns
-    rows = wanted.withColumn("_at", F.col("offset") + F.col("start")).repartitionByRange("file", "_at").sortWithinPartitions("file", "_at").drop("_at")
+    rows = wanted.withColumn("_at", F.col("offset") + F.col("start")).repartitionByRange("file", "_at", "end").sortWithinPartitions("file", "_at").drop("_at")
     shape = T.StructType([*rows.schema.fields, T.StructField("seq", T.StringType()), T.StructField("n_bytes", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,17 +123,19 @@ def fetch(wanted: DataFrame) -> DataFrame:
 
 
 def fetch_windows(windows: DataFrame, chromosomes: DataFrame, on_missing: str = "error") -> DataFrame:
-    """As ``operators.genome.extract_windows``, from the index: windows (chrom, start, end; further columns are kept) with header, seq and n_bytes.
-    The bytes read are those of the windows, whatever the size of the chromosomes."""
+    """As ``operators.genome.extract_windows``, from the index: windows (chrom, start, end; further columns are kept) with header, seq and n_bytes,
+    what was read for the window. The bytes read are those of the distinct windows, whatever the size of the chromosomes."""
     if on_missing != "skip":
         missing = windows.select("chrom").distinct().join(chromosomes.select("chrom"), "chrom", "left_anti")
         if names := [r.chrom for r in missing.limit(5).collect()]:
             raise ValueError(f"no such chromosome: {', '.join(map(str, names))}")
-    asked = windows.withColumnsRenamed({"start": "_start", "end": "_end"}).join(chromosomes.select("chrom", "file", "offset", "line_bases", "line_bytes", "length"), "chrom")
+    # Each window is read once, however many rows ask for it.
     inside = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.col("length")).cast("long")
+    asked = windows.select("chrom", F.col("start").alias("_start"), F.col("end").alias("_end")).distinct().join(chromosomes.select("chrom", "file", "offset", "line_bases", "line_bytes", "length"), "chrom")
     found = fetch(asked.withColumn("start", inside("_start")).withColumn("end", inside("_end")))
     header = F.concat_ws("|", "chrom", F.col("_start").cast("string"), F.col("_end").cast("string")).alias("header")
-    return found.select(*(F.col({"start": "_start", "end": "_end"}.get(c, c)).alias(c) for c in windows.columns), header, "seq", "n_bytes")
+    parts = found.select("chrom", F.col("_start").alias("start"), F.col("_end").alias("end"), header, "seq", "n_bytes")
+    return windows.join(parts, ["chrom", "start", "end"]).select(*windows.columns, "header", "seq", "n_bytes")
 
 
 def fetch_tiles(chromosomes: DataFrame, tile: int = TILE, halo: int = 0) -> DataFrame:
