@@ -57,7 +57,8 @@ def index_fasta(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFr
     if packed := [x.uri for x in found if x.uri.endswith(".gz")]:
         raise ValueError(f"compressed files have no index: {packed[:3]}")
     ranges = [(x.uri, x.size, a, b) for x in found for a, b in ranges_of(x, split)]
-    table = spark.createDataFrame(ranges, "file string, size long, first long, last long").repartition(max(1, min(len(ranges), 4096)), "file", "first")
+    tasks = max(1, min(len(ranges), max(4 * spark.sparkContext.defaultParallelism, len(ranges) // 16)))
+    table = spark.createDataFrame(ranges, "file string, size long, first long, last long").repartition(tasks, "file", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in INDEX.split(", ")]
