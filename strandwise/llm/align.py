@@ -24,7 +24,6 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,12 @@ BLOCK = 1 << 20
 CACHED, LONGEST = 1 << 17, 64
 #: Tokens whose bytes are compared at a time.
 PART = 1 << 18
+#: Links of a group that are written out one by one; those of larger groups are counted by id.
+LINKS = 1 << 12
+#: Tokens of the texts that are worked on together.
+TOGETHER = 1 << 20
+#: Numbers that tell the places in a window apart.
+ODD = np.random.default_rng(13).integers(1 << 62, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
 @dataclass
@@ -121,15 +126,9 @@ def public_sides() -> tuple[Side, Side]:
     return byte_level(P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.PATTERN), piece_level(P.path("piece_bpe_32k.model"))
 
 
-class Window(NamedTuple):
-    """The alignment of one pair of id tuples. A pair of ids is a number: a's id times the size of B's vocabulary, and b's id."""
-
-    text: str
-    groups: int
-    links: int
-    pairs: list[int]
-    #: (pair, further links) of pairs with several links
-    more: list[tuple[int, int]]
+#: The alignment of one pair of id tuples: groups as text, their number, that of links, the pairs linked, and (pair, further links) of pairs with several
+#: links. A pair of ids is a number: a's id times the size of B's vocabulary, and b's id. Plain tuples, as there are very many.
+Window = tuple[str, int, int, list[int], list[tuple[int, int]]]
 
 
 class Aligner:
@@ -137,6 +136,8 @@ class Aligner:
         self.a, self.b, self.cached = a, b, cached
         self.width = len(b.pieces)
         self.sizes_a, self.sizes_b = a.sizes.tolist(), b.sizes.tolist()
+        #: An id as it is written, with what follows it: a comma within a side, a bar behind A's ids, a semicolon behind a group.
+        self.said = [f"{i}{x}" for i in range(max(len(a.pieces), len(b.pieces))) for x in ",|;"]
         self.young: dict[tuple[bytes, bytes], Window] = {}
         self.old: dict[tuple[bytes, bytes], Window] = {}
 
@@ -172,36 +173,172 @@ class Aligner:
             counted = Counter(found)
             repeated += [(pair, n - 1) for pair, n in counted.items() if n > 1]
             found = list(counted)
-        return Window(";".join(texts), len(texts), links + len(texts), found, repeated)
-
-    def window(self, key: tuple[bytes, bytes]) -> Window:
-        """The alignment of a pair of ids' bytes that the younger generation doesn't hold. Of two generations the older one goes when the
-        younger is full."""
-        found = self.old.get(key) or self.groups(memoryview(key[0]).cast("I").tolist(), memoryview(key[1]).cast("I").tolist())
-        if len(key[0]) + len(key[1]) <= 4 * LONGEST:
+        return ";".join(texts), len(texts), links + len(texts), found, repeated
+
+    def known(self, keys: list[tuple[bytes, bytes]]) -> list[Window]:
+        """The alignments of pairs of ids' bytes, each given once. Those not met before are worked out together, and remembered but for very long ones; of
+        two generations the older one goes when the younger is full."""
+        found = list(map(self.young.get, keys))
+        missing = [key for key, window in zip(keys, found, strict=True) if window is None]
+        if missing:
+            before = list(map(self.old.get, missing))
+            made = iter(self.together([key for key, window in zip(missing, before, strict=True) if window is None]))
+            came = [next(made) if window is None else window for window in before]
+            self.young.update((key, window) for key, window in zip(missing, came, strict=True) if len(key[0]) + len(key[1]) <= 4 * LONGEST)
             if len(self.young) >= self.cached:
                 self.old, self.young = self.young, {}
-            self.young[key] = found
+            rest = iter(came)
+            found = [next(rest) if window is None else window for window in found]
         return found
 
-    def align(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple[str, int, int, np.ndarray, np.ndarray] | None:
-        """Groups as text, their number, that of links, the pairs of ids linked, and how many links each has; None where the tokens
-        aren't the text."""
-        spelt = b" " + text.encode()
-        if not text or not self.a.spells(a, spelt) or not self.b.spells(b, spelt):
-            return None
-        ends_a, ends_b = np.cumsum(self.a.sizes[a], dtype=np.int64), np.cumsum(self.b.sizes[b], dtype=np.int64)
-        # Tokens of both sides that begin at one place, each with a space.
-        marked_a, marked_b = np.flatnonzero(self.a.spaced[a[1:]]) + 1, np.flatnonzero(self.b.spaced[b[1:]]) + 1
-        _, at_a, at_b = np.intersect1d(ends_a[marked_a - 1], ends_b[marked_b - 1], assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = [0, *(4 * marked_a[at_a]).tolist(), 4 * len(a)], [0, *(4 * marked_b[at_b]).tolist(), 4 * len(b)]
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        keys = [(raw_a[i:j], raw_b[u:v]) for i, j, u, v in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False)]
-        texts, groups, links, linked, more = zip(*[self.young.get(key) or self.window(key) for key in keys], strict=True)
-        pairs, times = np.unique(np.fromiter(chain.from_iterable(linked), "<i8"), return_counts=True)
-        for pair, n in chain.from_iterable(more):
-            times[np.searchsorted(pairs, pair)] += n
-        return ";".join(texts), sum(groups), sum(links), pairs, times
+    def together(self, keys: list[tuple[bytes, bytes]]) -> list[Window]:
+        """``groups`` of many windows in one go. Put in a row, both sides of the windows spell the same bytes, so the shared ends of the rows are those of
+        the windows."""
+        if not keys:
+            return []
+        rows = [np.frombuffer(b"".join(side), "<u4") for side in zip(*keys, strict=True)]
+        counts = [np.array([len(x) // 4 for x in side]) for side in zip(*keys, strict=True)]
+        ends = [np.cumsum(side.sizes[ids], dtype=np.int64) for side, ids in zip((self.a, self.b), rows, strict=True)]
+        shared = np.intersect1d(*ends, assume_unique=True)
+        group = [np.searchsorted(shared, x) for x in ends]
+        n = [np.bincount(x, minlength=len(shared)) for x in group]
+        size = n[0] * n[1]
+        window_ends = np.cumsum(counts[0])
+        last_group = group[0][window_ends - 1] + 1
+        first_group = np.concatenate([[0], last_group[:-1]])
+        # Windows with groups of very many links are worked out one by one.
+        large = np.add.reduceat(size > LINKS, first_group) > 0
+        texts = self._texts(rows, group, n, counts)
+        pairs, more, links = self._pairs(rows, group, n, np.where(size > LINKS, 0, size), last_group)
+        numbers = (last_group - first_group).tolist()
+        out = list(zip(texts, numbers, links, pairs, more, strict=True))
+        for i in np.flatnonzero(large).tolist():
+            out[i] = self.groups(*(memoryview(x).cast("I").tolist() for x in keys[i]))
+        return out
+
+    def _texts(self, rows: list[np.ndarray], group: list[np.ndarray], n: list[np.ndarray], counts: list[np.ndarray]) -> list[str]:
+        """The groups of each window as text: tokens in the order in which they are written, each with what follows it."""
+        before = [np.concatenate([[0], np.cumsum(x)]) for x in n]
+        written = np.empty(len(rows[0]) + len(rows[1]), np.int64)
+        for side, (ids, of) in enumerate(zip(rows, group, strict=True)):
+            place = np.arange(len(ids)) + before[1 - side][of + side]
+            last = np.append(of[1:] != of[:-1], True)
+            written[place] = 3 * ids.astype(np.int64) + np.where(last, 1 + side, 0)
+        said = list(map(self.said.__getitem__, written.tolist()))
+        ends = np.cumsum(counts[0] + counts[1]).tolist()
+        return ["".join(said[a:b])[:-1] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _pairs(self, rows: list[np.ndarray], group: list[np.ndarray], n: list[np.ndarray], size: np.ndarray, last_group: np.ndarray) -> tuple[list, list, list]:
+        """The pairs of each window, those with several links, and how many links it has."""
+        first = [np.cumsum(x) - x for x in n]
+        of = np.repeat(np.arange(len(size)), size)
+        turn = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        wide = n[1][of]
+        pair = rows[0][first[0][of] + turn // wide].astype(np.int64) * self.width + rows[1][first[1][of] + turn % wide]
+        window = np.searchsorted(last_group, of, "right")
+        links = np.bincount(window, minlength=len(last_group)).tolist()
+        order = np.lexsort((pair, window))
+        pair, window = pair[order], window[order]
+        start = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (window[1:] != window[:-1])])) if len(pair) else np.zeros(0, np.int64)
+        times = np.diff(np.append(start, len(pair)))
+        pair, window = pair[start], window[start]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(window, minlength=len(last_group)))]).tolist()
+        every = pair.tolist()
+        none: list[tuple[int, int]] = []
+        more = [none] * len(links)
+        for i in np.flatnonzero(times > 1).tolist():
+            more[window[i]] = [*more[window[i]], (every[i], int(times[i]) - 1)]
+        return [every[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], more, links
+
+    def windows(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows of a row of texts begin, among the tokens of A and of B. Both sides spell the same bytes, so a byte's place is one
+        number for both; a window begins where a text does, and where tokens of both sides begin with a space at one place."""
+        starts = []
+        for side, ids, first in ((self.a, a, first_a), (self.b, b, first_b)):
+            sizes = side.sizes[ids]
+            begins = side.spaced[ids]
+            begins[first] = True
+            at = np.flatnonzero(begins)
+            starts.append((at, (np.cumsum(sizes, dtype=np.int64) - sizes)[at]))
+        _, i, j = np.intersect1d(starts[0][1], starts[1][1], assume_unique=True, return_indices=True)
+        return starts[0][0][i], starts[1][0][j]
+
+    def distinct(self, rows: list[np.ndarray], begins: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(a window of each kind, the kind of each window): windows of equal ids are of one kind. Told by a hash; each window's ids are then compared
+        with those of the window that stands for its kind, and should two kinds share a hash, all are told by their ids."""
+        h = np.zeros(len(begins[0]), np.uint64)
+        places, sizes, of = [], [], []
+        for ids, begin in zip(rows, begins, strict=True):
+            size = np.diff(np.append(begin, len(ids)))
+            window = np.repeat(np.arange(len(begin)), size)
+            place = np.arange(len(ids)) - begin[window]
+            mixed = (ids.astype(np.uint64) + np.uint64(1)) * ODD[place & (len(ODD) - 1)]
+            mixed ^= mixed >> np.uint64(32)
+            h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), begin)
+            places.append(place)
+            sizes.append(size)
+            of.append(window)
+        _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+        stands = first[kind]
+        if all(np.array_equal(size, size[stands]) for size in sizes) and all(np.array_equal(ids, ids[begin[stands][window] + place]) for ids, begin, window, place in zip(rows, begins, of, places, strict=True)):
+            return first, kind
+        number: dict[tuple[bytes, bytes], int] = {}
+        kind = np.array([number.setdefault(key, len(number)) for key in self.keys(rows, begins, np.arange(len(h)))])
+        return np.unique(kind, return_index=True)[1], kind
+
+    @staticmethod
+    def keys(rows: list[np.ndarray], begins: list[np.ndarray], which: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """The ids of some windows, as bytes."""
+        sides = []
+        for ids, begin in zip(rows, begins, strict=True):
+            raw = ids.tobytes()
+            ends = np.append(begin[1:], len(ids))
+            sides.append([raw[i:j] for i, j in zip((4 * begin[which]).tolist(), (4 * ends[which]).tolist(), strict=True)])
+        return list(zip(*sides, strict=True))
+
+    def align(self, texts: list[str], of_a: list[np.ndarray], of_b: list[np.ndarray]) -> Iterator[tuple[str, int, int, np.ndarray, np.ndarray] | None]:
+        """For each text: groups as text, their number, that of links, the pairs of ids linked, and how many links each has; None where
+        the tokens aren't the text. Texts are worked on together, as many as have TOGETHER tokens."""
+        held: list[tuple[np.ndarray, np.ndarray] | None] = []
+        size = 0
+        for text, a, b in zip(texts, of_a, of_b, strict=True):
+            spelt = b" " + text.encode()
+            good = bool(text) and self.a.spells(a, spelt) and self.b.spells(b, spelt)
+            held.append((a, b) if good else None)
+            size += len(a)
+            if size >= TOGETHER:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, held: list[tuple[np.ndarray, np.ndarray] | None]) -> Iterator[tuple[str, int, int, np.ndarray, np.ndarray] | None]:
+        good = [x for x in held if x is not None]
+        if not good:
+            yield from held
+            return
+        rows = [np.concatenate(side) for side in zip(*good, strict=True)]
+        firsts = [np.cumsum([0, *map(len, side[:-1])]) for side in zip(*good, strict=True)]
+        begins = list(self.windows(*rows, *firsts))
+        stands, kind = self.distinct(rows, begins)
+        said, groups, links, linked, more = zip(*self.known(self.keys(rows, begins, stands)), strict=True)
+        # The windows of each text, and the pairs of each window, by kind.
+        cuts = np.searchsorted(begins[0], [*firsts[0].tolist(), len(rows[0])])
+        of = np.repeat(np.arange(len(good)), np.diff(cuts))
+        numbers = [np.add.reduceat(np.array(x, np.int64)[kind], cuts[:-1]).tolist() for x in (groups, links)]
+        n = np.fromiter(map(len, linked), np.int64, len(linked))
+        every, at = np.fromiter(chain.from_iterable(linked), "<i8"), np.cumsum(n) - n
+        n = n[kind]
+        pair = every[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[kind], n)]
+        space = len(self.a.pieces) * self.width
+        pair, times = np.unique(np.repeat(of, n) * space + pair, return_counts=True)
+        for i in np.flatnonzero(np.isin(kind, [i for i, x in enumerate(more) if x])).tolist():
+            for one, further in more[kind[i]]:
+                times[np.searchsorted(pair, of[i] * space + one)] += further
+        ends = np.searchsorted(pair, np.arange(len(good) + 1) * space).tolist()
+        texts, cuts = np.array([*said, None], object)[kind].tolist(), cuts.tolist()
+        done = ((";".join(texts[cuts[i] : cuts[i + 1]]), numbers[0][i], numbers[1][i], pair[ends[i] : ends[i + 1]] - i * space, times[ends[i] : ends[i + 1]]) for i in range(len(good)))
+        for x in held:
+            yield None if x is None else next(done)
 
 
 DOCUMENT = "block long, of_block boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pairs binary, times binary, block_pairs array<long>, block_docs array<long>"
@@ -229,8 +366,7 @@ def aligned(docs: DataFrame, make_sides: Callable[[], tuple[Side, Side]], with_g
             texts = batch.column(1).to_pylist()
             of_a, of_b = both.a.tokens(texts), both.b.tokens(texts)
             out: dict[str, list] = {name: [] for name in ("block", "of_block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "pairs", "times")}
-            for doc_id, text, a, b in zip(batch.column(0).to_pylist(), texts, of_a, of_b, strict=True):
-                found = both.align(text, a, b)
+            for doc_id, a, b, found in zip(batch.column(0).to_pylist(), of_a, of_b, both.align(["" if x is None else x for x in texts], of_a, of_b), strict=True):
                 groups, n_groups, n_links, pairs, times = found or ("", 0, 0, np.zeros(0, "<i8"), np.zeros(0, "<i8"))
                 row = (number, False, doc_id, len(a) if found else 0, len(b) if found else 0, n_groups, n_links, hashlib.sha256(groups.encode()).hexdigest() if found else "", groups if with_groups else None, pairs.tobytes(), times.astype("<i8").tobytes())
                 for column, value in zip(out.values(), row, strict=True):

@@ -258,7 +258,7 @@ def test_alignment_of_whole_documents(spark, tokenizers):
         own_a, own_b, groups = plainly_aligned(tokenizers, (text or "")[:4000])
         if text and len(text) <= 4000 and groups:
             assert (a.tolist(), b.tolist()) == (own_a, own_b)
-            assert sides.align(text, a, b)[0] == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+            assert next(sides.align([text], [a], [b]))[0] == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
 
 
 def test_alignment_of_no_rows_and_null_ids(docs, empty):
@@ -292,7 +292,7 @@ def test_windows_against_the_definition(toy, data):
     own, other = split(a, (" " + text).encode()), split(b, (" " + text).encode())
     aligner = A.Aligner(a, b, cached=3)
     for _ in range(2):  # the second time from what is remembered
-        said, n_groups, n_links, pairs, times = aligner.align(text, own, other)
+        said, n_groups, n_links, pairs, times = next(aligner.align([text], [own], [other]))
         ends_a, ends_b = np.cumsum(a.sizes[own]).tolist(), np.cumsum(b.sizes[other]).tolist()
         shared = sorted(set(ends_a) & set(ends_b))
         group = lambda e: next(i for i, s in enumerate(shared) if e <= s)
@@ -306,5 +306,5 @@ def test_large_groups_have_few_pairs():
     side = A.Side([b" ", b"a"], None), A.Side([b" a", b"aaa", b"a"], None)
     n = 3000
     a, b = np.array([0] + [1] * n, "<u4"), np.array([0] + [2] * (n - 1), "<u4")
-    _, groups, links, pairs, times = A.Aligner(*side).align("a" * n, a, b)
+    _, groups, links, pairs, times = next(A.Aligner(*side).align(["a" * n], [a], [b]))
     assert groups == n and links == n + 1 == times.sum() and len(pairs) == 3
