@@ -19,6 +19,7 @@ columns are not looked at; an empty table gives no rows. A long text is worked o
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -41,6 +42,8 @@ CACHED, LONGEST = 1 << 17, 64
 PART = 1 << 18
 #: Links of a group that are written out one by one; those of larger groups are counted by id.
 LINKS = 1 << 12
+#: Rows of an Arrow batch.
+ROWS = 2048
 #: Tokens of the texts that are worked on together.
 TOGETHER = 1 << 20
 #: Numbers that tell the places in a window apart.
@@ -131,11 +134,17 @@ def public_sides() -> tuple[Side, Side]:
 Window = tuple[str, int, int, list[int], list[tuple[int, int]]]
 
 
+def pair_kind(n_a: int, n_b: int) -> str:
+    return "<u4" if n_a * n_b < 1 << 32 else "<i8"
+
+
 class Aligner:
     def __init__(self, a: Side, b: Side, cached: int = CACHED) -> None:
         self.a, self.b, self.cached = a, b, cached
         self.width = len(b.pieces)
         self.sizes_a, self.sizes_b = a.sizes.tolist(), b.sizes.tolist()
+        #: In which pairs are stored.
+        self.kind = pair_kind(len(a.pieces), len(b.pieces))
         #: An id as it is written, with what follows it: a comma within a side, a bar behind A's ids, a semicolon behind a group.
         self.said = [f"{i}{x}" for i in range(max(len(a.pieces), len(b.pieces))) for x in ",|;"]
         self.young: dict[tuple[bytes, bytes], Window] = {}
@@ -184,7 +193,10 @@ class Aligner:
             before = list(map(self.old.get, missing))
             made = iter(self.together([key for key, window in zip(missing, before, strict=True) if window is None]))
             came = [next(made) if window is None else window for window in before]
-            self.young.update((key, window) for key, window in zip(missing, came, strict=True) if len(key[0]) + len(key[1]) <= 4 * LONGEST)
+            if max(map(len, chain.from_iterable(missing))) > 2 * LONGEST:
+                self.young.update((key, window) for key, window in zip(missing, came, strict=True) if len(key[0]) + len(key[1]) <= 4 * LONGEST)
+            else:
+                self.young.update(zip(missing, came, strict=True))
             if len(self.young) >= self.cached:
                 self.old, self.young = self.young, {}
             rest = iter(came)
@@ -349,7 +361,16 @@ def aligned(docs: DataFrame, make_sides: Callable[[], tuple[Side, Side]], with_g
     pairs and in how many of its documents they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What is remembered is very many objects and no cycles: looking for cycles among them takes time for nothing.
+        gc.disable()
+        try:
+            yield from rows_of(batches)
+        finally:
+            gc.enable()
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Aligner(*make_sides())
+        kind = both.kind
         number, held, size = TaskContext.get().partitionId() << 33, [], 0
 
         def rows(**columns: list) -> pa.RecordBatch:
@@ -368,7 +389,7 @@ def aligned(docs: DataFrame, make_sides: Callable[[], tuple[Side, Side]], with_g
             out: dict[str, list] = {name: [] for name in ("block", "of_block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "pairs", "times")}
             for doc_id, a, b, found in zip(batch.column(0).to_pylist(), of_a, of_b, both.align(["" if x is None else x for x in texts], of_a, of_b), strict=True):
                 groups, n_groups, n_links, pairs, times = found or ("", 0, 0, np.zeros(0, "<i8"), np.zeros(0, "<i8"))
-                row = (number, False, doc_id, len(a) if found else 0, len(b) if found else 0, n_groups, n_links, hashlib.sha256(groups.encode()).hexdigest() if found else "", groups if with_groups else None, pairs.tobytes(), times.astype("<i8").tobytes())
+                row = (number, False, doc_id, len(a) if found else 0, len(b) if found else 0, n_groups, n_links, hashlib.sha256(groups.encode()).hexdigest() if found else "", groups if with_groups else None, pairs.astype(kind).tobytes(), times.astype("<i8").tobytes())
                 for column, value in zip(out.values(), row, strict=True):
                     column.append(value)
                 held.append(pairs)
@@ -384,7 +405,7 @@ def aligned(docs: DataFrame, make_sides: Callable[[], tuple[Side, Side]], with_g
         if held:
             yield closed()
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ROWS)
     return documents(docs).mapInArrow(run, DOCUMENT)
 
 
@@ -393,7 +414,8 @@ def align(docs: DataFrame, make_sides: Callable[[], tuple[Side, Side]] = public_
     as any pair of its id of A), count_sum (over its links, in how many documents the pair is), groups_sha256 and, if asked for, groups:
     ids of A, "|", ids of B, with commas between ids and semicolons between groups. Of pairs: a, b, n_docs, best."""
     held = stored(aligned(docs, make_sides, with_groups, block), "aligned")
-    width = len(make_sides()[1].pieces)
+    a, b = make_sides()
+    width, kind = len(b.pieces), pair_kind(len(a.pieces), len(b.pieces))
     of_blocks = held.where("of_block").select("block", F.explode(F.arrays_zip("block_pairs", "block_docs")).alias("x")).select("block", F.col("x.block_pairs").alias("pair"), F.col("x.block_docs").alias("n"))
     totals = stored(of_blocks.groupBy("pair").agg(F.sum("n").alias("n_docs")).withColumn("a", F.expr(f"pair div {width}")), "pairs")
     most = totals.groupBy("a").agg(F.max("n_docs").alias("most"))  # a row for each id of A, at most
@@ -406,7 +428,7 @@ def align(docs: DataFrame, make_sides: Callable[[], tuple[Side, Side]] = public_
         keys, n, best = keys[order], n[order], best[order]
         sums, bests = [], []
         for wanted, times in zip(own.column("pairs"), own.column("times"), strict=True):
-            at = np.searchsorted(keys, np.frombuffer(wanted.as_buffer(), "<i8"))
+            at = np.searchsorted(keys, np.frombuffer(wanted.as_buffer(), kind).astype(np.int64))
             times = np.frombuffer(times.as_buffer(), "<i8")
             sums.append(int((n[at] * times).sum()))
             bests.append(int(times[best[at].astype(bool)].sum()))
