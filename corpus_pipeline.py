@@ -7,7 +7,7 @@ stages' outputs are written as Parquet and read back before the next one starts.
 2. exact_dedup: of texts that are equal but for white space, one stays.
 3. near_dedup: of each group of near-duplicates (five-word shingles, similarity 0.8), one stays.
 4. mixing: documents stay at rates that bring the expected tokens of the domains to their target shares; the
-   clean domain is covered whole, so it is the others that are thinned out.
+   clean domain is covered whole, so it is the other that is thinned out.
 5. packing: what is left is cut into sequences of 2048 tokens.
 """
 

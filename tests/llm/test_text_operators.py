@@ -268,6 +268,12 @@ def test_spelt_addresses_are_taken_whole(spark):
     assert [r.text for r in rows] == ["ask <spelt_email> now", "<spelt_email>", "<spelt_email>"]
 
 
+def test_training_rows_come_from_about_so_many_documents(spark):
+    rng = __import__("random").Random(2)
+    docs = make(spark, [f"{prose(rng, 3)} code {rng.randrange(10**8, 10**9)} end" for _ in range(600)])
+    assert pii.training_rows(docs).count() == 600 and 120 < pii.training_rows(docs, n_docs=200).count() < 280 and pii.training_rows(docs, 50).count() == 50
+
+
 def test_labels_of_the_training_rows_are_no_features():
     assert not {"named", "named_before"} & set(pii.FEATURES)
 
