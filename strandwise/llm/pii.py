@@ -18,7 +18,9 @@ All other candidates are unlabelled: personal or not. Trained so, a score is in
 and the mean score of held-out positives tells by which factor; a kind's threshold is half of that mean, where
 a candidate is as likely personal as not (Elkan and Noto's calibration).
 
-The trees are fitted on a bounded sample: the candidates of about ``DOCUMENTS`` documents chosen by hash, ``SAMPLE`` of them at most. Scoring is a Column of nested conditions inside the row: no shuffle, no
+The trees and the thresholds come from all candidates of all documents. Features go in steps (lengths, and shares in ``STEPS`` parts), so that
+candidates that look the same are counted together: what is fitted are these cells, weighted by their candidates, which is the same as fitting
+the candidates. There are as many cells as there are forms, far fewer than candidates. Scoring is a Column of nested conditions inside the row: no shuffle, no
 Python. Every pattern is written so that a search takes time in proportion to the text: repetitions are possessive
 where giving back can't help, and a run of letters or digits is entered only at its start or where the last
 match ended.
@@ -56,10 +58,8 @@ CANDIDATE_PATTERNS = {
 # Words in the names that secrets are assigned to.
 SECRET_NAMES = r"(?i)^[a-z0-9_-]*?(?:token|secret|passw|passphrase|pwd|credential|(?:^|[_-]|api|access|private|auth|client)key)"
 ORDER = [*BASE_PATTERNS, *CANDIDATE_PATTERNS]
-#: Candidates and twins used to fit the trees and to set the thresholds, whatever the size of the input.
-SAMPLE = 20_000
-#: Documents, about, whose candidates the sample is drawn from; of a smaller input, all.
-DOCUMENTS = 50_000
+#: Parts of a share that features tell apart, and the length up to which they tell each one (beyond, quarters of a power of two).
+STEPS, LENGTHS = 16, 64
 TREES, DEPTH = 12, 3
 FEATURES = ["length", "digits", "letters", "uppers", "marks", "variety", "hexadecimal", "luhn", "turns", "mail_before", "phone_before", "card_before", "digit_before", "digit_after", "letter_after", *(f"is_{x}" for x in CANDIDATE_PATTERNS)]
 #: Characters of context before and after a candidate.
@@ -151,17 +151,19 @@ def count_of(value: Column, letters: str) -> Column:
 
 
 def features(x: Column) -> dict[str, Column]:
-    """Format and context of a candidate (with ``shown``, see ``format_value``), as doubles."""
+    """Format and context of a candidate (with ``shown``, see ``format_value``), as doubles that take few values."""
     value, before, after = x["shown"], x["before"], x["after"]
     size = F.greatest(F.length(value), F.lit(1))
-    share = lambda letters: count_of(value, letters) / size
+    stepped = lambda part: F.round(part * STEPS) / STEPS
+    share = lambda letters: stepped(count_of(value, letters) / size)
+    long = F.pow(F.lit(2.0), F.floor(F.log2(size) * 4) / 4)
     flag = lambda c: c.cast("double")
     digits = F.regexp_replace(value, "[^0-9]", "")
     whole = x["kind"] != "plus_phone"  # a "+" begins a number, and the form ends it: digits beside it are another one's
     out = {
-        "length": flag(F.length(value)), "digits": share("[0-9]"), "letters": share("[A-Za-z]"), "uppers": share("[A-Z]"), "marks": share("[^0-9A-Za-z]"),
-        "variety": F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) / F.least(size, F.lit(64)), "hexadecimal": flag(value.rlike("^[0-9a-fA-F]+$")),
-        "luhn": flag(F.length(digits).between(12, 19) & F.call_function("luhn_check", digits)), "turns": count_of(F.regexp_replace(value, "[0-9]+", "0"), "0") / size,
+        "length": F.when(size <= LENGTHS, flag(F.length(value))).otherwise(long), "digits": share("[0-9]"), "letters": share("[A-Za-z]"), "uppers": share("[A-Z]"), "marks": share("[^0-9A-Za-z]"),
+        "variety": stepped(F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) / F.least(size, F.lit(64))), "hexadecimal": flag(value.rlike("^[0-9a-fA-F]+$")),
+        "luhn": flag(F.length(digits).between(12, 19) & F.call_function("luhn_check", digits)), "turns": stepped(count_of(F.regexp_replace(value, "[0-9]+", "0"), "0") / size),
         "mail_before": flag(before.rlike(r"(?:mail|contact|reach|write)[^a-z]*$")), "phone_before": flag(before.rlike(r"(?:phone|call|tel|mobile|fax)[^a-z]*$")),
         "card_before": flag(before.rlike(r"(?:card|visa|account|iban|number)[^a-z]*$")), "digit_before": flag(before.rlike("[0-9][ .,-]?$") & whole),
         "digit_after": flag(after.rlike("^[ .,-]?[0-9]") & whole), "letter_after": flag(after.rlike("^[ ,]?[A-Za-z]")),
@@ -222,13 +224,15 @@ def overlaps_base(x: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.exists(F.col(k), lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])) for k in BASE_PATTERNS])
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE, n_docs: int = DOCUMENTS) -> DataFrame:
-    """kind, positive, held_out and the features of at most ``sample`` candidates and twins: those with the smallest hashes, so
-    from all parts of the input. They are looked for in documents whose own hash is among the smallest, so many that there are about ``n_docs``."""
+def training_rows(docs: DataFrame, sample: int | None = None, n_docs: int | None = None) -> DataFrame:
+    """kind, positive, held_out and the features of every candidate and twin. ``fit`` takes them all; who asks for fewer gets at most ``sample``, those
+    with the smallest hashes, or those of about ``n_docs`` documents, chosen by hash too."""
     text = F.col("text")
-    share = n_docs / max(n_docs, docs.count())
-    chosen = F.pmod(F.xxhash64("doc_id", text, F.lit(9)), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
-    rows = documents(docs).where(chosen).select("doc_id", text, *(base_spans(text, k).alias(k) for k in BASE_PATTERNS))
+    rows = documents(docs)
+    if n_docs is not None:
+        share = n_docs / max(n_docs, docs.count())
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", text, F.lit(9)), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30))))
+    rows = rows.select("doc_id", text, *(base_spans(text, k).alias(k) for k in BASE_PATTERNS))
 
     def marked(found: Column, positive) -> Column:  # noqa: ANN001
         fields = lambda x: [x[c].alias(c) for c in ("kind", "start", "end", "value", "before", "after")]
@@ -237,25 +241,33 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, n_docs: int = DOCUMENTS
     plain = marked(F.filter(candidates(text), lambda x: ~overlaps_base(x)), lambda x: (x["kind"] == "secret") & named(x["value"]))
     # Flat columns: fields taken out of an exploded struct would each evaluate the generators anew.
     found = rows.select(F.inline(F.concat(plain, marked(twins(text), lambda x: F.lit(True)))))
-    some = found.orderBy("h", "start", "end", "value").limit(sample)
+    if sample is not None:
+        found = found.orderBy("h", "start", "end", "value").limit(sample)
     x = {c: F.col(c) for c in ("kind", "value", "before", "after")}
     shown = features(x | {"shown": format_value(x)})
-    return some.select("kind", F.col("positive").cast("double").alias("label"), (F.pmod("h", F.lit(3)) == 0).alias("held_out"), *(c.alias(n) for n, c in shown.items()))
+    return found.select("kind", F.col("positive").cast("double").alias("label"), (F.pmod("h", F.lit(3)) == 0).alias("held_out"), *(c.alias(n) for n, c in shown.items()))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Selector:
+def cells(rows: DataFrame) -> DataFrame:
+    """``training_rows`` that are the same in all columns as one, and ``n`` (double), how many there are."""
+    return rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("n"))
+
+
+def fit(docs: DataFrame) -> Selector:
     """Trees from two thirds of ``training_rows``, thresholds from the rest. A kind of which no positive is held out is never
     selected; without positives, or with nothing else, nothing is."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    held = stored(training_rows(docs, sample).coalesce(2), "candidates")
+    held = stored(cells(training_rows(docs)), "candidates")
     if held.where(~F.col("held_out")).select("label").distinct().count() < 2:
         return Selector([], {})
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(held)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(ready.where(~F.col("held_out")))
+    n_cells = held.count()
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(held.coalesce(2 + n_cells // 100_000))
+    # Spark looks for the limits between values in 10,000 rows, or in the square of maxBins if that is more: so in all cells.
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=max(2 * LENGTHS, math.isqrt(n_cells) + 1), weightCol="n", seed=7).fit(ready.where(~F.col("held_out")))
     trees = [(float(w), "\n".join(x.strip() for x in t.toDebugString.split("\n")[1:] if x.strip())) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-    means = model.transform(ready.where("held_out and label = 1")).groupBy("kind").agg(F.avg(_second("probability")).alias("p")).collect()  # a row for each kind
+    means = model.transform(ready.where("held_out and label = 1")).groupBy("kind").agg((F.sum(_second("probability") * F.col("n")) / F.sum("n")).alias("p")).collect()  # a row for each kind
     return Selector(trees, dict.fromkeys(CANDIDATE_PATTERNS, 2.0) | {r.kind: r.p / 2 for r in means})
 
 

@@ -274,6 +274,37 @@ def test_training_rows_come_from_about_so_many_documents(spark):
     assert pii.training_rows(docs).count() == 600 and 120 < pii.training_rows(docs, n_docs=200).count() < 280 and pii.training_rows(docs, 50).count() == 50
 
 
+def test_trees_and_thresholds_come_from_all_candidates(spark):
+    """More candidates, and documents, than were once sampled. One kind has its positives in four documents only, and is learned all the same."""
+    numbers = spark.range(60_000).select(F.col("id").alias("doc_id"), F.format_string("code %09d end", F.pmod(F.xxhash64("id"), F.lit(10**9))).alias("text"))
+    phones = make(spark, [f"call +1 555 123-40{i}7 now" for i in range(4)], 60_000).select("doc_id", "text")
+    docs = numbers.unionByName(phones)
+    rows = pii.training_rows(docs).persist()
+    assert dict(rows.where("kind = 'number'").groupBy("label").count().collect()) == {0.0: 60_000}
+    assert rows.where("kind = 'local_phone' and label = 1").count() == 4
+    cells = pii.cells(rows)
+    assert cells.agg(F.sum("n")).first()[0] == rows.count() and cells.count() < 200
+    assert rows.where("kind = 'local_phone' and held_out").count() > 0 and pii.fit(docs).thresholds["local_phone"] <= 1
+    rows.unpersist()
+
+
+def test_cells_are_fitted_as_their_candidates_would_be(tables):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=pii.FEATURES, outputCol="features").transform(pii.training_rows(tables[0])).persist()
+    model = GBTClassifier(maxIter=pii.TREES, maxDepth=pii.DEPTH, maxBins=128, seed=7).fit(rows.where("not held_out"))
+    selector = pii.fit(tables[0])
+    # Of splits that gain the same either may be taken, so it is scores that are compared.
+    scored = model.transform(rows.withColumn("score", selector.score({c: F.col(c) for c in pii.FEATURES})))
+    both = scored.select("kind", "held_out", "label", "score", pii._second("probability").alias("p")).collect()
+    assert len(both) > 50 and all(abs(r.score - r.p) < 1e-6 for r in both)
+    for kind in {r.kind for r in both}:
+        held = [r.p for r in both if r.kind == kind and r.held_out and r.label == 1]
+        assert abs(selector.thresholds[kind] - (sum(held) / len(held) / 2 if held else 2.0)) < 1e-6
+    rows.unpersist()
+
+
 def test_labels_of_the_training_rows_are_no_features():
     assert not {"named", "named_before"} & set(pii.FEATURES)
 
