@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 
-__all__ = ["documents", "small_batches", "stored", "table", "text_key", "text_or_empty"]
+__all__ = ["documents", "few_files", "small_batches", "stored", "table", "text_key", "text_or_empty"]
 
 #: Rows in an Arrow batch sent to Python; texts average a few KB, so a batch stays at a few MB.
 ARROW_ROWS = 512
@@ -34,6 +36,13 @@ def text_key() -> Column:
     return F.xxhash64(text_or_empty())
 
 
+def few_files(df: DataFrame, rows: int, in_file: int) -> DataFrame:
+    """df, which has at most ``rows`` rows, in as many partitions as give each ``in_file`` of them, but for one on each core: a small working
+    table becomes few files where adaptive coalescing is off or finds nothing to do. Each file that is written costs an executor a commit and, on
+    file systems that set modes by a command, a process."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / in_file)))
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
     """Bound the memory of Python workers: few rows (unless fewer are set already) and bytes in each Arrow batch. These are settings
     of the session, and stay: a lazy result is worked out after this returns. They change no result."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, stored, text_key
+from .common import documents, few_files, small_batches, stored, text_key
 from .components import components
 from .text_kernel import U64, buffers, distinct_in_each, mix, shingles, word_hashes
 
@@ -45,6 +45,8 @@ SHARP, SHORT = 2048, 5.0
 MISS = 1e-5
 #: Classes sent to all executors at once, at most (24 bytes each); more go through a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows in a file: of ids, of rows with bands or signatures, of whole sets.
+FILE_ROWS, WIDE_ROWS, SET_ROWS = 50_000, 5_000, 500
 _numbers = np.random.Generator(np.random.PCG64(20240611))
 MULTIPLIERS = _numbers.integers(1, 2**63, SHARP // 2, dtype=U64) * U64(2) + U64(1)
 ADDENDS = _numbers.integers(0, 2**63, SHARP // 2, dtype=U64)
@@ -127,9 +129,8 @@ def sharp_signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the classes in ids (id, doc_id, h): by broadcast while they are few, else by a shuffle. A class whose row
-    repeats comes as often."""
-    ids = stored(ids, "ids")
+    """(id, text) of the classes in ids (id, doc_id, h), a table that is written: by broadcast while they are few, else by a shuffle. A class
+    whose row repeats comes as often."""
     few = ids.count() <= BROADCAST_IDS
     return documents(docs, text_key().alias("h")).join(F.broadcast(ids) if few else ids, ["doc_id", "h"]).select("id", "text")
 
@@ -158,7 +159,8 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, pe
 
     small_batches(docs.sparkSession, 256)
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(only(docs, classes.select("id", "doc_id", "h").join(needed, "id", "left_semi")).mapInArrow(make, "id long, set binary").dropDuplicates(["id"]), "sets")
+    ids = stored(few_files(classes.select("id", "doc_id", "h").join(needed, "id", "left_semi"), 2 * pairs.count(), FILE_ROWS), "ids")
+    sets = stored(few_files(only(docs, ids).mapInArrow(make, "id long, set binary").dropDuplicates(["id"]), ids.count(), SET_ROWS), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
@@ -194,7 +196,8 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     held = stored(sketch(docs, size, percent / 100), "sketch")
     classes = held.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.min_by(F.struct("bands", "sig"), F.struct("doc_id", "h")).alias("x"))
     # An id of its own for each class, as texts may share a doc_id; written once, so it doesn't change.
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", "least.doc_id", "least.h", "x.bands", "x.sig"), "classes")
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "n", "least.doc_id", "least.h", "x.bands", "x.sig")
+    classes = stored(few_files(classes, held.count(), WIDE_ROWS), "classes")
 
     placed = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
     crowd = placed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
@@ -202,7 +205,7 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     shared = stored(placed.hint("merge").join(crowd, ["band", "key"]).select("band", "key", "id", "n", "size"), "shared")
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
     members = shared.join(degree, "id").join(classes.select("id", "sig"), "id").select("band", "key", "size", "id", "n", "degree", "sig")
-    open_ = stored(members.withColumn("component", F.col("id")), "members")
+    open_ = stored(few_files(members.withColumn("component", F.col("id")), shared.count(), WIDE_ROWS), "members")
 
     sd = math.sqrt(8 * longs * percent * (100 - percent)) / 100
     least = math.floor(8 * longs * percent / 100 - 5 * sd)
@@ -219,9 +222,11 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
             break
         if turn == 1:
             # From here on pairs are often nearly similar enough.
+            rows = open_.count()
             asked = classes.join(open_.select("id").distinct(), "id", "left_semi")
-            more = sharp_signatures(docs, asked.select("id", "doc_id", "h"), size).join(classes.select("id", "bands"), "id")
-            open_ = stored(open_.join(more, "id"), "sharp")
+            asked = stored(few_files(asked.select("id", "doc_id", "h"), rows, FILE_ROWS), "ids")
+            more = sharp_signatures(docs, asked, size).join(classes.select("id", "bands"), "id")
+            open_ = stored(few_files(open_.join(more, "id"), rows, WIDE_ROWS), "sharp")
             alike = alike & (same_bits(F.col("p.sharp"), F.col("m.sharp")) >= enough)
         if upto is None:
             # Members outside their bucket's largest component; of two such members the earlier one is the pivot.
@@ -242,7 +247,7 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
             break
         now = open_.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = now.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size")).where("low <> high")
-        open_ = stored(in_parts(now).join(to_every_part(mixed).select(place), place).drop("part"), "members")
+        open_ = stored(few_files(in_parts(now).join(to_every_part(mixed).select(place), place).drop("part"), open_.count(), WIDE_ROWS), "members")
 
     of_class = classes.select("k1", "k2", "n", "id", F.struct("doc_id", "h").alias("own"))
     if labels is not None:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandwise.llm import components as C
 from strandwise.llm import minhash as M
 from strandwise.llm import suffix_dedup as S
 from strandwise.llm.components import components
@@ -175,3 +176,30 @@ def test_no_rows_and_repeated_rows(spark, empty):
     one = make(spark, [prose(rng, 80), "short"])
     rows = S.remove_repeats(one.union(one)).collect()
     assert len(rows) == 4 and all(r.n_removed == (r.n_bytes if r.n_bytes >= 200 else 0) for r in rows)
+
+
+def test_small_working_tables_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has: each file costs an executor a commit and, locally, processes."""
+    most, files = spark.sparkContext.defaultParallelism, {}
+    for module in (M, C):
+        monkeypatch.setattr(module, "stored", lambda df, tag, f=module.stored: (out := f(df, tag), files.setdefault(tag, []).append(len(out.inputFiles())))[0])
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    rng = random.Random(4)
+    words = prose(rng, 150).split()
+    some = [prose(rng, 30) for _ in range(20)]
+    for _ in range(60):
+        out = list(words)
+        for _ in range(rng.choice([1, 2, 4, 6, 9])):
+            out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+        some.append(" ".join(out))
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in M.near_duplicates(make(spark, some), 3, 85).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [got[i] for i in range(len(some))] == brute_components(some, 3, 85)[0]
+    assert {"classes", "members", "ids", "sets", "sharp", "links", "labels"} <= set(files)
+    assert all(max(files[t]) <= most for t in ("classes", "members", "ids", "sets", "sharp", "links", "labels")), files
